@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tieout.llm.byte_bpe import op2_byte_bpe
 from tieout.llm.frames import read
+from tieout.llm.ngram_join import op4_ngram_jaccard_join
 from tieout.llm.token_count import op1_token_counts
+from tieout.llm.warc import OP8_SQL, op8_warc
 
 
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +19,17 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_byte_bpe(read(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_ngram_jaccard_join(read(spark, sf_dir, "documents"))
+
+
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_warc(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2}
+    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op8_warc": _op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
