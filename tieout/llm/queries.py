@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tieout.llm.byte_bpe import op2_byte_bpe
 from tieout.llm.frames import read
+from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
 from tieout.llm.token_count import op1_token_counts
 from tieout.llm.warc import OP8_SQL, op8_warc
@@ -23,12 +24,16 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_language_id(read(spark, sf_dir, "documents"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_warc(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op8_warc": _op8}
+    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op7_language_id": _op7, "op8_warc": _op8}
 
 
 def oracle_sql() -> dict[str, str]:
