@@ -9,6 +9,7 @@ from tieout.llm.frames import read
 from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
 from tieout.llm.token_count import op1_token_counts
+from tieout.llm.toxicity import op6_toxicity
 from tieout.llm.warc import OP8_SQL, op8_warc
 
 
@@ -24,6 +25,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_language_id(read(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op7_language_id": _op7, "op8_warc": _op8}
+    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op6_toxicity": _op6, "op7_language_id": _op7, "op8_warc": _op8}
 
 
 def oracle_sql() -> dict[str, str]:
