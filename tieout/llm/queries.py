@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tieout.llm.byte_bpe import op2_byte_bpe
+from tieout.llm.fingerprint import op9_fingerprints
 from tieout.llm.frames import read
 from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
@@ -37,8 +38,12 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_warc(read(spark, sf_dir, "pages"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op6_toxicity": _op6, "op7_language_id": _op7, "op8_warc": _op8}
+    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op6_toxicity": _op6, "op7_language_id": _op7, "op8_warc": _op8, "op9_fingerprints": _op9}
 
 
 def oracle_sql() -> dict[str, str]:
