@@ -9,6 +9,8 @@ from tieout.llm.fingerprint import op9_fingerprints
 from tieout.llm.frames import read
 from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
+from tieout.llm.packing import op5_best_fit_packing
+from tieout.llm.quality import op10_quality
 from tieout.llm.token_count import op1_token_counts
 from tieout.llm.toxicity import op6_toxicity
 from tieout.llm.warc import OP8_SQL, op8_warc
@@ -26,6 +28,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_best_fit_packing(read(spark, sf_dir, "documents"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -42,8 +48,22 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": _op1, "op2_byte_bpe": _op2, "op4_ngram_jaccard_join": _op4, "op6_toxicity": _op6, "op7_language_id": _op7, "op8_warc": _op8, "op9_fingerprints": _op9}
+    return {
+        "op1_token_counts": _op1,
+        "op2_byte_bpe": _op2,
+        "op4_ngram_jaccard_join": _op4,
+        "op5_best_fit_packing": _op5,
+        "op6_toxicity": _op6,
+        "op7_language_id": _op7,
+        "op8_warc": _op8,
+        "op9_fingerprints": _op9,
+        "op10_quality": _op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
