@@ -9,8 +9,9 @@ One tree over a whole corpus would be one task, so sets first meet in cells. Two
 sets that link differ in at most d shingles, d following from their sizes. Cutting
 the hash space into d + 1 slices leaves at least one slice in which they agree in
 full, so each set goes to the cells named by its slices, and only sets that share
-a cell, directly or through others, are brought together for a tree. Equal sets
-are one class from the start.
+a cell are compared. A first tree in each cell keeps the pairs whose points allow a
+link; what they connect is a part, and each part gets a tree again, now with the
+sets themselves to verify pairs on. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAF = 16
 #: Sets and shingles that one tree holds; more are dealt out over several.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
+#: Points that one tree of a cell holds; the sets of a larger cell are one part without a look at their points.
+CELL_SETS = 8192
 #: Sets of each class and block that stand for it when blocks are joined first.
 ANCHORS = 4
 #: Growth of sizes from one band to the next.
@@ -115,6 +118,15 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point in the narrowest integers that hold it; its length tells which."""
+    return point.astype(next(t for t in ("<u1", "<u2", "<u4") if point.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def unpacked(values: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(v, f"<u{len(v) // GROUPS}").astype(np.int32) for v in values])
+
+
 class RTree:
     """Points packed into boxes by halving along the widest axis; a box keeps its upper corner and its least and largest size."""
 
@@ -167,25 +179,52 @@ def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return common * q >= p * (len(a) + len(b) - common)
 
 
-def link_forest(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+def forest(at: np.ndarray, labels: np.ndarray, asks: np.ndarray, p: int, q: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join everything that pairs with an asking side join, given that equal labels are joined already.
 
-    A pair is verified unless its ends are joined already, so no link between
-    two parts is lost; copies of one passage need few verifications.
+    Without ``sets`` a pair counts as a link if its points allow one. A pair is
+    left out only if its ends are joined already: at first those ask that nothing
+    was joined to, then all outside the largest group, so that of any two that
+    stay apart one has asked. Copies of one text need few verifications.
     """
-    labels = labels.copy()
-    tree, out = RTree(at := points(sets)), []
-    for i in np.flatnonzero(asks):
+    labels, tree, out = labels.copy(), RTree(at), []
+
+    def ask(i: int) -> None:
         rows = tree.reach(at[i], p, q)
-        rows = np.sort(rows[(rows < i) | ~asks[rows]])
         rows = rows[labels[rows] != labels[i]]
         while len(rows):
-            j, rows = rows[0], rows[1:]
+            if sets is None:
+                _, firsts = np.unique(labels[rows], return_index=True)
+                out.extend((i, int(rows[f])) for f in firsts)
+                labels[np.isin(labels, labels[rows])] = labels[i]
+                return
+            j, rows = int(rows[0]), rows[1:]
             if linked(sets[i], sets[j], p, q):
-                out.append((int(i), int(j)))
+                out.append((i, j))
                 labels[labels == labels[j]] = labels[i]
                 rows = rows[labels[rows] != labels[i]]
-    return out
+
+    if not asks.all():
+        for i in np.flatnonzero(asks).tolist():
+            ask(i)
+        return out
+    _, kind, many = np.unique(labels, return_inverse=True, return_counts=True)
+    alone, asked = many[kind] == 1, np.zeros(len(at), bool)
+    for i in range(len(at)):
+        if alone[i] and not asked[i]:
+            before = len(out)
+            ask(i)
+            asked[i] = True
+            if len(out) > before:
+                alone &= labels != labels[i]
+    while True:
+        names, many = np.unique(labels, return_counts=True)
+        rest = np.flatnonzero(~asked & (labels != names[many.argmax()]))
+        if not len(rest):
+            return out
+        for i in rest.tolist():
+            ask(i)
+            asked[i] = True
 
 
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -202,7 +241,8 @@ def _solve(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             nodes = np.array(list(held), np.int64)
-            links = link_forest([h[0] for h in held.values()], np.unique([h[1] for h in held.values()], return_inverse=True)[1], np.array([h[2] for h in held.values()]), p, q)
+            sets = [h[0] for h in held.values()]
+            links = forest(points(sets), np.unique([h[1] for h in held.values()], return_inverse=True)[1], np.array([h[2] for h in held.values()]), p, q, sets)
             return pa.RecordBatch.from_arrays([pa.array([int(nodes[x[e]]) for x in links], pa.int64()) for e in (0, 1)], schema=schema)
 
         for batch in batches:
@@ -224,13 +264,13 @@ def _solve(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
 
 def shingle_classes(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node) for every row: the size and the name of its shingle set; node 0 of the empty one."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
+    """(doc_id, n_shingles, node, point) for every row: size, name and packed group counts of its shingle set; node 0 of the empty one."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("point", T.BinaryType())])
 
     def make():
         def work(batch: pa.RecordBatch):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [len(s) for s in sets], np.array([name_of(s) for s in sets], np.uint64).view(np.int64)]
+            return [batch.column(0), [len(s) for s in sets], np.array([name_of(s) for s in sets], np.uint64).view(np.int64), [packed(x) for x in points(sets)]]
 
         return work
 
@@ -256,6 +296,46 @@ def _cells(texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "cell long, node long")
 
 
+def _allowed(met: DataFrame, p: int, q: int) -> DataFrame:
+    """Edges that connect, in each cell, the nodes whose points allow a link; (cell, node, point) comes in as one sorted stream."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        values: list[bytes] = []
+        edges: list[tuple[int, int]] = []
+        now, wide = None, False
+
+        def close() -> None:
+            if len(nodes) > 1 and not wide:
+                at = unpacked(values)
+                edges.extend((nodes[i], nodes[j]) for i, j in forest(at, np.arange(len(at)), np.ones(len(at), bool), p, q))
+
+        for batch in batches:
+            for cell, node, point in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "point"))):
+                if cell != now:
+                    close()
+                    nodes, values, now, wide = [], [], cell, False
+                if nodes and nodes[-1] == node:
+                    continue
+                if wide:
+                    edges.append((nodes[0], node))
+                    continue
+                nodes.append(node)
+                values.append(point)
+                if len(nodes) > CELL_SETS:
+                    edges.extend((nodes[0], x) for x in nodes[1:])
+                    nodes, values, wide = nodes[:1], [], True
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], schema=schema)
+                edges.clear()
+        close()
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], schema=schema)
+
+    return met.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, _EDGES)
+
+
 def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, node, component_id) for every row of ``df``.
 
@@ -276,9 +356,12 @@ def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc
         return docs.join(picked, docs.doc_id.eqNullSafe(picked.first_id)).drop("first_id", "doc_id")
 
     cells = _cells(texts_of(classes.select("first_id").distinct()), k, p, q)
-    first = F.min("node").over(Window.partitionBy("cell").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = cells.select(F.col("node").alias("b"), first.alias("a")).where("a <> b")
-    parts = connected_components(met, "cells").withColumnRenamed("component", "part")
+    order = Window.partitionBy("cell").orderBy("node")
+    # both look one row back or ahead, so no cell is held in memory; most cells hold one set and end here
+    beside = F.lag("node").over(order).isNotNull() | F.lead("node").over(order).isNotNull()
+    met = cells.withColumn("beside", beside).where("beside").drop("beside")
+    at = base.where("n_shingles > 0").groupBy("node").agg(F.first("point").alias("point"))
+    parts = connected_components(_allowed(met.join(at, "node"), p, q), "cells").withColumnRenamed("component", "part")
     sized = parts.join(classes, "node")
     wide = sized.groupBy("part").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
     wide = wide.select("part", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
