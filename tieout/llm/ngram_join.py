@@ -35,6 +35,8 @@ LEAF = 16
 #: Sets and shingles that one tree holds; more are dealt out over several.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
+#: Sets whose cells a task remembers to have sent, so that copies are sent once a task.
+SEEN_SETS = 500_000
 #: Points that one tree of a cell holds; the sets of a larger cell are one part without a look at their points.
 CELL_SETS = 8192
 #: Sets of each class and block that stand for it when blocks are joined first.
@@ -278,18 +280,21 @@ def shingle_classes(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "
 
 
 def _cells(texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(cell, node) for each cell of each text's set."""
+    """(cell, node) for each cell of each text's set; of equal sets a task sends one, so a hot text costs a row a task and cell."""
     schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(p, q)
+        bands, seen = Bands(p, q), set()
         for piece in slices(batches, "text"):
             cells, nodes = [], []
             for t in piece.column("text").to_pylist():
                 own = shingle_set(t, k)
-                if len(own):
+                if len(own) and (name := name_of(own)) not in seen:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(name)
                     cells.append(bands.cells(own))
-                    nodes.append(np.full(len(cells[-1]), np.uint64(name_of(own))))
+                    nodes.append(np.full(len(cells[-1]), np.uint64(name)))
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (cells, nodes)], schema=schema)
 
@@ -353,12 +358,13 @@ def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc
 
     def texts_of(picked: DataFrame) -> DataFrame:
         """Texts of the first documents of the picked classes."""
-        return docs.join(picked, docs.doc_id.eqNullSafe(picked.first_id)).drop("first_id", "doc_id")
+        # ids grow with the corpus, so they are never broadcast, small as they may be
+        return docs.join(picked.hint("merge"), docs.doc_id.eqNullSafe(picked.first_id)).drop("first_id", "doc_id")
 
-    cells = _cells(texts_of(classes.select("first_id").distinct()), k, p, q)
+    cells = _cells(docs, k, p, q)
     order = Window.partitionBy("cell").orderBy("node")
     # both look one row back or ahead, so no cell is held in memory; most cells hold one set and end here
-    beside = F.lag("node").over(order).isNotNull() | F.lead("node").over(order).isNotNull()
+    beside = (F.lag("node").over(order) != F.col("node")) | (F.lead("node").over(order) != F.col("node"))
     met = cells.withColumn("beside", beside).where("beside").drop("beside")
     at = base.where("n_shingles > 0").groupBy("node").agg(F.first("point").alias("point"))
     parts = connected_components(_allowed(met.join(at, "node"), p, q), "cells").withColumnRenamed("component", "part")
