@@ -179,7 +179,8 @@ def train(df: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bou
     """
     known = labels.where((remainder("doc_id", modulus) != held) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     part = sampled(known, bound, "doc_id")
-    rows = df.select("doc_id", "text").join(part, "doc_id")
+    # ids and labels of about TRAIN_ROWS documents at most, so texts needn't move
+    rows = df.select("doc_id", "text").join(F.broadcast(part), "doc_id")
     stats = statistics(F.col("text"))
     table = rows.select(*(c.alias(n) for n, c in stats.items()), "quality").toPandas()
     # rows come in any order; what is fitted must not depend on it
