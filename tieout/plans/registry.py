@@ -10,6 +10,7 @@ from tieout.operators import amounts, chains, dedup, discover, embedded, evaluat
 from tieout.plans import fixtures
 from tieout.plans.fixtures import bank, gateway, ledger, read
 from tieout.plans.sqlgate import guarded_select
+from tieout.sources.store import written
 
 RULE_EXACT, RULE_BATCH = "auto_exact__ledger__gateway", "auto_batch__bank__gateway"
 
@@ -38,7 +39,8 @@ class World:
             props, members = (p, m) if props is None else (props.unionByName(p), members.unionByName(m))
         number = F.regexp_extract("group_key", "([0-9]+)$", 1).cast("bigint")
         status = F.when(number % 101 == 3, "rejected").when(number % 101 == 4, "review_later").when(F.col("confidence") == "exact", "accepted").otherwise("pending")
-        return props.withColumn("status", status), members
+        # read several times by what follows, so written once
+        return written(props.withColumn("status", status), "proposals"), written(members, "members")
 
 
 MEMBERS_SQL = (
@@ -492,8 +494,7 @@ def verify_residual_evidence(spark, d):
 
 def _instants(spark, d):
     w = World(spark, d)
-    _, members = w.both()
-    props, _ = w.both()
+    props, members = w.both()
     when = w.gateway.select(F.lit("gateway").alias("dataset"), "row_id", F.col("captured_s").alias("instant_s")).unionByName(w.bank.select(F.lit("bank").alias("dataset"), "row_id", F.col("value_s").alias("instant_s")))
     own = members.join(props.where(F.col("rule") == RULE_BATCH).select("proposal_id", "rule"), "proposal_id")
     return own.join(when, ["dataset", "row_id"]).select("rule", "group_key", "instant_s")
@@ -601,7 +602,7 @@ def _chains(spark, d):
     w = World(spark, d)
     props, members = w.both()
     legs = chains.reached(chains.labelled_members(w.ledger, "ledger", "order_ref", members, props), members, props)
-    return w, props, members, legs
+    return w, props, members, written(legs, "legs")
 
 
 @query(f"WITH {CHAIN_SQL} SELECT * FROM states")
