@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from tieout.llm.components import connected_components
 from tieout.llm.frames import map_arrow, slices, stored
 
-#: Group counts a point has.
-GROUPS = 64
+#: Group counts a point has, by the size of its set up to which they serve; the last serves beyond.
+#: Counts of two unrelated sets of n differ by about 1.13 * sqrt(n * groups), which must exceed what a link may differ by.
+GROUPS = ((512, 64), (2048, 256), (8192, 1024), (None, 4096))
 #: Points in a leaf of the tree.
 LEAF = 16
 #: Sets and shingles that one tree holds; more are dealt out over several.
@@ -113,20 +114,29 @@ class Bands:
         return np.concatenate(out)
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """Group counts of the sets."""
+def groups_for(n: int) -> int:
+    return next(g for most, g in GROUPS if most is None or n <= most)
+
+
+def points(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    """Group counts of the sets; the group of a shingle is its lowest bits, so coarser counts are sums of finer ones."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    group = (np.concatenate(sets) & np.uint64(GROUPS - 1)).astype(np.int64)
-    return np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    group = (np.concatenate(sets) & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(owner * groups + group, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
 
 
-def packed(point: np.ndarray) -> bytes:
-    """A point in the narrowest integers that hold it; its length tells which."""
-    return point.astype(next(t for t in ("<u1", "<u2", "<u4") if point.max(initial=0) <= np.iinfo(t).max)).tobytes()
+def packed(shingles: np.ndarray) -> bytes:
+    """A set's point: the width of its integers, then the counts in the narrowest that hold them."""
+    point = points([shingles], groups_for(len(shingles)))[0]
+    width = next(w for w in (1, 2, 4) if point.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
 
 
 def unpacked(values: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(v, f"<u{len(v) // GROUPS}").astype(np.int32) for v in values])
+    """Points side by side, with as many groups as the coarsest has."""
+    own = [np.frombuffer(v, f"<u{v[0]}", offset=1).astype(np.int32) for v in values]
+    groups = min(map(len, own))
+    return np.stack([x if len(x) == groups else x.reshape(-1, groups).sum(0) for x in own])
 
 
 class RTree:
@@ -244,7 +254,7 @@ def _solve(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             nodes = np.array(list(held), np.int64)
             sets = [h[0] for h in held.values()]
-            links = forest(points(sets), np.unique([h[1] for h in held.values()], return_inverse=True)[1], np.array([h[2] for h in held.values()]), p, q, sets)
+            links = forest(points(sets, groups_for(max(map(len, sets)))), np.unique([h[1] for h in held.values()], return_inverse=True)[1], np.array([h[2] for h in held.values()]), p, q, sets)
             return pa.RecordBatch.from_arrays([pa.array([int(nodes[x[e]]) for x in links], pa.int64()) for e in (0, 1)], schema=schema)
 
         for batch in batches:
@@ -272,7 +282,7 @@ def shingle_classes(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "
     def make():
         def work(batch: pa.RecordBatch):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [len(s) for s in sets], np.array([name_of(s) for s in sets], np.uint64).view(np.int64), [packed(x) for x in points(sets)]]
+            return [batch.column(0), [len(s) for s in sets], np.array([name_of(s) for s in sets], np.uint64).view(np.int64), [packed(x) for x in sets]]
 
         return work
 
