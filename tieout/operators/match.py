@@ -149,3 +149,8 @@ def duplicate_note(members: DataFrame) -> DataFrame:
     dup = F.sum(F.when(F.col("duplicate_of").isNotNull(), F.col("amount_minor")).otherwise(0)).cast("bigint")
     g = members.groupBy("group_key").agg(dup.alias("duplicate_minor"), F.sum("amount_minor").cast("bigint").alias("balance_minor"), F.count("duplicate_of").alias("n_duplicates"))
     return g.where("n_duplicates > 0").select("group_key", "duplicate_minor", "balance_minor", (F.col("balance_minor") - F.col("duplicate_minor")).alias("balance_without"))
+
+
+def unmatched_examples(rows: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
+    """The first rows by id, a few columns of each, for a report."""
+    return rows.select("row_id", *columns).orderBy("row_id").limit(k)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tieout.functions.expr import iso_instant, minor, money_minor, signature, signed
 from tieout.operators import amounts, chains, dedup, discover, embedded, evaluate, match, profile, report, spine, timing, verify
-from tieout.plans import fixtures
+from tieout.plans import fixtures, runlog
 from tieout.plans.fixtures import bank, gateway, ledger, read
 from tieout.plans.sqlgate import guarded_select
+from tieout.sources.ingest import latest_by, page
 from tieout.sources.store import written
 
 RULE_EXACT, RULE_BATCH = "auto_exact__ledger__gateway", "auto_batch__bank__gateway"
@@ -732,6 +733,59 @@ def run_metrics_by_model(spark, d):
     return evaluate.run_metrics(e)
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events QUALIFY seq > 3")
+def run_event_replay(spark, d):
+    return runlog.sequenced(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id").where("seq > 3")
+
+
+@query("WITH {M} SELECT row_id, order_ref FROM ledger WHERE row_id NOT IN (SELECT row_id FROM members WHERE dataset = 'ledger') ORDER BY row_id LIMIT 3")
+def unmatched_examples(spark, d):
+    w = World(spark, d)
+    _, members = w.both()
+    return match.unmatched_examples(match.unmatched(w.ledger, "ledger", members), ["order_ref"])
+
+
+@query("WITH {F} SELECT row_id, order_ref FROM ledger WHERE row_id > 100 ORDER BY row_id LIMIT 50")
+def row_page(spark, d):
+    return page(ledger(spark, d), 100, 50).select("row_id", "order_ref")
+
+
+@query("SELECT event_type AS key, max(event_id) AS event_id FROM events GROUP BY event_type")
+def latest_row(spark, d):
+    return latest_by(read(spark, d, "events").select(F.col("event_type").alias("key"), "event_id"), "key", "event_id")
+
+
+@query("""WITH {M}, k AS (SELECT order_ref AS key FROM ledger), l AS (SELECT key FROM k WHERE CAST(substr(key, 5) AS BIGINT) % 20 <> 0)
+SELECT (SELECT count(*) FROM l) AS n_labelled, (SELECT count(*) FROM k WHERE key NOT IN (SELECT key FROM l)) AS n_unlabelled,
+  (SELECT count(*) FROM k WHERE key NOT IN (SELECT key FROM l)) <= 0.1 * (SELECT count(*) FROM l) AS consistent""")
+def fixture_consistency(spark, d):
+    keys = ledger(spark, d).select(F.col("order_ref").alias("key"))
+    return evaluate.unlabelled(keys, keys.where(F.substring("key", 5, 20).cast("bigint") % 20 != 0))
+
+
+@query("WITH {M} SELECT count(*) AS n, round(count(*) FILTER (e = p) / count(*), 6) AS accuracy, round(count(*) FILTER (e = 'MATCHED' AND p = 'MATCHED') / count(*) FILTER (p = 'MATCHED'), 6) AS precision, round(count(*) FILTER (e = 'MATCHED' AND p = 'MATCHED') / count(*) FILTER (e = 'MATCHED'), 6) AS recall, round(2 * count(*) FILTER (e = 'MATCHED' AND p = 'MATCHED') / (count(*) FILTER (p = 'MATCHED') + count(*) FILTER (e = 'MATCHED')), 6) AS f1, round(count(*) FILTER (a AND e <> 'MATCHED') / count(*) FILTER (a), 6) AS false_auto_rate FROM (SELECT CASE WHEN (row_id - 1) % 60 = 19 THEN 'MISSING' WHEN (row_id - 1) % 50 = 6 THEN 'EXCEPTION' ELSE 'MATCHED' END AS e, CASE WHEN s.group_key IS NULL THEN 'MISSING' WHEN confidence <> 'exact' THEN 'EXCEPTION' ELSE 'MATCHED' END AS p, coalesce(s.status = 'accepted', false) AS a FROM ledger LEFT JOIN (SELECT * FROM status WHERE rule = 'auto_exact__ledger__gateway') s ON s.group_key = order_ref)")
+def evaluation_scores(spark, d):
+    w = World(spark, d)
+    key = F.col("row_id") - 1
+    labels = w.ledger.select(F.col("order_ref").alias("key"), evaluate.outcome(F.when(key % 60 == 19, "MISSING_PROCESSOR").when(key % 50 == 6, "AMOUNT_MISMATCH").otherwise("MATCHED")).alias("expected"))
+    props = w.both()[0].where(F.col("rule") == RULE_EXACT)
+    return evaluate.scores(labels.join(evaluate.verdicts(labels.select("key"), props), "key"))
+
+
+@query("WITH {M} SELECT sum(n_rows)::BIGINT AS n_rows, sum(matched)::BIGINT AS matched, sum(n_rows - matched)::BIGINT AS unmatched FROM (SELECT dataset, n_rows, coalesce(matched, 0) AS matched FROM (SELECT 'ledger' AS dataset, count(*) AS n_rows FROM ledger UNION ALL SELECT 'gateway', count(*) FROM gateway UNION ALL SELECT 'bank', count(*) FROM bank) LEFT JOIN (SELECT dataset, count(DISTINCT row_id) AS matched FROM members JOIN status USING (rule, group_key) WHERE status = 'accepted' GROUP BY dataset) USING (dataset))")
+def coverage_totals(spark, d):
+    w = World(spark, d)
+    props, members = w.both()
+    return report.coverage_totals(report.coverage_by_dataset(w.sources, members, props))
+
+
+@query(f"WITH {CHAIN_SQL}, off AS (SELECT DISTINCT label FROM legs1 JOIN open USING (rule, group_key) WHERE confidence = 'unbalanced' UNION SELECT label FROM legs1 GROUP BY label HAVING count(DISTINCT rule) < 2) SELECT label FROM off")
+def chain_break_labels(spark, d):
+    _, props, members, legs = _chains(spark, d)
+    steps = chains.hops(legs, members, props, ["ledger", "gateway", "bank"])
+    return chains.break_reasons(steps, props).select("label")
+
+
 @query()
 def guarded_select_orders(spark, d):
     read(spark, d, "orders").createOrReplaceTempView("tieout_orders")

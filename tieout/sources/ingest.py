@@ -104,9 +104,21 @@ def infer_kinds(sample: DataFrame, columns: list[str]) -> dict[str, str]:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with row_id 1, 2, ... in file order, without a window over all rows: places in a partition plus the sizes before it."""
-    schema = T.StructType([T.StructField("row_id", T.LongType()), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])), schema)
+    """``df`` with row_id 1, 2, ... in file order, without a window over all rows: places in a partition plus the sizes before it.
+
+    The sizes are one row a partition. Both passes read the same splits of the
+    same files, so places and sizes belong together.
+    """
+    tagged = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    # the hash makes the first pass parse whole rows, as the second does
+    sizes = sorted(tagged.groupBy("__p").agg(F.count("*").alias("n"), F.max(F.xxhash64(*df.columns))).select("__p", "n").collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __start long"))
+    place = F.col("__m") - F.shiftleft(F.col("__p").cast("bigint"), 33) + F.col("__start") + 1
+    return tagged.join(known, "__p").select(place.alias("row_id"), *df.columns)
 
 
 def coerced(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
