@@ -25,13 +25,13 @@ from tieout.llm.frames import map_arrow, share, stored
 
 #: Vectors the splits are fitted on, about, chosen by a hash; every vector is then placed.
 SAMPLE = 16_384
-TREES = 5
+TREES = 4
 #: Vectors a leaf is meant to hold, before those that spill over.
 LEAF_ROWS = 384
 #: A leaf of the sample is split no further below this.
 LEAF_SAMPLE = 12
 #: Half-width of the zone that goes to both sides, in standard deviations of the projected difference of a pair at the limit.
-SPILL = 0.85
+SPILL = 0.5
 #: A split that leaves a side with more than this share is not made.
 SIDE = 0.85
 #: Rows of one block of a leaf; larger leaves are compared block by block.
@@ -255,7 +255,7 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
     placed = stored(map_arrow(classes.select("node", "unit"), place, placed_schema, "unit"), "placed")
     held = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # a leaf of b blocks is b * (b + 1) / 2 tasks, and block i is in b of them
-    member = placed.join(classes, "node").withColumn("leaf", F.explode("leaves")).join(held, "leaf")
+    member = placed.join(classes, "node").withColumn("leaf", F.explode("leaves")).join(F.broadcast(held), "leaf")  # leaves are bounded by SAMPLE
     member = member.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = member.select("leaf", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "node", "many", "unit", "leaves")
     found_arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
