@@ -25,15 +25,15 @@ from tieout.llm.frames import map_arrow, share, stored
 
 #: Vectors the splits are fitted on, about, chosen by a hash; every vector is then placed.
 SAMPLE = 16_384
-TREES = 4
+TREES = 5
 #: Vectors a leaf is meant to hold, before those that spill over.
 LEAF_ROWS = 384
 #: A leaf of the sample is split no further below this.
 LEAF_SAMPLE = 12
 #: Half-width of the zone that goes to both sides, in standard deviations of the projected difference of a pair at the limit.
-SPILL = 0.5
-#: A split that leaves a side with more than this share is not made.
-SIDE = 0.85
+SPILL = 0.85
+#: A split that leaves a side with more than this share is not made: two sides of 0.71 hold as many pairs as the whole.
+SIDE = 0.7
 #: Rows of one block of a leaf; larger leaves are compared block by block.
 BLOCK = 4096
 TILE = 1024
@@ -154,26 +154,65 @@ def _classes(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, schema)
 
 
-def _firsts_only(link: np.ndarray, rows: list[np.ndarray], columns: list[np.ndarray], leaf: int) -> None:
+@dataclass
+class Rows:
+    """Rows of one side of a task, column by column; row i is in the leaves ``flat[start[i] : start[i] + many_leaves[i]]``."""
+
+    node: np.ndarray
+    many: np.ndarray
+    unit: np.ndarray
+    start: np.ndarray
+    many_leaves: np.ndarray
+    flat: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, dim: int) -> Rows:
+        """Columns node, many, unit, leaves of ``batch`` without a Python object a row."""
+        node, many, unit, leaves = (batch.column(c) for c in ("node", "many", "unit", "leaves"))
+        unit = unit.cast(pa.binary())
+        # all units have one length and are never null, so they lie side by side
+        first = np.frombuffer(unit.buffers()[1], np.int32, 1, 4 * unit.offset)[0]
+        data = np.frombuffer(unit.buffers()[2], "<f8", dim * len(unit), first).reshape(-1, dim)
+        ends = leaves.offsets.to_numpy()
+        return cls(node.to_numpy(), many.to_numpy(), data, ends[:-1], np.diff(ends), leaves.values.to_numpy())
+
+    @classmethod
+    def joined(cls, pieces: list[Rows]) -> Rows:
+        if len(pieces) == 1:
+            return pieces[0]
+        shift = np.cumsum([0] + [len(x.flat) for x in pieces[:-1]])
+        start = np.concatenate([x.start + s for x, s in zip(pieces, shift)])
+        return cls(*(np.concatenate([getattr(x, c) for x in pieces]) for c in ("node", "many", "unit")), start, *(np.concatenate([getattr(x, c) for x in pieces]) for c in ("many_leaves", "flat")))
+
+    def __getitem__(self, part: slice) -> Rows:
+        return Rows(self.node[part], self.many[part], self.unit[part], self.start[part], self.many_leaves[part], self.flat)
+
+    def early(self, chosen: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``chosen``, leaf) of the leaves before ``leaf`` of the chosen rows."""
+        n = self.many_leaves[chosen]
+        owner = np.repeat(np.arange(len(chosen)), n)
+        code = self.flat[np.arange(len(owner)) + np.repeat(self.start[chosen] - (np.cumsum(n) - n), n)]
+        return owner[code < leaf], code[code < leaf]
+
+
+def _firsts_only(link: np.ndarray, below: Rows, beside: Rows, leaf: int) -> None:
     """Clear from ``link`` the pairs that share an earlier leaf."""
     r, c = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
     if not len(r):
         return
-    early = lambda own: [x[x < leaf] for x in own]
-    a, b = early([rows[i] for i in r]), early([columns[i] for i in c])
-    codes = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    a, b = below.early(r, leaf), beside.early(c, leaf)
+    codes = np.intersect1d(a[1], b[1])
     if not len(codes):
         return
 
-    def flags(own: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(own), len(codes)), np.float32)
-        owner, code = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+    def flags(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, len(codes)), np.float32)
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         hit = codes[at] == code
         out[owner[hit], at[hit]] = 1
         return out
 
-    link[np.ix_(r, c)] &= flags(a) @ flags(b).T == 0
+    link[np.ix_(r, c)] &= flags(*a, len(r)) @ flags(*b, len(c)).T == 0
 
 
 def _joined(link: np.ndarray, below: np.ndarray, beside: np.ndarray) -> list[tuple[int, int]]:
@@ -260,29 +299,31 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
     task = member.select("leaf", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "node", "many", "unit", "leaves")
     found_arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
-    def solve(leaf: int, sides: tuple[list, list]) -> list[tuple[int, int, int | None]]:
-        out: list[tuple[int, int, int | None]] = []
+    def solve(leaf: int, sides: tuple[list[Rows], list[Rows]]) -> list[np.ndarray]:
+        """Columns node, n, other of one task."""
         alone = not sides[1]
-        shaped = []
-        for side in sides if not alone else sides[:1]:
-            shaped.append((np.array([s[0] for s in side]), np.array([s[1] for s in side]), np.stack([np.frombuffer(s[2], "<f8") for s in side]), [np.asarray(s[3]) for s in side]))
-        a, b = shaped[0], shaped[-1]
-        counts = [np.zeros(len(x[0]), np.int64) for x in (a, b)]
-        for p in range(0, len(a[0]), TILE):
-            for q in range(p if alone else 0, len(b[0]), TILE):
+        a = Rows.joined(sides[0])
+        b = a if alone else Rows.joined(sides[1])
+        near: list[tuple[int, int]] = []
+        counts = [np.zeros(len(x.node), np.int64) for x in (a, b)]
+        for p in range(0, len(a.node), TILE):
+            for q in range(p if alone else 0, len(b.node), TILE):
                 u, v = slice(p, p + TILE), slice(q, q + TILE)
-                link = a[2][u] @ b[2][v].T >= limit
+                link = a.unit[u] @ b.unit[v].T >= limit
                 if alone and p == q:
                     link &= np.tri(*link.shape, -1, dtype=bool)
                 if not link.any():
                     continue
-                out += [(x, 0, y) for x, y in _joined(link, a[0][u], b[0][v])]
-                _firsts_only(link, a[3][u], b[3][v], leaf)
-                counts[0][u] += link @ b[1][v]
-                (counts[0] if alone else counts[1])[v] += a[1][u] @ link
-        for x, c in zip((a, b), counts):
-            out += [(int(x[0][i]), int(c[i]), None) for i in np.flatnonzero(c)]
-        return out
+                near += _joined(link, a.node[u], b.node[v])
+                _firsts_only(link, a[u], b[v], leaf)
+                counts[0][u] += link @ b.many[v]
+                (counts[0] if alone else counts[1])[v] += a.many[u] @ link
+        ends = np.array(near, np.int64).reshape(-1, 2)
+        has = [np.flatnonzero(c) for c in counts]
+        node = np.concatenate([ends[:, 0], *(x.node[h] for x, h in zip((a, b), has))])
+        n = np.concatenate([np.zeros(len(ends), np.int64), *(c[h] for c, h in zip(counts, has))])
+        other = np.concatenate([ends[:, 1], np.zeros(len(node) - len(ends), np.int64)])
+        return [node, n, np.ma.array(other, mask=np.arange(len(node)) >= len(ends))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
@@ -291,17 +332,22 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
             # blocks of one leaf that differ but hold rows on one side only have nothing to compare
             if now[1] != now[2] and not (sides[0] and sides[1]):
                 return None
-            rows = solve(now[0], sides)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=found_arrow) if rows else None
+            node, n, other = solve(now[0], sides)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(other.data, mask=other.mask)], schema=found_arrow) if len(node) else None
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("leaf", "x", "y", "second", "node", "many", "unit", "leaves")]
-            for leaf, x, y, second, *row in zip(*columns):
+            if not batch.num_rows:
+                continue
+            rows = Rows.of(batch, dim)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("leaf", "x", "y", "second")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                leaf, x, y, second = keys[start].tolist()
                 if (leaf, x, y) != now:
                     if now is not None and (done := close()) is not None:
                         yield done
                     now, sides = (leaf, x, y), ([], [])
-                sides[second].append(row)
+                sides[second].append(rows[start:end])
         if now is not None and (done := close()) is not None:
             yield done
 
