@@ -275,7 +275,7 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
     part = share(n, bound)
     picked = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else classes
     sample = np.stack([np.frombuffer(r.unit, "<f8") for r in picked.select("unit", "node").orderBy("node").collect()])
-    leaf_sample = len(sample) if n <= LEAF_ROWS * 2 else max(LEAF_SAMPLE, int(LEAF_ROWS * len(sample) / n))
+    leaf_sample = max(LEAF_SAMPLE, int(LEAF_ROWS * len(sample) / n))
     forest = spark.sparkContext.broadcast(Forest.grown(sample, leaf_sample, limit))  # bounded by SAMPLE
 
     placed_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
