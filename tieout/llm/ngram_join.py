@@ -6,16 +6,23 @@ set with everything in a box by the summed minima of its counts and the box's
 upper corner. Pairs of points that survive the bound are verified on the sets.
 
 One tree over a whole corpus would be one task, so sets first meet in cells. Two
-sets that link differ in at most d shingles, d following from their sizes. Cutting
-the hash space into d + 1 slices leaves at least one slice in which they agree in
-full, so each set goes to the cells named by its slices, and only sets that share
-a cell are compared. A first tree in each cell keeps the pairs whose points allow a
-link; what they connect is a part, and each part gets a tree again, now with the
-sets themselves to verify pairs on. Equal sets are one class from the start.
+sets that link differ in at most d shingles, d following from their sizes. Cut the
+hash space into slices: a set with more than d slices that hold something agrees
+with each of its partners in one of those, so empty slices name no cell. A set that
+has fewer is cut again, finer, and at last shingle by shingle. Of the slices that
+hold something each set needs its d + 1 rarest only: before the rarest one in
+which a pair agrees, each of the two has at most d others. So passages that many
+texts share name no cell as long as a text has enough of its own.
+
+A first tree in each cell keeps the pairs whose points allow a link; what they
+connect is a part, and each part gets a tree again, now with the sets themselves to
+verify pairs on. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +40,19 @@ from tieout.llm.frames import map_arrow, slices, stored
 GROUPS = ((512, 64), (2048, 256), (8192, 1024), (None, 4096))
 #: Points in a leaf of the tree.
 LEAF = 16
+#: Slices for each that a pair may differ in, so that most sets have enough that hold something.
+SPARE = 1.25
 #: Sets and shingles that one tree holds; more are dealt out over several.
-BLOCK_SETS = 2048
+BLOCK_SETS = 256
 BLOCK_SHINGLES = 2_000_000
 #: Sets whose cells a task remembers to have sent, so that copies are sent once a task.
 SEEN_SETS = 500_000
-#: Points that one tree of a cell holds; the sets of a larger cell are one part without a look at their points.
+#: Points that one tree of a cell holds; the sets of a larger cell are one part, since all pairs of a part are looked at anyway.
 CELL_SETS = 8192
-#: Sets of each class and block that stand for it when blocks are joined first.
+#: Sets of each class that stand for it when the blocks of a part are joined.
 ANCHORS = 4
+#: Shares in which the rows of one key are joined to what is known of the key.
+SALTS = 16
 #: Growth of sizes from one band to the next.
 BAND = 1.5
 
@@ -93,25 +104,36 @@ class Bands:
         return self.lows[i]
 
     def of(self, n: int) -> Iterator[tuple[int, int]]:
-        """(band, slices) for each band in which a set of n shingles can be the smaller or equal one of a link."""
+        """(band, d) for each band that the larger set of a link of a set of n shingles can be in; the two differ in d shingles at most."""
         i = 0
         while self.low(i + 1) <= n:
             i += 1
         while n * self.q >= self.p * self.low(i):
-            most = 2 * (self.low(i + 1) - 1) * (self.q - self.p) // (self.q + self.p)
-            yield i, most + 1
+            yield i, 2 * (self.low(i + 1) - 1) * (self.q - self.p) // (self.q + self.p)
             i += 1
 
-    def cells(self, shingles: np.ndarray) -> np.ndarray:
-        """Names of the cells of a set: one for each band and slice, from what the slice holds."""
-        sums = np.r_[np.uint64(0), np.cumsum(mix(shingles))]
-        out = []
-        for band, m in self.of(len(shingles)):
-            edges = np.searchsorted(shingles, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-            at = np.r_[0, edges, len(shingles)]
-            label = np.arange(m, dtype=np.uint64) + np.uint64(band << 32)
-            out.append(mix(mix(label) + sums[at[1:]] - sums[at[:-1]]))
-        return np.concatenate(out)
+    def cells(self, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(names of cells, how many of them the set can spare, cutting) for each cutting that the set needs.
+
+        Each band has three cuttings: slices, half as wide slices of another
+        scramble, and single shingles. A set needs the next only where it has
+        none to spare, so two sets that link meet in the first in which one has.
+        """
+        for band, d in self.of(len(shingles)):
+            for level in range(3):
+                label = (band << 2) + level
+                if level == 2:
+                    cells = mix(mix(shingles) + np.uint64(label << 32))
+                else:
+                    keys = np.sort(mix(shingles + np.uint64(label))) if level else shingles
+                    m = math.ceil(SPARE * (d + 1)) << level
+                    at = np.r_[0, np.searchsorted(keys, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)), len(keys)]
+                    sums = np.r_[np.uint64(0), np.cumsum(mix(keys))]
+                    cells = mix(mix(np.arange(m, dtype=np.uint64) + np.uint64(label << 32)) + sums[at[1:]] - sums[at[:-1]])[at[1:] > at[:-1]]
+                spare = len(cells) - d - 1
+                yield cells, spare, label
+                if spare >= 0:
+                    break
 
 
 def groups_for(n: int) -> int:
@@ -240,7 +262,6 @@ def forest(at: np.ndarray, labels: np.ndarray, asks: np.ndarray, p: int, q: int,
 
 
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-_MEMBERS = "part long, block long, node long, label long, asks boolean, text string"
 
 
 def _solve(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -275,40 +296,59 @@ def _solve(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return members.repartition("part", "block").sortWithinPartitions("part", "block", "node").mapInArrow(run, _EDGES)
 
 
-def shingle_classes(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, point) for every row: size, name and packed group counts of its shingle set; node 0 of the empty one."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("point", T.BinaryType())])
+def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, key, n_shingles, node, point) for every row of ``docs`` (doc_id, key, text): size, name and packed group counts of its shingle set; node 0 of the empty one."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "key", "n_shingles", "node")] + [T.StructField("point", T.BinaryType())])
 
     def make():
         def work(batch: pa.RecordBatch):
-            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [len(s) for s in sets], np.array([name_of(s) for s in sets], np.uint64).view(np.int64), [packed(x) for x in sets]]
+            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
+            return [batch.column("doc_id"), batch.column("key"), [len(s) for s in sets], np.array([name_of(s) for s in sets], np.uint64).view(np.int64), [packed(x) for x in sets]]
 
         return work
 
-    return map_arrow(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, schema)
+    return map_arrow(docs, make, schema)
 
 
 def _cells(texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(cell, node) for each cell of each text's set; of equal sets a task sends one, so a hot text costs a row a task and cell."""
-    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
+    """(cell, node, spare, cutting) for each cell of each text's set; of equal sets a task sends one, so a hot text costs a row a task and cell."""
+    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("spare", pa.int32()), ("cutting", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(p, q), set()
         for piece in slices(batches, "text"):
-            cells, nodes = [], []
+            found = []
             for t in piece.column("text").to_pylist():
                 own = shingle_set(t, k)
                 if len(own) and (name := name_of(own)) not in seen:
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(name)
-                    cells.append(bands.cells(own))
-                    nodes.append(np.full(len(cells[-1]), np.uint64(name)))
-            if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (cells, nodes)], schema=schema)
+                    found += [(cells, name, spare, cutting) for cells, spare, cutting in bands.cells(own)]
+            if found:
+                many = [len(x[0]) for x in found]
+                columns = [np.concatenate([x[0] for x in found]).view(np.int64), np.repeat(np.array([x[1] for x in found], np.uint64).view(np.int64), many)]
+                columns += [np.repeat(np.array([x[i] for x in found], np.int32), many) for i in (2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
 
-    return texts.select("text").mapInArrow(run, "cell long, node long")
+    return texts.select("text").mapInArrow(run, "cell long, node long, spare int, cutting int")
+
+
+def _met(cells: DataFrame) -> DataFrame:
+    """(cell, node) of the cells that several sets name, without the most frequent ones that a set can spare.
+
+    Frames take in whole cells, and are spilled where these are large.
+    """
+    whole = Window.partitionBy("cell")
+    shared = cells.select("*", F.count("*").over(whole).alias("rows"), (F.min("node").over(whole) < F.max("node").over(whole)).alias("shared")).where("shared")
+    by_rows = Window.partitionBy("node", "cutting").orderBy(F.desc("rows"), "cell")
+    return shared.select("cell", "node", "spare", F.dense_rank().over(by_rows).alias("nth")).where("nth > spare").select("cell", "node")
+
+
+def _with_known(rows: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined to the one row of ``known`` for each ``on``; nodes of a large group are dealt over SALTS shares."""
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(dealt, [on, "salt"]).drop("salt")
 
 
 def _allowed(met: DataFrame, p: int, q: int) -> DataFrame:
@@ -351,96 +391,123 @@ def _allowed(met: DataFrame, p: int, q: int) -> DataFrame:
     return met.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, _EDGES)
 
 
+def _keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, text): the key is the id, or a hash of the text where the id is null, so that such rows don't meet under one key."""
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
+
+
 def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) for every row of ``df``.
+    """(doc_id, key, n_shingles, node, component_id, leads) for every row of ``df``.
 
     Rows link when q * |intersection| >= p * |union| of their k-shingle sets.
     ``node`` names the set, so equal nodes are one class; ``component_id`` is the
     smallest doc_id reachable by links, the row's own included. Null, empty and
     blank texts have no shingles and link with nothing. Rows with a null doc_id
-    take part; a component of such rows alone has a null id. Repeated rows are
+    take part; a component of such rows alone has a null id. ``key`` is the id or,
+    where it is null, a hash of the text; ``leads`` marks the rows of a component's
+    first key, ids before hashes, and all rows without shingles. Repeated rows are
     equal and so linked. An empty table gives an empty result. Sets are named by
     64-bit hashes: among n different sets about n * n / 2^65 names coincide.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = _keyed(df, doc_id, text)
     base = stored(shingle_classes(docs, k), "shingles")
-    classes = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"))
-
-    def texts_of(picked: DataFrame) -> DataFrame:
-        """Texts of the first documents of the picked classes."""
-        # ids grow with the corpus, so they are never broadcast, small as they may be
-        return docs.join(picked.hint("merge"), docs.doc_id.eqNullSafe(picked.first_id)).drop("first_id", "doc_id")
-
-    cells = _cells(docs, k, p, q)
-    order = Window.partitionBy("cell").orderBy("node")
-    # both look one row back or ahead, so no cell is held in memory; most cells hold one set and end here
-    beside = (F.lag("node").over(order) != F.col("node")) | (F.lead("node").over(order) != F.col("node"))
-    met = cells.withColumn("beside", beside).where("beside").drop("beside")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key")).alias("first")
+    classes = base.where("n_shingles > 0").groupBy("node").agg(first, F.max("n_shingles").alias("n_shingles"))
+
+    def members(picked: DataFrame) -> DataFrame:
+        """``picked`` (part, block, node, key, label, asks) with the texts of the rows of that key."""
+        # keys grow with the corpus, so they are never broadcast, few as they may be
+        return docs.select("key", "text").join(picked.hint("merge"), "key").select("part", "block", "node", "label", "asks", "text")
+
+    met = stored(_met(_cells(docs, k, p, q)), "met")
     at = base.where("n_shingles > 0").groupBy("node").agg(F.first("point").alias("point"))
     parts = connected_components(_allowed(met.join(at, "node"), p, q), "cells").withColumnRenamed("component", "part")
-    sized = parts.join(classes, "node")
+    sized = stored(parts.join(classes, "node").select("part", "node", "first.key", "n_shingles"), "sized")
     wide = sized.groupBy("part").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
     wide = wide.select("part", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     spot = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = stored(sized.join(wide, "part").select("part", "node", "first_id", "blocks", spot.alias("block")), "placed")
-
-    def members(picked: DataFrame) -> DataFrame:
-        return texts_of(picked).select("part", "block", "node", "label", "asks", "text")
-
-    alone = placed.select("part", "block", "node", "first_id", F.col("node").alias("label"), F.lit(True).alias("asks"))
+    placed = stored(_with_known(sized, wide, "part").select("part", "node", "key", "blocks", spot.alias("block")), "placed")
+    alone = placed.select("part", "block", "node", "key", F.col("node").alias("label"), F.lit(True).alias("asks"))
     links = stored(_solve(members(alone), k, p, q), "links")
     large = placed.where("blocks > 1")
     if not large.isEmpty():
-        links = stored(links.unionByName(_across(large, links, members, k, p, q)), "links")
-    joined = connected_components(links, "jaccard")
-    classed = classes.join(joined, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
-    smallest = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # a class without links is its own root, so this join is one to many from the roots
-    ids = classed.join(smallest, "root").select("node", "component_id")
-    out = base.join(ids, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _across(large: DataFrame, links: DataFrame, members, k: int, p: int, q: int) -> DataFrame:
-    """Links between the blocks of parts that no single tree holds.
-
-    First a few sets of each block's classes are joined, then every set outside a
-    part's largest class is asked against all blocks of the part.
+        links = stored(links.unionByName(_across(large, links, met, members, k, p, q)), "links")
+    joined = connected_components(links, "jaccard").withColumnRenamed("component", "root")
+    # a class without links is its own root
+    classed = stored(classes.join(joined, "node", "left").select("node", "first", "root"), "classed")
+    smallest = classed.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
+    linked_ids = _with_known(classed.where("root IS NOT NULL"), smallest, "root").select("node", "least")
+    ids = linked_ids.unionByName(classed.where("root IS NULL").select("node", F.col("first").alias("least")))
+    out = base.where("n_shingles > 0").drop("point").join(ids, "node")
+    component = F.when(~F.col("least.unnamed"), F.col("least.key"))
+    out = out.select("doc_id", "key", "n_shingles", "node", component.alias("component_id"), (F.col("key") == F.col("least.key")).alias("leads"))
+    bare = base.where("n_shingles = 0").select("doc_id", "key", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
+    return out.unionByName(bare)
+
+
+def _across(large: DataFrame, links: DataFrame, met: DataFrame, members, k: int, p: int, q: int) -> DataFrame:
+    """Links between the blocks of parts that no single tree holds; ``large`` is (part, node, key, blocks, block).
+
+    First a few sets of each class are joined, round by round, while that makes
+    notably fewer classes. Then every set outside its part's largest class is asked
+    against the blocks in which some set of another class shares a cell with it.
     """
-
-    def labelled(found: DataFrame) -> DataFrame:
-        joined = connected_components(found, "blocks")
-        return large.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-
-    now = labelled(links)
-    order = Window.partitionBy("part", "label").orderBy(F.xxhash64("node"), "node")
-    anchors = now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ANCHORS)
-    many = anchors.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("groups"))
-    anchors = anchors.join(many, "part").withColumn("block", F.pmod(F.xxhash64("label"), F.col("groups")))
-    more = stored(_solve(members(anchors.select("part", "block", "node", "first_id", "label", F.lit(True).alias("asks"))), k, p, q), "anchors")
-    now = stored(labelled(links.unionByName(more)), "labelled")
-    counted = now.groupBy("part", "label").agg(F.count("*").alias("n"))
+    links = stored(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "within")
+    for turn in itertools.count():
+        joined = connected_components(links, "blocks").withColumnRenamed("component", "label")
+        now = stored(large.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        counted = stored(now.groupBy("part", "label").agg(F.count("*").alias("n")), "counted")
+        order = Window.partitionBy("part", "label").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        anchors = now.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ANCHORS)
+        groups = counted.groupBy("part").agg(F.ceil(F.sum(F.least("n", F.lit(ANCHORS))) / BLOCK_SETS).cast("long").alias("groups"))
+        anchors = _with_known(anchors, groups, "part").withColumn("block", F.pmod(F.xxhash64("label", F.lit(turn)), F.col("groups")))
+        more = stored(_solve(members(anchors.select("part", "block", "node", "key", "label", F.lit(True).alias("asks"))), k, p, q), "anchors")
+        made = more.count()
+        if made:
+            links = links.unionByName(more)
+        if made * 10 < counted.count():
+            break
+    if made:
+        joined = connected_components(links, "blocks").withColumnRenamed("component", "label")
+        now = stored(large.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        counted = now.groupBy("part", "label").agg(F.count("*").alias("n"))
     main = counted.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    asking = now.join(main, "part").where("label <> main").drop("main")
+    asking = stored(_with_known(now, main, "part").where("label <> main").drop("main"), "asking")
     if asking.isEmpty():
-        return more
-    # ask block j against block i of the part, for every i
-    every = asking.select("part", "node", "first_id", "label", "blocks", F.col("block").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asked = asking.select("part", F.col("block").alias("j")).distinct()
-    rest = now.join(asked, "part").select("part", "node", "first_id", "label", F.col("block").alias("i"), "blocks", "j", F.lit(False).alias("asks"))
-    every = every.select("part", "node", "first_id", "label", "i", "blocks", "j", F.lit(True).alias("asks"))
-    tasks = rest.unionByName(every).select("part", (F.col("i") * F.col("blocks") + F.col("j")).alias("block"), "node", "first_id", "label", "asks")
-    return more.unionByName(_solve(members(tasks), k, p, q))
+        return links
+    inside = met.join(now.select("node", "block", "label"), "node").groupBy("cell", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    beside = met.join(asking.select("node", "part", "key", "label"), "node").join(inside, "cell").where("low <> label OR high <> label")
+    beside = stored(beside.select("part", "block", "node", "key", "label").distinct(), "beside")
+    turns = beside.groupBy("part", "block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("turns"))
+    asks = beside.join(turns, ["part", "block"]).withColumn("turn", F.pmod(F.xxhash64("node"), F.col("turns"))).withColumn("asks", F.lit(True))
+    rest = now.join(turns, ["part", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).withColumn("asks", F.lit(False))
+    tasks = [x.select("part", "block", "turn", "node", "key", "label", "asks") for x in (asks, rest)]
+    task = tasks[0].unionByName(tasks[1]).withColumn("block", F.shiftleft("block", 32) + F.col("turn"))
+    return links.unionByName(_solve(members(task), k, p, q))
 
 
 def keep_first(df: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """The rows of ``df`` with one document of each component: the one with the smallest doc_id.
 
-    Texts without words link with nothing and stay. Repeated equal rows are one document.
+    Texts without words link with nothing and stay. A component of rows with null
+    ids alone keeps the text of the smallest hash. Rows that share id and text are
+    one document: the one whose other columns hash lowest stays. Rows that share an
+    id but not their text stay or go together. An empty table stays empty.
     """
-    found = jaccard_components(df, k, p, q)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return df.join(kept, df.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates()
+    found = stored(jaccard_components(df, k, p, q).select("key", "leads"), "led")
+    kept = found.where("leads").groupBy("key").agg(F.count("*").alias("copies"))
+    at = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    names = {c.lower() for c in df.columns}
+    spare = next(c for c in (f"key{i}" for i in itertools.count()) if c not in names)
+    keyed = df.withColumn(spare, at)
+    once = keyed.join(kept.where("copies = 1").select(F.col("key").alias(spare)), spare, "left_semi").drop(spare)
+    again = kept.where("copies > 1").select(F.col("key").alias(spare))
+    # maps can't be hashed, so each column counts by its text
+    own = [F.col(f"`{c}`") for c in df.columns]
+    rank = F.xxhash64(*[F.to_json(F.struct(c)) for c in own])
+    repeated = keyed.join(again, spare, "left_semi").groupBy(spare, F.xxhash64("text")).agg(F.min_by(F.struct(*own), rank).alias("row"))
+    return once.unionByName(repeated.select("row.*"))
 
 
 def op4_ngram_jaccard_join(df: DataFrame) -> DataFrame:
