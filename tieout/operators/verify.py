@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions.expr import money_minor
 from tieout.operators.profile import source_columns
+from tieout.sources.store import written
 
 #: Money-like cells up to which sums and differences of two cells are tried.
 MAX_PAIR_COLUMNS = 12
@@ -24,6 +25,7 @@ CODES = (
     "timing_consistent",
     "no_residual_evidence",
     "confidence_consistent",
+    "duplicate_rows_excluded",
 )
 
 
@@ -78,14 +80,20 @@ def currency_column(df: DataFrame) -> str | None:
 def currencies(members: DataFrame, sources: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
     """(proposal_id, n_with_currency, n_currencies) over the members of datasets with a currency column."""
     parts = [sources[n].select(F.lit(n).alias("dataset"), "row_id", F.upper(F.trim(c)).alias("currency")) for n, c in columns.items() if c]
-    rows = members.join(reduce(DataFrame.unionByName, parts), ["dataset", "row_id"])
+    if not parts:
+        return members.where(F.lit(False)).select("proposal_id", F.lit(0).cast("bigint").alias("n_with_currency"), F.lit(0).cast("bigint").alias("n_currencies"))
+    rows = members.join(reduce(DataFrame.unionByName, parts), ["dataset", "row_id"]).withColumn("currency", F.when(F.col("currency") != "", F.col("currency")))
     return rows.groupBy("proposal_id").agg(F.count("currency").alias("n_with_currency"), F.count_distinct("currency").alias("n_currencies"))
 
 
-def clashes(props: DataFrame, members: DataFrame, status: DataFrame) -> DataFrame:
-    """(proposal_id, n_clashes): members that another accepted proposal holds on the same edge."""
+def clashes(props: DataFrame, members: DataFrame, status: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """(proposal_id, n_clashes): members that another accepted proposal holds on the same edge.
+
+    ``recorded`` has the members of every proposal that ``status`` knows; without it ``members`` has.
+    """
     own = members.join(props.select("proposal_id", "edge"), "proposal_id").select("proposal_id", "edge", "dataset", "row_id")
-    held = members.join(status.where("status = 'accepted'").select("proposal_id", "edge"), "proposal_id").select(F.col("proposal_id").alias("by"), "edge", "dataset", "row_id")
+    accepted = status.where("status = 'accepted'").select("proposal_id", "edge")
+    held = (members if recorded is None else recorded).join(accepted, "proposal_id").select(F.col("proposal_id").alias("by"), "edge", "dataset", "row_id")
     return own.join(held, ["edge", "dataset", "row_id"]).where("by <> proposal_id").groupBy("proposal_id").agg(F.count("*").alias("n_clashes"))
 
 
@@ -99,25 +107,56 @@ def population_columns(props: DataFrame, sources: dict[str, DataFrame]) -> DataF
     return hit.groupBy("rule", "dataset").agg(F.max_by("column", F.struct("n", -F.col("ordinal"))).alias("column"))
 
 
-def residual_evidence(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
-    """(proposal_id, n_taken, n_visible): rows that carry the group's key in the population columns against rows that the group took."""
-    parts = [sources[n].select(F.lit(n).alias("dataset"), F.trim(F.col(c).cast("string")).alias("group_key")) for n, c in columns.items()]
-    carried = reduce(DataFrame.unionByName, parts).groupBy("group_key").agg(F.count("*").alias("n_visible"))
-    taken = members.where(F.col("dataset").isin(*columns)).groupBy("proposal_id").agg(F.count("*").alias("n_taken"))
-    return props.select("proposal_id", "group_key").join(carried, "group_key").join(taken, "proposal_id").select("proposal_id", "n_taken", "n_visible")
+def residual_evidence(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame], columns: list[tuple[str, str, str]]) -> DataFrame:
+    """(proposal_id, n_taken, n_visible, n_left) over the datasets that a group has members in.
+
+    ``columns`` is (rule, dataset, population column). Visible are the rows that
+    carry the group's key there, left those of a dataset beyond what the group
+    took of it. Groups whose key no such column carries are absent.
+    """
+    parts = [sources[n].select(F.lit(rule).alias("rule"), F.lit(n).alias("dataset"), F.trim(F.col(c).cast("string")).alias("group_key")) for rule, n, c in columns]
+    if not parts:
+        return props.where(F.lit(False)).select("proposal_id", *[F.lit(0).cast("bigint").alias(c) for c in ("n_taken", "n_visible", "n_left")])
+    visible = reduce(DataFrame.unionByName, parts).groupBy("rule", "dataset", "group_key").agg(F.count("*").alias("n_visible"))
+    taken = members.groupBy("proposal_id", "dataset").agg(F.count("*").alias("n_taken")).join(props.select("proposal_id", "rule", "group_key"), "proposal_id")
+    both = taken.join(visible, ["rule", "dataset", "group_key"])
+    left = F.sum(F.greatest(F.col("n_visible") - F.col("n_taken"), F.lit(0).cast("bigint")))
+    return both.groupBy("proposal_id").agg(F.sum("n_taken").alias("n_taken"), F.sum("n_visible").alias("n_visible"), left.alias("n_left"))
+
+
+def duplicated(members: DataFrame, marks: DataFrame) -> DataFrame:
+    """(proposal_id, n_duplicates): members whose first copy is in the same group; ``marks`` is (dataset, row_id, dup_of)."""
+    own = members.select("proposal_id", "dataset", "row_id").join(marks.where("dup_of IS NOT NULL"), ["dataset", "row_id"])
+    first = members.select("proposal_id", "dataset", F.col("row_id").alias("dup_of"))
+    return own.join(first, ["proposal_id", "dataset", "dup_of"], "left_semi").groupBy("proposal_id").agg(F.count("*").alias("n_duplicates"))
 
 
 def _invariant(code: str, passed: Column) -> Column:
     return F.struct(F.lit(code).alias("code"), passed.cast("boolean").alias("passed"))
 
 
-def verify(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame], currency: dict[str, str], population: dict[str, str], timed: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+def verify(
+    props: DataFrame,
+    members: DataFrame,
+    sources: dict[str, DataFrame],
+    currency: dict[str, str],
+    population: list[tuple[str, str, str]],
+    timed: DataFrame | None = None,
+    status: DataFrame | None = None,
+    recorded: DataFrame | None = None,
+    marks: DataFrame | None = None,
+) -> DataFrame:
     """(proposal_id, status, checked, failed, invariants) of every proposal.
 
     An invariant passes, fails or doesn't apply (null); a proposal fails if any
-    of its invariants does. All members are resolved and traced in one pass.
+    of its invariants does. All members are resolved and traced in one pass, over
+    the source rows that are members. ``population`` is (rule, dataset, column);
+    ``recorded`` has the members of the proposals of ``status``; ``marks`` are
+    duplicate marks, which are reported and never fail.
     """
-    rows = traced(resolve(members, sources), source_cells(sources))
+    members = written(members, "verifying")
+    picked = {n: df.join(members.where(F.col("dataset") == n).select("row_id").distinct(), "row_id", "left_semi") for n, df in sources.items()}
+    rows = traced(resolve(members, picked), source_cells(picked))
     facts = rows.groupBy("proposal_id").agg(
         F.bool_and("resolved").alias("resolved"),
         F.count("*").alias("n"),
@@ -129,7 +168,8 @@ def verify(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame],
     )
     joined = props.join(facts, "proposal_id", "left").join(currencies(members, sources, currency), "proposal_id", "left").join(residual_evidence(props, members, sources, population), "proposal_id", "left")
     joined = joined.join(timed.select("rule", "group_key", "late"), ["rule", "group_key"], "left") if timed is not None else joined.withColumn("late", F.lit(None).cast("boolean"))
-    joined = joined.join(clashes(props, members, status), "proposal_id", "left") if status is not None else joined.withColumn("n_clashes", F.lit(None).cast("bigint"))
+    joined = joined.join(clashes(props, members, status, recorded), "proposal_id", "left") if status is not None else joined.withColumn("n_clashes", F.lit(None).cast("bigint"))
+    joined = joined.join(duplicated(members, marks), "proposal_id", "left") if marks is not None else joined.withColumn("n_duplicates", F.lit(None).cast("bigint"))
     amounts = F.col("n_amounts") > 0
     whole = F.col("has_amounts") & amounts
     claims = F.col("confidence").isin("exact", "within_tolerance")
@@ -145,10 +185,12 @@ def verify(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame],
         _invariant("single_claim_per_edge", F.coalesce(F.col("n_clashes"), F.lit(0)) == 0),
         _invariant("currency_uniform", F.when(F.col("n_with_currency") >= 2, F.col("n_currencies") == 1)),
         _invariant("timing_consistent", ~F.col("late")),
-        _invariant("no_residual_evidence", F.col("n_visible") <= F.col("n_taken")),
+        _invariant("no_residual_evidence", F.coalesce(F.col("n_left"), F.lit(0)) == 0),
         _invariant("confidence_consistent", F.when(whole & F.col("confidence").isin("exact", "within_tolerance", "unbalanced"), derived == F.col("confidence"))),
     )
-    out = joined.select("proposal_id", checks.alias("invariants"))
+    # said only where there are any, and never judged
+    said = F.when(F.col("n_duplicates") > 0, F.array(_invariant("duplicate_rows_excluded", F.lit(None)))).otherwise(F.array().cast("array<struct<code:string,passed:boolean>>"))
+    out = joined.select("proposal_id", F.concat(checks, said).alias("invariants"))
     failed = F.transform(F.filter("invariants", lambda x: ~x["passed"]), lambda x: x["code"])
     return out.select("proposal_id", F.when(F.size(failed) > 0, "fail").otherwise("pass").alias("status"), F.size(F.filter("invariants", lambda x: x["passed"].isNotNull())).alias("checked"), failed.alias("failed"), "invariants")
 

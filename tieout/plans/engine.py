@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.functions.expr import instant_micros
 from tieout.operators import amounts, chains, discover, embedded, match, profile, report, spine, timing, verify
 from tieout.plans.ledger import Ledger
 from tieout.plans.sqlgate import run_select
@@ -14,7 +17,8 @@ from tieout.sources.store import written
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.catalog, self.ledger = spark, Catalog(spark), Ledger(spark, path)
+        self.spark, self.catalog = spark, Catalog(spark)
+        self.ledger = Ledger(spark, path, self.checks)
         self.spine_declared: str | None = None
         self.views: dict[str, DataFrame] = {}
 
@@ -30,6 +34,22 @@ class Engine:
     def query_data(self, sql: str, rows: int = 10) -> dict:
         return run_select(self.spark, sql, rows)
 
+    def drop_dataset(self, name: str) -> None:
+        """Delete a source with its views and all proposals that hold a row of it."""
+        self.ledger.drop_dataset(name)
+        if self.views.pop(name, None) is not None:
+            self.spark.catalog.dropTempView(f"v_{name}_norm")
+        self.catalog.drop(name)
+
+    def reset(self) -> None:
+        """Forget every source, view, rule and proposal."""
+        for name in list(self.catalog.datasets):
+            if self.views.pop(name, None) is not None:
+                self.spark.catalog.dropTempView(f"v_{name}_norm")
+        self.catalog.reset()
+        self.ledger.clear()
+        self.spine_declared = None
+
     def visible(self) -> dict[str, DataFrame]:
         return {n: self.views.get(n, d.visible()) for n, d in self.catalog.datasets.items()}
 
@@ -117,7 +137,7 @@ class Engine:
                 rule, members = f"auto_batch__{ln}__{rn}", match.aggregate_members(*sides)
             else:
                 rule, members = f"auto_exact__{ln}__{rn}", match.row_level_members(*sides)
-            results.append(self.ledger.propose(rule, members, spec, best.tolerance_minor if best else 0, check=self.checks(rule)))
+            results.append(self.ledger.propose(rule, members, spec, best.tolerance_minor if best else 0, check=self.checks))
         return {"rules_run": len(results), "groups_proposed": sum(r["proposed"] for r in results), "results": results, "normalised_views": views, "declined": declined, "coverage": self.coverage()}
 
     def run_rule(self, rule: str, members: DataFrame | str, tolerance_minor: int = 0, author: str = "agent", spec: str | None = None) -> dict:
@@ -137,7 +157,7 @@ class Engine:
         if unknown:
             raise ValueError(f"no source is called {unknown[0].dataset}")
         shaped = members.select(F.col("group_key").cast("string"), "dataset", F.col("row_id").cast("bigint"), "role", F.col("amount_minor").cast("bigint"))
-        return self.ledger.propose(rule, written(shaped, "rule"), text, tolerance_minor, author, self.checks(rule))
+        return self.ledger.propose(rule, written(shaped, "rule"), text, tolerance_minor, author, self.checks)
 
     def run_reconciliation(self, request: dict) -> dict:
         known = {"mode", "rule", "sql", "description", "tolerance_minor", "tier", "spine"}
@@ -151,35 +171,34 @@ class Engine:
 
     # verification
 
-    def checks(self, rule: str):
-        """A function of (proposals, members) that verifies them against all sources as one job."""
-
-        def check(props: DataFrame, members: DataFrame) -> DataFrame:
-            sources = self.sources()
-            currency = {n: verify.currency_column(s) for n, s in sources.items()}
-            plain = {n: self.views.get(n, s) for n, s in sources.items()}
-            pop = {r.dataset: r.column for r in verify.population_columns(props, {n: s.drop("dup_of", "dup_kind") for n, s in plain.items()}).collect()}
-            spans = timing.group_spans(self.instants(props, members))
-            return verify.verify(props, members, plain, {n: c for n, c in currency.items() if c}, pop, timing.timing(spans), self.ledger.status())
-
-        return check
+    def checks(self, props: DataFrame, members: DataFrame) -> DataFrame:
+        """Verification of proposals against all sources and all accepted claims, as one job."""
+        sources = self.sources()
+        currency = {n: verify.currency_column(s) for n, s in sources.items()}
+        plain = {n: self.views.get(n, s) for n, s in sources.items()}
+        pop = [tuple(r) for r in verify.population_columns(props, {n: s.drop("dup_of", "dup_kind") for n, s in plain.items()}).collect()]
+        marks = reduce(DataFrame.unionByName, [d.rows.select(F.lit(n).alias("dataset"), "row_id", "dup_of") for n, d in self.catalog.datasets.items()])
+        # what is usual for a rule follows from all its groups, not from those that are asked about
+        peers = self.ledger.table("proposal").join(props.select("rule").distinct(), "rule", "left_semi")
+        recorded = self.ledger.table("member")
+        spans = timing.group_spans(self.instants(peers, recorded))
+        return verify.verify(props, members, plain, {n: c for n, c in currency.items() if c}, pop, timing.timing(spans), self.ledger.status(), recorded, marks)
 
     def instants(self, props: DataFrame, members: DataFrame) -> DataFrame:
-        """(rule, group_key, instant_s) of every date cell of every member row; ISO text only."""
-        from tieout.functions.expr import instant_micros
-
-        parts = None
+        """(rule, group_key, instant_s) of every ISO-shaped cell of every member row."""
+        parts = []
         for n, d in self.catalog.datasets.items():
-            for c in d.date_columns:
-                own = d.rows.select(F.lit(n).alias("dataset"), "row_id", (instant_micros(F.col(c).cast("string")) / 1e6).alias("instant_s"))
-                parts = own if parts is None else parts.unionByName(own)
-        if parts is None:
+            cells = [(instant_micros(F.col(c).cast("string")) / 1e6) for c in d.kinds]
+            if cells:
+                parts.append(d.rows.select(F.lit(n).alias("dataset"), "row_id", F.filter(F.array(*cells), lambda x: x.isNotNull()).alias("instants")))
+        if not parts:
             return self.spark.createDataFrame([], "rule string, group_key string, instant_s double")
-        return members.join(props.select("proposal_id", "rule"), "proposal_id").join(parts, ["dataset", "row_id"]).select("rule", "group_key", "instant_s")
+        own = members.join(props.select("proposal_id", "rule"), "proposal_id")
+        return own.join(reduce(DataFrame.unionByName, parts), ["dataset", "row_id"]).select("rule", "group_key", F.explode("instants").alias("instant_s"))
 
     def sweep(self) -> DataFrame:
         """Verify every proposal again; (status, n)."""
-        self.ledger.verify(self.checks("sweep"))
+        self.ledger.verify(self.checks)
         return self.ledger.verified().groupBy("status").agg(F.count("*").alias("n"))
 
     # what came of it

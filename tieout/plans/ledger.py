@@ -38,11 +38,12 @@ def rule_hash(spec: str) -> str:
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, check=None) -> None:
+        """``check(proposals, members)`` verifies at release; without it the last verification on record counts."""
+        self.spark, self.check = spark, check
         self.path = path or f"{shared_dir(spark)}/tieout-ledger-{uuid.uuid4().hex}"
         self.rules: dict[str, dict] = {}
-        self._seq = 0
+        self._seq = self._appends = 0
         self._files: dict[str, list[str]] = {k: [] for k in _SCHEMAS}
 
     # tables
@@ -52,7 +53,8 @@ class Ledger:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(*files) if files else self.spark.createDataFrame([], _SCHEMAS[name])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        file = f"{self.path}/{name}/{len(self._files[name]):06d}"
+        self._appends += 1
+        file = f"{self.path}/{name}/{self._appends:06d}"
         fields = [f.split(" ", 1) for f in re.split(r", (?![^<]*>)", _SCHEMAS[name])]
         rows.select(*[F.col(c).cast(t).alias(c) for c, t in fields]).write.parquet(file)
         self._files[name].append(file)
@@ -118,7 +120,7 @@ class Ledger:
         if check is not None:
             self.verify(check, new)
             may = match.eligible(new, self.trusted(), held)
-            released = self.release(may, "auto_accepted", "system")
+            released = self.release(may, "auto_accepted", "system", fresh=True)
         return {"rule": rule, "proposed": new.count(), "skipped": skipped.count(), "released": released, "held": held.count()}
 
     def verify(self, check, props: DataFrame | None = None) -> None:
@@ -127,14 +129,38 @@ class Ledger:
         rows = self.table("member").join(props.select("proposal_id"), "proposal_id", "left_semi")
         self.append("verification", check(props, rows).withColumn("seq", F.lit(self._next())))
 
-    def release(self, props: DataFrame, kind: str, actor: str, force: bool = False) -> int:
-        """Accept those whose last verification passed; the others get an event that says it didn't. The one way to accepted."""
+    def release(self, props: DataFrame, kind: str, actor: str, force: bool = False, fresh: bool = False) -> int:
+        """Accept those that pass verification now; the others get an event that says they didn't. The one way to accepted.
+
+        ``fresh`` says that they were verified a moment ago. No row is accepted
+        twice on an edge: of proposals that ask for one row at once the one with
+        the smallest id gets it, and those that hold a row of an accepted one fail.
+        ``force`` accepts all the same and says so.
+        """
+        asked = written(self.table("proposal").join(props.select("proposal_id"), "proposal_id", "left_semi"), "asked")
+        if self.check is not None and not fresh:
+            self.verify(self.check, asked)
         last = self.verified().select("proposal_id", F.col("status").alias("checked"))
-        both = written(props.select("proposal_id").join(last, "proposal_id", "left"), "releasing")
-        good, bad = both.where("checked = 'pass'"), both.where("checked IS NULL OR checked <> 'pass'")
+        both = written(asked.select("proposal_id", "edge").join(last, "proposal_id", "left"), "releasing")
+        bad = both.where("checked IS NULL OR checked <> 'pass'")
         self.events(bad, "verification_overridden" if force else "verification_failed", actor)
-        self.events(both if force else good, kind, actor)
-        return (both if force else good).count()
+        if force:
+            self.events(both, kind, actor)
+            return both.count()
+        rest, released = both.where("checked = 'pass'").select("proposal_id", "edge"), 0
+        while True:
+            rows = written(self.table("member").join(rest, "proposal_id").select("proposal_id", "edge", "dataset", "row_id"), "wanted")
+            late = written(rows.join(match.claimed(self.status(), self.table("member")), ["edge", "dataset", "row_id"], "left_semi").select("proposal_id").distinct(), "late")
+            self.events(late, "verification_failed", actor)
+            free = rows.join(late, "proposal_id", "left_anti")
+            behind = free.groupBy("edge", "dataset", "row_id").agg(F.min("proposal_id").alias("first")).join(free, ["edge", "dataset", "row_id"]).where("proposal_id <> first").select("proposal_id").distinct()
+            behind = written(behind, "behind")
+            ready = written(rest.join(late, "proposal_id", "left_anti").join(behind, "proposal_id", "left_anti"), "ready")
+            self.events(ready, kind, actor)
+            released += ready.count()
+            if behind.isEmpty():
+                return released
+            rest = rest.join(behind, "proposal_id", "left_semi")
 
     def trust(self, rule: str, actor: str = "person") -> int:
         """Trust a rule: its pending groups that balance exactly or within tolerance are released."""
@@ -157,6 +183,29 @@ class Ledger:
             self.events(picked, status, actor)
         return {r.proposal_id: r.status for r in self.status().where(F.col("proposal_id").isin(*ids)).select("proposal_id", "status").collect()}
 
+    def proposals(self, status: str | None = None, rule: str | None = None) -> DataFrame:
+        """Proposals with their status, the newest first: by the event that proposed them, then by id."""
+        made = self.table("event").groupBy("proposal_id").agg(F.min("seq").alias("made"))
+        out = self.status().join(made, "proposal_id", "left")
+        out = out if status is None else out.where(F.col("status") == status)
+        out = out if rule is None else out.where(F.col("rule") == rule)
+        return out.orderBy(F.desc("made"), "proposal_id").drop("made")
+
+    def clear(self) -> None:
+        """Forget all rules, proposals and records."""
+        self.rules.clear()
+        self._files = {k: [] for k in _SCHEMAS}
+
+    def drop_dataset(self, name: str) -> None:
+        """Forget the proposals that have a member in a source, and their records."""
+        gone = written(self.table("member").where(F.col("dataset") == name).select("proposal_id").distinct(), "gone")
+        if gone.isEmpty():
+            return
+        kept = {t: written(self.table(t).join(gone, "proposal_id", "left_anti"), t) for t in _SCHEMAS}
+        for t, rows in kept.items():
+            self._files[t] = []
+            self.append(t, rows)
+
     def list_rules(self) -> DataFrame:
         """(rule, trusted, total, pending)."""
         counts = self.status().groupBy("rule").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"))

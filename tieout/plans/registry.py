@@ -488,7 +488,7 @@ def verify_residual_evidence(spark, d):
     w = World(spark, d)
     own = w.exact_members()
     props = match.proposals(own, RULE_EXACT)
-    pop = {r.dataset: r.column for r in verify.population_columns(props, {"ledger": w.ledger, "gateway": w.gateway}).collect()}
+    pop = [tuple(r) for r in verify.population_columns(props, {"ledger": w.ledger, "gateway": w.gateway}).collect()]
     found = verify.residual_evidence(props, match.members_of(props, own), w.sources, pop)
     return found.join(props, "proposal_id").select("group_key", "n_taken", "n_visible")
 
@@ -535,7 +535,7 @@ def _verified(spark, d):
     w = World(spark, d)
     own = w.exact_members()
     props = match.proposals(own, RULE_EXACT)
-    pop = {"ledger": "order_ref", "gateway": "order_ref"}
+    pop = [(RULE_EXACT, "ledger", "order_ref"), (RULE_EXACT, "gateway", "order_ref")]
     return props, verify.verify(props, match.members_of(props, own), w.sources, {"ledger": "currency", "gateway": "currency"}, pop)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ class Catalog:
         for name, path in files.items():
             try:
                 self.add_csv(name, path)
-            except (IngestError, OSError) as e:
+            except (IngestError, OSError, PySparkException, Py4JError) as e:
                 failed[name] = str(e)
         return failed
 

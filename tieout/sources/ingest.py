@@ -30,7 +30,7 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 GROUPED_NUMBER = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
 LONG_DIGITS = r"\d{16,}"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
-DATE = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/(\d{2}|\d{4}))$"
+DATE = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})$"
 #: Ways in which Spark names the encodings.
 _SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
 
@@ -73,7 +73,7 @@ def sanitised(headers: list[str], taken: tuple[str, ...] = ("row_id", "dup_of",
     """Headers as lower-case identifiers, each one different and none reserved."""
     out: list[str] = []
     for i, h in enumerate(headers, 1):
-        base = re.sub(r"\W", "_", h or "").strip("_").lower() or f"col_{i}"
+        base = re.sub(r"\W+", "_", (h or "").strip()).strip("_").lower() or f"col_{i}"
         if base[0].isdigit():
             base = f"c_{base}"
         if base in taken:

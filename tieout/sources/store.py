@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _OWN
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _OWN = _OWN or tempfile.mkdtemp(prefix="tieout-")
         root = f"file://{_OWN}"
     return root.rstrip("/")
