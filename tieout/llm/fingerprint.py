@@ -13,11 +13,13 @@ of common names of two texts can be told.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,8 @@ from tieout.llm.frames import SLICE_BYTES
 LEVELS = 3
 #: Names a fingerprint keeps, of 32 bits each.
 KEPT = 128
-#: Documents a range partition takes, about.
-RANGE_DOCS = 4000
+#: Ranges of ids for each square root of the number of documents.
+RANGES = 0.5
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -142,29 +144,33 @@ def with_next(df: DataFrame, schema: T.StructType, work) -> DataFrame:
     """Run ``work(ids, texts, next_texts)`` over ``df`` (doc_id, text) in ascending doc_id, each text with the next one; the last with the first.
 
     Ranges of ids go to partitions of their own, sorted there and read as a
-    stream, so a text moves once. The first row of a range, of which there is one
-    a partition, goes to the range before as well. Null ids come first; rows that
-    share an id follow each other in the order of their texts' hashes.
+    stream, so a text moves once. The first row of a range goes to the range
+    before as well. Both the number of ranges and the rows of one grow with the
+    square root of the rows, so what is known of ranges stays small. Null ids come
+    first; rows that share an id follow each other in the order of their texts'
+    hashes. An empty table gives an empty result.
     """
     n = df.count()
     if not n:
         return df.sparkSession.createDataFrame([], schema)
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_DOCS))
+    parts = math.ceil(RANGES * math.sqrt(n))
     cuts = sorted(set(df.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    ranked = df.withColumn("rank", F.xxhash64("text"))
-    # the count of cuts at or below an id is its range
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    ranged = ranked.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))))
-    heads = ranged.groupBy("range").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("k"), "rank")).alias("head")).collect()
-    heads.sort(key=lambda r: r.range)
-    before = {heads[i].range: heads[i - 1].range for i in range(len(heads))}
-    keys = [r.head.k for r in heads]
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    is_head = F.create_map(*[F.lit(x) for r in heads for x in (r.range, r.head["rank"])])[F.col("range")] == F.col("rank")
-    copies = ranged.where(key.isin(keys) & is_head).dropDuplicates(["range"]).withColumn("range", to[F.col("range")]).withColumn("last", F.lit(True))
-    sent = ranged.withColumn("last", F.lit(False)).unionByName(copies).repartition(parts, "range").sortWithinPartitions("range", "last", "doc_id", "rank")
+    ranked = df.withColumn("k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("rank", F.xxhash64("text"))
+    if cuts:
+        # a binary search; ids that one double stands for stay in one range
+        ranked = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range").transform(ranked.withColumn("at", F.col("k").cast("double")))
+    else:
+        ranked = ranked.withColumn("range", F.lit(0))
+    ranked = ranked.withColumn("range", F.col("range").cast("int"))
+    heads = ranked.groupBy("range").agg(F.min(F.struct("k", "rank")).alias("head"))
+    order = Window.orderBy("range")  # one row a range
+    before = F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.select("range", "head.k", "head.rank", before.alias("before"))
+    sent = ranked.join(F.broadcast(heads), ["range", "k", "rank"], "left")
+    # equal rows may all be heads; the first that comes ends the range before
+    to = F.when(F.col("before").isNull(), F.array(F.struct("range", F.lit(False).alias("last")))).otherwise(F.array(F.struct("range", F.lit(False).alias("last")), F.struct(F.col("before").alias("range"), F.lit(True).alias("last"))))
+    sent = sent.select("doc_id", "text", "rank", F.explode(to).alias("to")).select("doc_id", "text", "rank", "to.range", "to.last")
+    sent = sent.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "last", "doc_id", "rank")
     arrow = pa.schema([pa.field(f.name, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()]) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
