@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         global _OWN
         if _OWN is None:
             _OWN = tempfile.mkdtemp(prefix="tieout-")
@@ -89,6 +92,12 @@ def drop_stored() -> None:
 atexit.register(drop_stored)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base`` or, where ``df`` has a column of that name, ``base`` and a number."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in itertools.chain([base], (f"{base}{i}" for i in itertools.count(2))) if c.lower() not in taken)
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids count as the text ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

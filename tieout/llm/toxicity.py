@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.llm.frames import map_arrow, remainder, sampled
+from tieout.llm.frames import free_name, map_arrow, remainder, sampled, stored
 
 #: Labelled rows that a model is fitted on, about, chosen by a hash of the id.
 TRAIN_ROWS = 30_000
@@ -37,10 +37,10 @@ ODDS, Z, LEAST = 2.0, 2.5, 3
 #: Copies of documents make chance finds likelier than independent documents would, hence more than 1.
 #: The second holds for stems, which stand for words never seen.
 STRICT, STRICT_STEM = 1.5, 3.0
-#: Features of the lexicon at most, those of the largest z first.
-LEXICON = 50_000
 #: Scores are held within this bound; words outside the lexicon get DRIFT.
 BOUND, DRIFT = 6.0, -0.25
+#: Steps of the scores' distribution, and sums of how many words K is worked out from.
+GRID, SUMS = 0.05, 60
 #: A segment counts as significant at this expected number of equal ones in a text.
 EXPECTED = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -48,7 +48,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 def features(text: str) -> set[str]:
     """Distinct words and stems of a whole text, stems marked by a closing star."""
-    words = set(WORDS.findall(text.lower()))
+    words = {w.lower() for w in set(WORDS.findall(text))}
     return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS))
 
 
@@ -63,7 +63,6 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     rights: list[float] = []
     spans: list[tuple[int, int]] = []
     back: list[int] = []  # the nearest earlier candidate with a smaller left sum
-    total, seen = 0.0, 0
     positive = np.flatnonzero(scores > 0)
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     for at in positive.tolist():
@@ -81,27 +80,38 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
         rights.append(right)
         spans.append((start, at + 1))
         back.append(j)
-    del total, seen
     return [(a, b, r - v) for (a, b), v, r in zip(spans, lefts, rights)]
 
 
-def extreme_value(scores: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
+def extreme_value(steps: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
     """(lambda, K) of the law P(best >= s) = 1 - exp(-K n e^(-lambda s)) for independent scores of negative mean.
 
-    lambda solves sum(share * e^(lambda * score)) = 1. K is bounded from above by
-    the mean positive step of the walk, which errs towards fewer findings.
+    Scores are ``steps`` (integers) times GRID. lambda solves
+    sum(share * e^(lambda * score)) = 1, and K follows from the sums S_k of k
+    scores: K = e^(-2 sigma) / ((1 - e^(-lambda)) E[X e^(lambda X)]) with
+    sigma = sum over k of (E[e^(lambda S_k); S_k < 0] + P(S_k >= 0)) / k, in units
+    of GRID; its terms fall off geometrically.
     """
-    mean = float((scores * shares).sum())
-    if mean >= 0 or scores.max() <= 0:
+    mean = float((steps * shares).sum())
+    if mean >= 0 or steps.max() <= 0:
         return 1.0, 1.0
-    grown = lambda x: float((shares * np.exp(x * scores)).sum())
-    low, high = 0.0, 1.0
-    while grown(high) < 1 and high < 64:
+    grown = lambda x: float((shares * np.exp(x * steps)).sum())
+    low, high = 0.0, GRID
+    while grown(high) < 1 and high < 64 * GRID:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2
         low, high = (middle, high) if grown(middle) < 1 else (low, middle)
-    return high, min(1.0, float(shares[scores > 0].sum()) * 2)
+    first = int(steps.min())
+    one = np.zeros(int(steps.max()) - first + 1)
+    np.add.at(one, steps - first, shares)
+    total, start, sigma = np.array([1.0]), 0, 0.0
+    for k in range(1, SUMS + 1):
+        total, start = np.convolve(total, one), start + first
+        at = np.arange(start, start + len(total))
+        sigma += float(total[at >= 0].sum() + (total[at < 0] * np.exp(high * at[at < 0])).sum()) / k
+    k = math.exp(-2 * sigma) / (-math.expm1(-high) * float((shares * steps * np.exp(high * steps)).sum()))
+    return high / GRID, k
 
 
 @dataclass
@@ -111,9 +121,9 @@ class ToxicityModel:
     k: float
     slope: float
     intercept: float
-    empty: float
 
     def word(self, word: str) -> float:
+        word = word.lower()
         own = self.scores.get(word)
         if own is None:
             for n in STEMS:
@@ -123,7 +133,7 @@ class ToxicityModel:
 
     def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """Maximal segments in words with their sums, and the number of words."""
-        words = WORDS.findall(text.lower())
+        words = WORDS.findall(text)
         scored = dict.fromkeys(words)
         for w in scored:
             scored[w] = self.word(w)
@@ -143,7 +153,7 @@ class ToxicityModel:
         if not text:
             return []
         found, n = self.segments(text)
-        spans = [m.span() for m in WORDS.finditer(text.lower())]
+        spans = [m.span() for m in WORDS.finditer(text)]
         out = [(spans[a][0], spans[b - 1][1], self.k * n * math.exp(-self.rate * w)) for a, b, w in found]
         return [x for x in out if x[2] <= EXPECTED]
 
@@ -177,7 +187,8 @@ def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel:
     """A model from ``rows`` (id, text, toxic: 0 or 1); about ``bound`` of them at most, chosen by a hash of the id.
 
     Document counts of words and stems are made in the workers and summed by a
-    shuffle; the lexicon that reaches the driver has at most LEXICON entries.
+    shuffle. Only features in LEAST toxic documents, and there more often than in
+    all, reach the driver, so the size of the training rows bounds them.
     Rows with a null label are left out. Without toxic rows every score is low.
     """
     rows = sampled(rows.where(F.col("toxic").isNotNull()), bound, "id")
@@ -200,13 +211,13 @@ def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel:
 
     sums = map_arrow(rows.select("id", "text", "toxic"), count, counted).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # one row for all documents, and features seen often enough to score; most features are seen once
-    sums = sums.where((F.col("feature") == "") | (F.col("bad") >= LEAST)).orderBy(F.col("feature") != "", F.desc(F.col("bad") / F.col("n")), F.desc("bad"), "feature").limit(LEXICON * 4)
-    table = sums.toPandas()
-    if not len(table) or table["feature"].iloc[0] != "" or table["bad"].iloc[0] == 0:
-        return ToxicityModel({}, 1.0, 1.0, 0.0, -4.0, 0.0)
-    n, bad = float(table["n"].iloc[0]), float(table["bad"].iloc[0])
-    good = n - bad
-    table = table.iloc[1:]
+    sums = stored(sums.where((F.col("feature") == "") | (F.col("bad") >= LEAST)), "features")
+    whole = sums.where("feature = ''").first()
+    if whole is None or whole.bad == 0:
+        return ToxicityModel({}, 1.0, 1.0, 0.0, -4.0)
+    n, bad = float(whole.n), float(whole.bad)
+    good, tested = n - bad, sums.count() - 1
+    table = sums.where((F.col("feature") != "") & (F.col("bad") * n > F.col("n") * bad)).orderBy("feature").toPandas()
     prior = PRIOR * (table["n"].to_numpy() + 1) / (n + 2)
     y1, y0 = table["bad"].to_numpy(float), (table["n"] - table["bad"]).to_numpy(float)
     odds = lambda y, size: np.log((y + prior) / np.maximum(size + PRIOR - y - prior, 1e-9))
@@ -216,9 +227,9 @@ def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel:
     with np.errstate(divide="ignore", invalid="ignore"):
         away = toxic_share * np.log(toxic_share / base) + np.where(toxic_share < 1, (1 - toxic_share) * np.log((1 - toxic_share) / (1 - base)), 0)
     stems = table["feature"].str.endswith("*").to_numpy(bool)
-    unlikely = (toxic_share > base) & ((y1 + y0) * away >= np.where(stems, STRICT_STEM, STRICT) * (math.log(len(table) + 1) + 1))
+    unlikely = (toxic_share > base) & ((y1 + y0) * away >= np.where(stems, STRICT_STEM, STRICT) * (math.log(tested + 1) + 1))
     table = table.assign(score=np.clip(delta, -BOUND, BOUND), z=z)
-    table = table[(table["z"] >= Z) & (delta >= ODDS) & unlikely].sort_values(["z", "feature"], ascending=[False, True]).head(LEXICON)
+    table = table[(table["z"] >= Z) & (delta >= ODDS) & unlikely].sort_values(["z", "feature"], ascending=[False, True])
     scores = dict(zip(table["feature"], table["score"].astype(float)))
     # a stem speaks for unseen words only where no single word makes up most of it
     counts = dict(zip(table["feature"], table["bad"]))
@@ -226,7 +237,7 @@ def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel:
         for size in STEMS if not word.endswith("*") else ():
             if 1.5 * own > counts.get(stem := word[:size] + "*", 0):
                 scores.pop(stem, None)
-    model = ToxicityModel(scores, 1.0, 1.0, 1.0, 0.0, 0.0)
+    model = ToxicityModel(scores, 1.0, 1.0, 1.0, 0.0)
     _calibrate(rows, model)
     return model
 
@@ -235,7 +246,7 @@ def _calibrate(rows: DataFrame, model: ToxicityModel) -> None:
     """Extreme-value parameters from the words of other documents, then the curve from all rows; both from small histograms."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(model)
-    scored = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.LongType())])
+    scored = T.StructType([T.StructField("score", T.LongType()), T.StructField("n", T.LongType())])
 
     def words():
         own = held.value
@@ -244,19 +255,18 @@ def _calibrate(rows: DataFrame, model: ToxicityModel) -> None:
             counts = Counter()
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not toxic:
-                    counts.update(round(own.word(w), 1) for w in WORDS.findall((text or "").lower()))
+                    counts.update(round(own.word(w) / GRID) for w in WORDS.findall(text or ""))
             return [list(counts), list(counts.values())]
 
         return work
 
     part = rows.select("id", "text", "toxic")
     seen = {r.score: r.n for r in map_arrow(part, words, scored).groupBy("score").agg(F.sum("n").alias("n")).collect()}
-    total = sum(seen.values()) + 2
     # one positive word in all the text that was read is the least that is assumed
-    for s in {round(max(model.scores.values(), default=1.0), 1)}:
-        seen[s] = seen.get(s, 0) + 1
-    values = np.array(list(seen), float)
-    model.rate, model.k = extreme_value(values, np.array(list(seen.values()), float) / total)
+    top = round(max(model.scores.values(), default=1.0) / GRID)
+    seen[top] = seen.get(top, 0) + 1
+    steps = np.array(sorted(seen), np.int64)
+    model.rate, model.k = extreme_value(steps, np.array([seen[x] for x in steps.tolist()], float) / sum(seen.values()))
     held = spark.sparkContext.broadcast(model)
 
     def measured():
@@ -281,7 +291,7 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", score:
     """
     rest = [f for f in df.schema.fields if f.name != score]
     schema = T.StructType([*rest, T.StructField(score, T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_ROWS
 
     def make():
         own = shared.value
@@ -303,14 +313,19 @@ def training_rows(df: DataFrame, labels: DataFrame, modulus: int = 4, held: int
 
 
 def op6_toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; learnt from labels whose crc32(doc_id) mod 4 is not 2."""
+    """doc_id, held_out, score, predicted for every row; learnt from labels whose crc32(doc_id) mod 4 is not 2.
+
+    Null and empty texts score as texts without findings; rows of equal text score
+    alike; an id labelled twice counts as toxic if either label says so. An empty
+    table gives an empty result; without labels every score is low.
+    """
     model = train(training_rows(df, labels))
     scored = score_texts(df.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text"), model).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def keep_civil(df: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
-    """The rows of ``df`` whose text scores below ``limit``."""
+    """The rows of ``df`` whose text scores below ``limit``, with their columns as they are; an empty table stays empty."""
     model = train(training_rows(df, labels))
-    scored = score_texts(df.withColumn("__score", F.lit(0.0)), model, score="__score")
-    return scored.where(F.col("__score") < limit).drop("__score")
+    name = free_name(df, "score")
+    return score_texts(df, model, score=name).where(F.col(name) < limit).drop(name)
