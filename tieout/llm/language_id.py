@@ -13,24 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.llm.frames import map_arrow, remainder, sampled
+from tieout.llm.frames import free_name, map_arrow, remainder, sampled
 
 #: Characters of an n-gram; words are padded by one blank.
 GRAM = 4
 #: Slots of the table (a power of two) and slots an n-gram has.
 SLOT_BITS = 20
 HASHES = 2
-#: Languages a mask has bits for.
-MAX_LANGUAGES = 64
+#: Languages a mask has bits for; more languages take more masks.
+MASK = 64
 #: Training rows at most (an about exact bound, chosen by a hash of the id).
 TRAIN_ROWS = 30_000
-#: n-grams of a language that enter its filter: the most frequent ones, this many at most.
-TOP_GRAMS = 20_000
-#: A language's n-gram must make up this share of all of the language's.
+#: An n-gram enters a language's filter if it makes up this share of all of the language's, so no filter holds more than 1 / MIN_SHARE.
 MIN_SHARE = 2e-5
 UNKNOWN = "und"
 
@@ -79,36 +77,45 @@ def slots(names: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     false_rate: np.ndarray
 
     @classmethod
     def of(cls, languages: list[str], members: list[np.ndarray]) -> LanguageFilters:
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(t).bits)
-        masks = np.zeros(1 << SLOT_BITS, kind)
-        for bit, names in enumerate(members):
-            for at in slots(names):
-                masks[np.unique(at)] |= kind(1 << bit)
-        filled = np.array([np.count_nonzero(masks & kind(1 << b)) / len(masks) for b in range(len(languages))])
-        return cls(languages, masks, filled**HASHES)
-
-    def containing(self, names: np.ndarray) -> np.ndarray:
-        """For each n-gram the mask of the languages that contain it."""
+        tables, filled = [], []
+        for start in range(0, len(languages), MASK):
+            own = members[start : start + MASK]
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(own) <= np.iinfo(t).bits)
+            masks = np.zeros(1 << SLOT_BITS, kind)
+            for bit, names in enumerate(own):
+                for at in slots(names):
+                    masks[np.unique(at)] |= kind(1 << bit)
+            tables.append(masks)
+            filled += [np.count_nonzero(masks & kind(1 << b)) / len(masks) for b in range(len(own))]
+        return cls(languages, tables, np.array(filled) ** HASHES)
+
+    def containing(self, names: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the mask of the languages that contain it, table by table."""
         first, *rest = slots(names)
-        found = self.masks[first]
-        for at in rest:
-            found &= self.masks[at]
-        return found
+        out = []
+        for masks in self.masks:
+            found = masks[first]
+            for at in rest:
+                found &= masks[at]
+            out.append(found)
+        return out
 
     def shares(self, names: np.ndarray) -> np.ndarray:
         """For each language its corrected share of the n-grams."""
-        found = self.containing(names)
-        if len(self.languages) <= 8:
-            by_mask = np.bincount(found, minlength=256)
-            hits = np.array([by_mask[(np.arange(256) >> b & 1) == 1].sum() for b in range(len(self.languages))])
-        else:
-            hits = np.array([np.count_nonzero(found & found.dtype.type(1 << b)) for b in range(len(self.languages))])
-        return np.clip((hits / len(names) - self.false_rate) / (1 - self.false_rate), 0, 1)
+        hits: list[int] = []
+        for found in self.containing(names):
+            many = min(MASK, len(self.languages) - len(hits))
+            if many <= 8:
+                by_mask = np.bincount(found, minlength=256)
+                hits += [int(by_mask[(np.arange(256) >> b & 1) == 1].sum()) for b in range(many)]
+            else:
+                hits += [np.count_nonzero(found & found.dtype.type(1 << b)) for b in range(many)]
+        return np.clip((np.array(hits) / len(names) - self.false_rate) / (1 - self.false_rate), 0, 1)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         names = grams(text)
@@ -122,10 +129,9 @@ class LanguageFilters:
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_ROWS) -> LanguageFilters:
     """Filters from the rows of ``df`` with a language; at most about ``bound`` of them, chosen by a hash of the id.
 
-    n-grams are counted in the workers and summed by a shuffle; a language keeps
-    its most frequent ones, so what reaches the driver is bounded by languages
-    times TOP_GRAMS. More than 64 languages raise ValueError; none give filters
-    that call every text unknown.
+    n-grams are counted in the workers and summed by a shuffle; what reaches the
+    driver is bounded by languages over MIN_SHARE. No rows give filters that call
+    every text unknown.
     """
     rows = sampled(df.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), bound, "id")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -142,18 +148,13 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
         return work
 
-    from pyspark.sql import Window
-
     counted = map_arrow(rows, make, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("lang"))
     kept = counted.withColumn("share", F.col("n") / total).where(F.col("share") >= MIN_SHARE)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     members: dict[str, list[int]] = {}
-    for r in kept.withColumn("rank", rank).where(F.col("rank") <= TOP_GRAMS).select("lang", "gram").collect():
+    for r in kept.select("lang", "gram").collect():
         members.setdefault(r.lang, []).append(r.gram)
     languages = sorted(members)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the masks hold {MAX_LANGUAGES}")
     return LanguageFilters.of(languages, [np.array(members[x], np.int64).view(np.uint64) for x in languages])
 
 
@@ -181,15 +182,16 @@ def identify(df: DataFrame, model: LanguageFilters, text: str = "text", lang: st
 
 
 def op7_language_id(df: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; learnt from rows whose crc32(doc_id) mod 3 is not 1."""
+    """doc_id, held_out, lang_pred, score for every row; learnt from rows whose crc32(doc_id) mod 3 is not 1. An empty table gives an empty result."""
     held = remainder("doc_id", 3) == 1
     model = train(df.where(~held))
     return identify(df.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
 def keep_identified(df: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows of ``df`` whose text is in one of the learnt languages: not ``und``, score at least ``least``."""
+    """The rows of ``df`` whose text is in one of the learnt languages: not ``und``, score at least ``least``; their columns stay as they are, an empty table stays empty."""
     held = remainder("doc_id", 3) == 1
     model = train(df.where(~held))
-    found = identify(df.withColumn("__lang", F.lit("")).withColumn("__score", F.lit(0.0)), model, lang="__lang", score="__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")
+    lang, score = free_name(df, "lang_pred"), free_name(df, "score")
+    found = identify(df, model, lang=lang, score=score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
