@@ -43,7 +43,7 @@ LEAF = 16
 #: Slices for each that a pair may differ in, so that most sets have enough that hold something.
 SPARE = 1.25
 #: Sets and shingles that one tree holds; more are dealt out over several.
-BLOCK_SETS = 256
+BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
 #: Sets whose cells a task remembers to have sent, so that copies are sent once a task.
 SEEN_SETS = 500_000
@@ -432,7 +432,7 @@ def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc
     links = stored(_solve(members(alone), k, p, q), "links")
     large = placed.where("blocks > 1")
     if not large.isEmpty():
-        links = stored(links.unionByName(_across(large, links, met, members, k, p, q)), "links")
+        links = stored(links.unionByName(_across(large, links, met, at, members, k, p, q)), "links")
     joined = connected_components(links, "jaccard").withColumnRenamed("component", "root")
     # a class without links is its own root
     classed = stored(classes.join(joined, "node", "left").select("node", "first", "root"), "classed")
@@ -446,12 +446,13 @@ def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc
     return out.unionByName(bare)
 
 
-def _across(large: DataFrame, links: DataFrame, met: DataFrame, members, k: int, p: int, q: int) -> DataFrame:
+def _across(large: DataFrame, links: DataFrame, met: DataFrame, at: DataFrame, members, k: int, p: int, q: int) -> DataFrame:
     """Links between the blocks of parts that no single tree holds; ``large`` is (part, node, key, blocks, block).
 
     First a few sets of each class are joined, round by round, while that makes
     notably fewer classes. Then every set outside its part's largest class is asked
-    against the blocks in which some set of another class shares a cell with it.
+    against the blocks in which some set of another class shares a cell with it and
+    has a point that allows a link; texts go to those blocks only.
     """
     links = stored(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "within")
     for turn in itertools.count():
@@ -479,12 +480,45 @@ def _across(large: DataFrame, links: DataFrame, met: DataFrame, members, k: int,
     inside = met.join(now.select("node", "block", "label"), "node").groupBy("cell", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     beside = met.join(asking.select("node", "part", "key", "label"), "node").join(inside, "cell").where("low <> label OR high <> label")
     beside = stored(beside.select("part", "block", "node", "key", "label").distinct(), "beside")
-    turns = beside.groupBy("part", "block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("turns"))
-    asks = beside.join(turns, ["part", "block"]).withColumn("turn", F.pmod(F.xxhash64("node"), F.col("turns"))).withColumn("asks", F.lit(True))
+    near = stored(_near(_turns(beside, now).join(at, "node"), p, q), "near")
+    asks = beside.join(near, ["part", "block", "node"], "left_semi")
+    return links.unionByName(_solve(members(_turns(asks, now)), k, p, q))
+
+
+def _turns(asks: DataFrame, now: DataFrame) -> DataFrame:
+    """(part, block, node, key, label, asks): the asking sets of each block, BLOCK_SETS at a time, each time with the block's own sets."""
+    turns = asks.groupBy("part", "block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("turns"))
+    asking = asks.join(turns, ["part", "block"]).withColumn("turn", F.pmod(F.xxhash64("node"), F.col("turns"))).withColumn("asks", F.lit(True))
     rest = now.join(turns, ["part", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).withColumn("asks", F.lit(False))
-    tasks = [x.select("part", "block", "turn", "node", "key", "label", "asks") for x in (asks, rest)]
-    task = tasks[0].unionByName(tasks[1]).withColumn("block", F.shiftleft("block", 32) + F.col("turn"))
-    return links.unionByName(_solve(members(task), k, p, q))
+    both = asking.select("part", "block", "turn", "node", "key", "label", "asks").unionByName(rest.select("part", "block", "turn", "node", "key", "label", "asks"))
+    return both.withColumn("block", F.shiftleft("block", 32) + F.col("turn")).drop("turn")
+
+
+def _near(asked: DataFrame, p: int, q: int) -> DataFrame:
+    """(part, block, node) of the asking sets that have a point of another class within reach in a block; ``block`` is the block alone again."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple[int, int, bytes]]] = {False: [], True: []}
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held[True] and held[False]:
+                at = unpacked([x[2] for x in held[False] + held[True]])
+                labels, tree = np.array([x[1] for x in held[False]], np.int64), RTree(at[: len(held[False])])
+                found = [node for (node, label, _), x in zip(held[True], at[len(labels) :]) if (labels[tree.reach(x, p, q)] != label).any()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([now[0]] * len(found), [now[1] >> 32] * len(found), found)], schema=schema)
+
+        for batch in batches:
+            for part, block, *row, asks in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "node", "label", "point", "asks"))):
+                if now != (part, block):
+                    yield from close()
+                    held, now = {False: [], True: []}, (part, block)
+                held[asks].append(tuple(row))
+        yield from close()
+
+    columns = asked.select("part", "block", "node", "label", "asks", "point")
+    return columns.repartition("part", "block").sortWithinPartitions("part", "block", "node").mapInArrow(run, "part long, block long, node long")
 
 
 def keep_first(df: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
