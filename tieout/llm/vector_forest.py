@@ -1,8 +1,10 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits the vectors by random directions at random places near the
-middle; vectors close to a split go to both sides. Vectors that share a leaf in
-any tree are compared in full. A pair that meets in several leaves counts in the
+middle; vectors close to a split go to both sides. The upper levels are fitted on
+one sample; leaves that turn out large are split further, each on a sample of its
+own, level by level, so depth follows the number of vectors. Vectors that share a
+leaf in any tree are compared in full. A pair that meets in several leaves counts in the
 first of them only, which both ends can tell from their lists of leaves, so links
 are counted in place and no pair is ever written out.
 """
@@ -10,6 +12,7 @@ are counted in place and no pair is ever written out.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +29,8 @@ from tieout.llm.frames import map_arrow, share, stored
 #: Vectors the splits are fitted on, about, chosen by a hash; every vector is then placed.
 SAMPLE = 16_384
 TREES = 5
+#: A leaf with more vectors is split again, on about so many of its own; its vectors are dealt over tasks by so many.
+SPLIT_ROWS, SPLIT_SAMPLE, SHARE_ROWS = 1536, 512, 65_536
 #: Vectors a leaf is meant to hold, before those that spill over.
 LEAF_ROWS = 384
 #: A leaf of the sample is split no further below this.
@@ -278,7 +283,7 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
     leaf_sample = max(LEAF_SAMPLE, int(LEAF_ROWS * len(sample) / n))
     forest = spark.sparkContext.broadcast(Forest.grown(sample, leaf_sample, limit))  # bounded by SAMPLE
 
-    placed_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("leaves", T.ArrayType(T.IntegerType()))])
+    placed_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("leaves", T.ArrayType(T.LongType()))])
 
     def place():
         own = forest.value
@@ -287,14 +292,14 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
             units = np.stack([np.frombuffer(v, "<f8") for v in batch.column(1).to_pylist()])
             rows, found = own.leaves(units)
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(units)))]).astype(np.int32)
-            return [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int32)))]
+            return [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int64)))]
 
         return work
 
-    placed = stored(map_arrow(classes.select("node", "unit"), place, placed_schema, "unit"), "placed")
-    held = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = _deepened(stored(map_arrow(classes.select("node", "unit"), place, placed_schema, "unit"), "placed"), classes, limit)
+    held = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     # a leaf of b blocks is b * (b + 1) / 2 tasks, and block i is in b of them
-    member = placed.join(classes, "node").withColumn("leaf", F.explode("leaves")).join(F.broadcast(held), "leaf")  # leaves are bounded by SAMPLE
+    member = placed.join(classes, "node").withColumn("leaf", F.explode("leaves")).join(held, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     member = member.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = member.select("leaf", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "node", "many", "unit", "leaves")
     found_arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
@@ -354,6 +359,83 @@ def _of_one_length(classes: DataFrame, dim: int, n: int, limit: float) -> DataFr
     return task.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y", "second", "node").mapInArrow(run, _FOUND)
 
 
+def _deepened(placed: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
+    """``placed`` (node, leaves) with leaves of more than SPLIT_ROWS rows split by trees of their own, until none can be.
+
+    A leaf that no direction parts, such as one of near-equal vectors, stays whole.
+    """
+    member = None
+    while True:
+        rows = placed.select("node", F.explode("leaves").alias("leaf"), F.lit(False).alias("whole")) if member is None else member
+        large = stored(rows.where("NOT whole").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS), "large")
+        if large.isEmpty():
+            break
+        # leaves to split grow with the corpus, so how they are joined is left to their size
+        inside = rows.where("NOT whole").join(large, "leaf").join(classes.select("node", "unit"), "node")
+        part = F.least(F.lit(1.0), F.lit(float(SPLIT_SAMPLE)) / F.col("n")) * (1 << 20)
+        picked = inside.where(F.pmod(F.xxhash64("node", "leaf"), F.lit(1 << 20)) < part)
+        trees = stored(picked.select("leaf", "n", "node", "unit").repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(_subtrees(limit), "leaf long, tree binary"), "trees")
+        shares = F.ceil(F.col("n") / SHARE_ROWS).cast("long")
+        first = trees.join(large, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.lit(0).cast("long").alias("node"), F.lit(False).alias("vector"), F.col("tree").alias("data"))
+        then = inside.select("leaf", F.pmod(F.xxhash64("node"), shares).alias("share"), "node", F.lit(True).alias("vector"), F.col("unit").alias("data"))
+        split = first.unionByName(then).repartition("leaf", "share").sortWithinPartitions("leaf", "share", "vector", "node").mapInArrow(_placed_in, "node long, leaf long, whole boolean")
+        member = stored(rows.join(large, "leaf", "left_anti").select("node", "leaf", "whole").unionByName(split), "member")
+    return placed if member is None else stored(member.groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "placed")
+
+
+def _subtrees(limit: float):
+    """Per leaf of a sorted stream (leaf, n, node, unit) the pickled tree fitted on its rows."""
+    schema = pa.schema([("leaf", pa.int64()), ("tree", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now: tuple[int, int] | None = None
+
+        def close() -> pa.RecordBatch:
+            leaf, n = now
+            sample = np.stack([np.frombuffer(v, "<f8") for v in held])
+            tree = Forest.grown(sample, max(LEAF_SAMPLE, int(LEAF_ROWS * len(sample) / n)), limit, 1, leaf & 0x7FFFFFFF)
+            return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for leaf, n, unit in zip(*(batch.column(c).to_pylist() for c in ("leaf", "n", "unit"))):
+                if now is not None and leaf != now[0]:
+                    yield close()
+                    held = []
+                now = (leaf, n)
+                held.append(unit)
+        if now is not None:
+            yield close()
+
+    return run
+
+
+def _placed_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, leaf, whole) from a sorted stream of each leaf's tree and then its vectors; ``whole`` if the tree has one leaf."""
+    schema = pa.schema([("node", pa.int64()), ("leaf", pa.int64()), ("whole", pa.bool_())])
+    now, tree = None, None
+    for batch in batches:
+        for start in range(0, batch.num_rows, 4096):
+            piece = batch.slice(start, 4096)
+            leaf, vector = piece.column("leaf").to_numpy(), piece.column("vector").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((leaf[1:] != leaf[:-1]) | (vector[1:] != vector[:-1])) + 1).tolist(), len(leaf)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                data = piece.column("data").slice(a, b - a).to_pylist()
+                if not vector[a]:
+                    now, tree = int(leaf[a]), pickle.loads(data[0])
+                    continue
+                node = piece.column("node").slice(a, b - a).to_numpy()
+                if now != leaf[a] or all(len(x) == 1 for x in tree.leaf):
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(leaf[a:b]), pa.array(np.ones(b - a, bool))], schema=schema)
+                    continue
+                rows, found = tree.leaves(np.stack([np.frombuffer(v, "<f8") for v in data]))
+                names = {x: int(np.uint64(xxhash.xxh3_64_intdigest(f"{now} {x}")).astype(np.int64)) for x in np.unique(found).tolist()}
+                own = np.array([names[x] for x in found.tolist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(own), pa.array(np.zeros(len(own), bool))], schema=schema)
+
+
 def op3_vector_forest(df: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row: cosine 0.95 or more."""
     return near_vectors(df)
