@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,6 +58,11 @@ def signature(text: Column, length: int = 40) -> Column:
     return F.regexp_replace(classed, r"(.)\1{2,}", "$1$1$1")
 
 
+def slug(name: str) -> str:
+    """A name as lower-case letters, digits and single underscores."""
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_") or "x"
+
+
 def iso_instant(text: Column) -> Column:
     """The instant of an ISO date or timestamp string; null for any other string."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$"), F.try_to_timestamp(text))

@@ -95,14 +95,20 @@ def row_probes(left: DataFrame, left_key: str, left_amounts: list[str], right: D
     pairs = [(i, j) for i in range(len(left_amounts)) for j in range(len(right_amounts))]
     out = None
     for start in range(0, len(pairs), PAIRS_AT_ONCE):
-        part, aggs = pairs[start : start + PAIRS_AT_ONCE], [F.count("*").alias("joined")]
+        part, aggs, agreed = pairs[start : start + PAIRS_AT_ONCE], [F.count("*").alias("joined")], []
         for i, j in part:
             x, y = F.col(f"__l{i}"), F.col(f"__r{j}")
             live = x.isNotNull() & y.isNotNull() & (F.abs(x) >= LIVE)
             agrees = live & (F.abs(x - y) < LIVE)
-            aggs.append(F.struct(F.lit(left_amounts[i]).alias("left_amount"), F.lit(right_amounts[j]).alias("right_amount"), F.count_if(live).alias("n_both"), F.count_if(agrees).alias("n_exact"), F.count_distinct(F.when(agrees, F.round(x, 2))).alias("spread")).alias(f"s{i}_{j}"))
+            aggs.append(F.struct(F.lit(left_amounts[i]).alias("left_amount"), F.lit(right_amounts[j]).alias("right_amount"), F.count_if(live).alias("n_both"), F.count_if(agrees).alias("n_exact")).alias(f"s{i}_{j}"))
+            agreed.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(agrees, F.round(x, 2)).alias("v")))
         probes = (both.groupBy(*group) if group else both.groupBy()).agg(*aggs)
         rows = probes.select(*(group or []), "joined", F.explode(F.array(*[F.col(f"s{i}_{j}") for i, j in part])).alias("s")).select(*(group or []), "s.*", "joined")
+        # distinct agreed values are counted over the pairs that agree; count_distinct of each pair would copy every row for each
+        values = both.select(*(group or []), F.explode(F.filter(F.array(*agreed), lambda a: a["v"].isNotNull())).alias("a")).select(*(group or []), "a.*").distinct()
+        name = lambda of, k: F.element_at(F.array(*[F.lit(c) for c in of]), F.col(k) + 1)
+        spread = values.groupBy(*(group or []), "i", "j").agg(F.count("*").alias("spread")).select(*(group or []), name(left_amounts, "i").alias("left_amount"), name(right_amounts, "j").alias("right_amount"), "spread")
+        rows = rows.join(spread, [*(group or []), "left_amount", "right_amount"], "left").select(*(group or []), "left_amount", "right_amount", "n_both", "n_exact", F.coalesce("spread", F.lit(0).cast("bigint")).alias("spread"), "joined")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -152,6 +158,18 @@ def best_aggregate_amounts(probes: DataFrame, one_amounts: list[str], many_amoun
     return Amounts(r.one_amount, r.many_amount, r.n_near / r.joined, r.n_exact, r.joined, r.spread, tolerance(r), "aggregate")
 
 
+def best_partitioned_amounts(probes: DataFrame, left_amounts: list[str], right_amounts: list[str]) -> tuple[Amounts, str, str] | None:
+    """The best pair within one value of a partition column, and that column and value: by rows that agree, then agreement, column and value.
+
+    A narrow partition agrees with itself easily, so the rows it explains decide. A driver choice among pairs.
+    """
+    rows = [r for r in scored(probes).collect() if r.passed]
+    if not rows:
+        return None
+    r = min(rows, key=lambda r: (-r.n_exact, -(r.n_exact / r.joined), r.part_column, r.part_value, left_amounts.index(r.left_amount), right_amounts.index(r.right_amount)))
+    return Amounts(r.left_amount, r.right_amount, r.n_exact / r.joined, r.n_exact, r.joined, r.spread, 0, "partitioned"), r.part_column, r.part_value
+
+
 def partition_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) of the columns with 2 to 12 values, values of three rows or more."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))

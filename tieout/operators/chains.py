@@ -18,10 +18,15 @@ def labelled_members(spine: DataFrame, spine_name: str, label: str, members: Dat
 
 
 def reached(legs: DataFrame, members: DataFrame, status: DataFrame) -> DataFrame:
-    """(label, proposal_id, n_owners) with one hop more: proposals that hold a row of a label's own proposals."""
+    """(label, proposal_id, n_owners) with one hop more: proposals that hold a row of a label's own proposals.
+
+    A row of a proposal that several labels share goes by the first of them, so a
+    batch of k labels and m rows makes m rows and not k * m.
+    """
     open_ = status.where(F.col("status").isin("pending", "accepted", "review_later")).select("proposal_id")
-    rows = legs.join(members, "proposal_id").select("label", "dataset", "row_id").distinct()
-    more = rows.join(members.join(open_, "proposal_id", "left_semi").select("proposal_id", "dataset", "row_id"), ["dataset", "row_id"]).select("label", "proposal_id").distinct()
+    named = legs.groupBy("proposal_id").agg(F.min("label").alias("label"))
+    rows = named.join(members, "proposal_id").select("label", "dataset", "row_id").distinct()
+    more = legs.select("label", "proposal_id").unionByName(rows.join(members.join(open_, "proposal_id", "left_semi").select("proposal_id", "dataset", "row_id"), ["dataset", "row_id"]).select("label", "proposal_id")).distinct()
     owners = more.groupBy("proposal_id").agg(F.count("*").alias("n_owners"))
     return more.join(owners, "proposal_id").select("label", "proposal_id", "n_owners")
 

@@ -144,6 +144,12 @@ def unmatched(rows: DataFrame, dataset: str, members: DataFrame) -> DataFrame:
     return rows.join(members.where(F.col("dataset") == dataset).select("row_id").distinct(), "row_id", "left_anti")
 
 
+def explained(note: DataFrame, props: DataFrame) -> DataFrame:
+    """``note`` with explains_residual: whether a group balances within its tolerance once duplicates are left out."""
+    both = note.join(props.select("group_key", "tolerance_minor"), "group_key")
+    return both.select(*note.columns, (F.abs("balance_without") <= F.col("tolerance_minor")).alias("explains_residual"))
+
+
 def duplicate_note(members: DataFrame) -> DataFrame:
     """(group_key, duplicate_minor, balance_without): what duplicate members add to a group's balance."""
     dup = F.sum(F.when(F.col("duplicate_of").isNotNull(), F.col("amount_minor")).otherwise(0)).cast("bigint")

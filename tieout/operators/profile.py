@@ -57,7 +57,7 @@ def pattern(df: DataFrame, column: str) -> DataFrame:
 def dominant_pattern(df: DataFrame, column: str) -> DataFrame:
     """(signature, coverage): the commonest shape and its share of distinct values, ties by signature."""
     shapes = pattern(df, column)
-    best = shapes.agg(F.max_by("signature", F.struct("n", F.expr("-ascii(signature)"))).alias("signature"), F.max("n").alias("top"), F.sum("n").alias("total"))
+    best = shapes.agg(F.min_by("signature", F.struct(-F.col("n"), "signature")).alias("signature"), F.max("n").alias("top"), F.sum("n").alias("total"))
     return best.select("signature", F.round(F.col("top") / F.col("total"), 6).alias("coverage"))
 
 

@@ -58,10 +58,11 @@ def dataset_value(df: DataFrame, name: str, amount: str, members: DataFrame, sta
     return rows.agg(total(~F.col("dup")).alias("total_minor"), total(~F.col("dup") & F.col("hit")).alias("matched_minor"), total(F.col("dup")).alias("duplicate_minor")).select(F.lit(name).alias("dataset"), "total_minor", "matched_minor", "duplicate_minor")
 
 
-def amount_vote(traces: DataFrame, most: int = 40) -> DataFrame:
-    """(column,): the column that traced most of a bounded number of member amounts; ties by name."""
-    picked = traces.orderBy("proposal_id", "row_id").limit(most)
-    return picked.groupBy("column").agg(F.count("*").alias("n")).agg(F.min_by("column", F.struct(-F.col("n"), "column")).alias("column"))
+def amount_vote(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """(dataset, column): the column that holds most of a source's member amounts as they are; ties by name. ``cells`` is as of ``verify.source_cells``."""
+    hit = F.explode(F.filter("cells", lambda x: F.abs(x["minor"]) == F.abs(F.col("amount_minor"))))
+    votes = members.where("amount_minor <> 0").join(cells, ["dataset", "row_id"]).select("dataset", hit.alias("c")).groupBy("dataset", F.col("c.column").alias("column")).agg(F.count("*").alias("n"))
+    return votes.groupBy("dataset").agg(F.min_by("column", F.struct(-F.col("n"), "column")).alias("column"))
 
 
 def exceptions_by_cause(verified: DataFrame, status: DataFrame, n_unmatched: int) -> DataFrame:
@@ -77,6 +78,25 @@ def decision_ledger(events: DataFrame) -> DataFrame:
     return events.groupBy("kind", "actor").agg(F.count("*").alias("n"))
 
 
+def decision_counters(events: DataFrame) -> DataFrame:
+    """One row of named counts: what the engine and what people decided, and what verification held up."""
+    kind, person = F.col("kind"), F.col("actor") != "system"
+    return events.agg(
+        F.count_if(kind == "proposed").alias("proposed"),
+        F.count_if(kind == "auto_accepted").alias("auto_accepted"),
+        F.count_if((kind == "accepted") & person).alias("accepted_by_person"),
+        F.count_if(kind == "rejected").alias("rejected"),
+        F.count_if(kind == "review_later").alias("review_later"),
+        F.count_if(kind == "verification_failed").alias("held_by_verification"),
+        F.count_if(kind == "verification_overridden").alias("overridden"),
+    )
+
+
+def detail_field(events: DataFrame, field: str) -> DataFrame:
+    """``events`` with ``field`` of their JSON detail; null where the detail isn't JSON or lacks it."""
+    return events.withColumn(field, F.get_json_object("detail", f"$.{field}"))
+
+
 def status_summary(status: DataFrame) -> DataFrame:
     """(status, confidence, n, needs_review)."""
     g = status.groupBy("status", "confidence").agg(F.count("*").alias("n"))

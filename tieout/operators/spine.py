@@ -75,6 +75,14 @@ def upper_median(df: DataFrame, column: str) -> DataFrame:
     return v.withColumn("upto", F.sum("c").over(order)).crossJoin(v.agg(F.sum("c").alias("n"))).where(F.col("upto") > F.expr("n div 2")).agg(F.min("v").alias("value"))
 
 
+def stage_order(datasets: list[str], edges: list[tuple[str, str]], medians: dict[str, str]) -> list[str]:
+    """Sources as a transaction passes them: by precedence where that is known, else by median date, the undated last as uploaded."""
+    if edges:
+        known = {x for e in edges for x in e}
+        return [d for d in flow_order([d for d in datasets if d in known], edges)] + [d for d in datasets if d not in known]
+    return sorted(datasets, key=lambda d: (not medians.get(d), medians.get(d) or "", datasets.index(d)))
+
+
 def infer_spine(datasets: list[str], edges: list[tuple[str, str]], medians: dict[str, str], containment: dict[tuple[str, str], float], declared: str | None = None) -> tuple[str | None, str]:
     """(spine, why): declared, only, precedence, earliest median, containment or first upload, in this order."""
     if declared in datasets:
@@ -90,7 +98,9 @@ def infer_spine(datasets: list[str], edges: list[tuple[str, str]], medians: dict
     dated = {d: m for d, m in medians.items() if m}
     if len(dated) > 1 and len(set(dated.values())) > 1:
         return min(dated, key=lambda d: (dated[d], d)), "median"
-    held = {d: sum(1 for (a, b), c in containment.items() if b == d and c >= CONTAINMENT) for d in datasets}
-    if max(held.values()):
-        return max(datasets, key=lambda d: (held[d], -datasets.index(d))), "containment"
+    # a source whose values all are in another, and not the other way round, depends on it
+    inside = [(a, b) for (a, b), c in containment.items() if c >= CONTAINMENT and containment.get((b, a), 0.0) < CONTAINMENT]
+    if inside:
+        score = {d: (sum(b == d for _, b in inside) - sum(a == d for a, _ in inside), sum(b == d for _, b in inside)) for d in datasets}
+        return max(datasets, key=lambda d: (score[d], -datasets.index(d))), "containment"
     return datasets[0], "first"

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.functions.expr import instant_micros
+from tieout.functions.expr import instant_micros, slug
+from tieout.operators.dedup import duplicate_summary
 from tieout.operators import amounts, chains, discover, embedded, match, profile, report, spine, timing, verify
 from tieout.plans.ledger import Ledger
 from tieout.plans.sqlgate import run_select
@@ -71,11 +72,16 @@ class Engine:
                 done.append(f"v_{n}_norm")
         return done
 
+    def pairs(self) -> tuple[DataFrame, DataFrame]:
+        """(values of all columns, usable pairs of columns)."""
+        sets = self.catalog.datasets
+        values = written(discover.column_values(self.visible(), {n: list(d.kinds) for n, d in sets.items()}), "values")
+        return values, written(discover.usable_pairs(discover.overlap_matrix(values, None), {n: d.text_columns for n, d in sets.items()}), "pairs")
+
     def candidates(self) -> list[dict]:
         """The strongest key of each pair of sources, keys inside text included; a choice among columns."""
         sets = self.catalog.datasets
-        values = written(discover.column_values(self.visible(), {n: list(d.kinds) for n, d in sets.items()}), "values")
-        pairs = discover.usable_pairs(discover.overlap_matrix(values, None), {n: d.text_columns for n, d in sets.items()})
+        values, pairs = self.pairs()
         found = [r.asDict() for r in discover.strongest_keys(pairs).collect()]
         linked = {frozenset((r["left_dataset"], r["right_dataset"])) for r in found}
         ids = {(r.dataset, r.column) for r in discover.identifier_columns(values).collect()}
@@ -120,10 +126,10 @@ class Engine:
             if shape == "N:1":
                 ln, lk, rn, rk, left, right = rn, rk, ln, lk, right, left
             la, ra = self._amounts_of(ln), self._amounts_of(rn)
-            best = amounts.best_row_amounts(amounts.row_probes(left, lk, la, right, rk, ra), la, ra) if la and ra else None
+            best = amounts.best_row_amounts(amounts.row_probes(left, lk, la, right, rk, ra), la, ra) if shape == "1:1" and la and ra else None
+            part = None
             if shape != "1:1":
-                sums = amounts.best_aggregate_amounts(amounts.aggregate_probes(left, lk, la, right, rk, ra), la, ra) if la and ra else None
-                best = max((x for x in (sums, best) if x), key=lambda x: x.agreement, default=None)
+                best, part = self._one_to_many(left, lk, la, right, rk, ra, [x for x in self.catalog.datasets[rn].kinds if x != rk])
                 if best is None:
                     declined.append({"pair": (ln, rn), "reason": "no amounts agree across one to many"})
                     continue
@@ -131,15 +137,30 @@ class Engine:
                 declined.append({"pair": (ln, rn), "reason": "a key inside text alone is no match without amounts"})
                 continue
             a, b = (best.left, best.right) if best else (None, None)
-            spec = f"{shape} {ln}.{lk}={rn}.{rk} {a}~{b} {best.strategy if best else 'row'}"
-            sides = (ln, left, lk, a), (rn, right, rk, b)
+            spec = f"{shape} {ln}.{lk}={rn}.{rk} {a}~{b} {best.strategy if best else 'row'}{' where {}={}'.format(*part) if part else ''}"
+            sides, pair = ((ln, left, lk, a), (rn, right, rk, b)), f"{slug(ln)}__{slug(rn)}"
             if best and best.strategy == "aggregate":
-                rule, members = f"auto_batch__{ln}__{rn}", match.aggregate_members(*sides)
+                rule, members = f"auto_batch__{pair}", match.aggregate_members(*sides)
+            elif part:
+                column, value = part
+                rule, members = f"auto_part__{pair}__{slug(column)}_{slug(value)}", match.row_level_members(*sides, where=F.col(column).cast("string") == value)
             else:
-                rule, members = f"auto_exact__{ln}__{rn}", match.row_level_members(*sides)
+                rule, members = f"auto_exact__{pair}", match.row_level_members(*sides)
             results.append(self.ledger.propose(rule, members, spec, best.tolerance_minor if best else 0, check=self.checks))
         return {"rules_run": len(results), "groups_proposed": sum(r["proposed"] for r in results), "results": results, "normalised_views": views, "declined": declined, "coverage": self.coverage()}
 
+    @staticmethod
+    def _one_to_many(one: DataFrame, one_key: str, one_amounts: list[str], many: DataFrame, many_key: str, many_amounts: list[str], columns: list[str]) -> tuple[amounts.Amounts | None, tuple[str, str] | None]:
+        """The sum of the many rows or one class of them, whichever explains more rows; then by agreement."""
+        if not one_amounts or not many_amounts:
+            return None, None
+        sums = amounts.best_aggregate_amounts(amounts.aggregate_probes(one, one_key, one_amounts, many, many_key, many_amounts), one_amounts, many_amounts)
+        classes = [r.column for r in amounts.partition_values(many, columns).select("column").distinct().collect() if r.column not in many_amounts]
+        part = amounts.best_partitioned_amounts(amounts.partitioned_probes(one, one_key, one_amounts, many, many_key, many_amounts, sorted(classes)), one_amounts, many_amounts) if classes else None
+        if part and (sums is None or (part[0].n_exact, part[0].agreement) > (round(sums.agreement * sums.joined), sums.agreement)):
+            return part[0], part[1:]
+        return sums, None
+
     def run_rule(self, rule: str, members: DataFrame | str, tolerance_minor: int = 0, author: str = "agent", spec: str | None = None) -> dict:
         """A rule of one's own: SQL text, or a DataFrame, that gives (group_key, dataset, row_id[, role, amount_minor])."""
         text = members if isinstance(members, str) else spec or rule
@@ -206,18 +227,30 @@ class Engine:
     def coverage(self) -> DataFrame:
         return report.coverage_by_dataset({n: d.rows for n, d in self.catalog.datasets.items()}, self.ledger.table("member"), self.ledger.status())
 
-    def get_exceptions(self, kind: str = "all", limit: int = 50) -> DataFrame:
-        """(kind, rule, group_key, detail) of what needs a person."""
-        status, last = self.ledger.status(), self.ledger.verified()
+    def get_exceptions(self, kind: str = "all", limit: int = 50, dataset: str | None = None) -> DataFrame:
+        """(kind, rule, group_key, detail) of what needs a person; of one source only where ``dataset`` names it."""
+        status, last, members = self.ledger.status(), self.ledger.verified(), self.ledger.table("member")
+        if dataset is not None:
+            status = status.join(members.where(F.col("dataset") == dataset).select("proposal_id"), "proposal_id", "left_semi")
         kinds = status.where(F.col("confidence").isin("unbalanced", "ambiguous")).select(F.col("confidence").alias("kind"), "rule", "group_key", F.col("balance_minor").cast("string").alias("detail"))
         failed = last.where("status = 'fail'").join(status.select("proposal_id", "rule", "group_key"), "proposal_id").select(F.lit("verification_failed").alias("kind"), "rule", "group_key", F.array_join("failed", ",").alias("detail"))
         out = kinds.unionByName(failed)
-        held = self.ledger.table("member").join(status.where("status <> 'rejected'").select("proposal_id"), "proposal_id", "left_semi")
+        held = members.join(self.ledger.status().where("status <> 'rejected'").select("proposal_id"), "proposal_id", "left_semi")
         for n, d in self.catalog.datasets.items():
-            rest = match.unmatched(d.rows, n, held)
-            out = out.unionByName(rest.select(F.lit("unmatched").alias("kind"), F.lit(n).alias("rule"), F.col("row_id").cast("string").alias("group_key"), F.lit("").alias("detail")))
+            if dataset in (None, n):
+                rest = match.unmatched(d.rows, n, held)
+                copies = d.rows.where("dup_kind = 'exact'").agg(F.count("*").alias("n")).where("n > 0")
+                out = out.unionByName(rest.select(F.lit("unmatched").alias("kind"), F.lit(n).alias("rule"), F.col("row_id").cast("string").alias("group_key"), F.lit("").alias("detail")))
+                out = out.unionByName(copies.select(F.lit("duplicated_rows").alias("kind"), F.lit(n).alias("rule"), F.lit("").alias("group_key"), F.col("n").cast("string").alias("detail")))
         return (out if kind == "all" else out.where(F.col("kind") == kind)).orderBy("kind", "rule", "group_key").limit(limit)
 
+    def proposal(self, proposal_id: int) -> dict[str, DataFrame]:
+        """A proposal with its members, events, last verification and, source by source, the rows it stands for."""
+        found = self.ledger.detail(proposal_id)
+        own = found["members"]
+        rows = {n: d.rows.join(own.where(F.col("dataset") == n).select("row_id"), "row_id", "left_semi") for n, d in self.catalog.datasets.items()}
+        return found | {f"rows:{n}": r for n, r in rows.items()}
+
     def resolve_spine(self) -> tuple[str | None, str, list[tuple[str, str]]]:
         """(spine, why, precedence edges)."""
         names, members = list(self.catalog.datasets), self.ledger.table("member")
@@ -228,19 +261,41 @@ class Engine:
                 pairs = spine.member_pairs(members, r.a, r.b)
                 edge = spine.precedence_edge(spine.precedence(pairs, left.rows, left.date_columns, right.rows, right.date_columns), r.a, r.b)
                 edges += [edge] if edge else []
-        medians = {n: spine.upper_median(d.rows, d.date_columns[0]).first().value for n, d in self.catalog.datasets.items() if d.date_columns}
-        chosen, why = spine.infer_spine(names, edges, medians, {}, self.spine_declared)
+        chosen, why = spine.infer_spine(names, edges, self.medians(), {} if edges else self.containment(), self.spine_declared)
         return chosen, why, edges
 
+    def medians(self) -> dict[str, str]:
+        return {n: spine.upper_median(d.rows, d.date_columns[0]).first().value for n, d in self.catalog.datasets.items() if d.date_columns}
+
+    def containment(self) -> dict[tuple[str, str], float]:
+        """The largest share of a column's values that a column of another source holds, for each pair of sources."""
+        out: dict[tuple[str, str], float] = {}
+        for r in self.pairs()[1].collect():
+            for a, b, share in ((r.left_dataset, r.right_dataset, r.left_coverage), (r.right_dataset, r.left_dataset, r.right_coverage)):
+                out[a, b] = max(out.get((a, b), 0.0), share)
+        return out
+
+    def label_column(self, name: str) -> str:
+        """The column that names a transaction across sources: shared with others and different from row to row, so the product decides."""
+        d = self.catalog.datasets[name]
+        shared: dict[str, float] = {}
+        for r in self.pairs()[1].collect():
+            for side, share in (("left", r.left_coverage), ("right", r.right_coverage)):
+                if r[f"{side}_dataset"] == name:
+                    shared[r[f"{side}_column"]] = max(shared.get(r[f"{side}_column"], 0.0), share)
+        if not shared:
+            return (d.text_columns or list(d.kinds))[0]
+        stats = d.rows.agg(*[F.try_divide(F.count_distinct(F.col(c)), F.count(c)).alias(c) for c in shared]).first()
+        order = list(d.kinds)
+        return max(shared, key=lambda c: (shared[c] * (stats[c] or 0.0), -order.index(c) if c in order else 0))
+
     def chains(self, label: str | None = None) -> dict[str, DataFrame]:
         """States, steps and reasons of every chain, and what is left over."""
         chosen, _, edges = self.resolve_spine()
         status, members = self.ledger.status(), self.ledger.table("member")
         d = self.catalog.datasets[chosen]
-        if label is None:
-            keys = [r.column for r in verify.population_columns(status, {chosen: d.rows.select("row_id", *d.kinds)}).collect()]
-            label = keys[0] if keys else (d.text_columns or list(d.kinds))[0]
-        stages = [chosen, *[x for x in spine.flow_order(list(self.catalog.datasets), edges) if x != chosen]]
+        label = label or self.label_column(chosen)
+        stages = [chosen, *[x for x in spine.stage_order(list(self.catalog.datasets), edges, {} if edges else self.medians()) if x != chosen]]
         legs = written(chains.reached(chains.labelled_members(d.rows, chosen, label, members, status), members, status), "legs")
         steps = written(chains.hops(legs, members, status, stages), "steps")
         return {
@@ -278,7 +333,24 @@ class Engine:
             own = s.select(F.lit(n).alias("dataset"), "row_id", (F.col(c) if c else F.lit(None).cast("string")).alias("currency"))
             currency = own if currency is None else currency.unionByName(own)
         limits = ["exact duplicates count unless a source's policy leaves them out"] if any(not d.exclude_duplicates for d in self.catalog.datasets.values()) else []
+        duplicates, values, dates = [], [], []
+        picked = {n: s.join(members.where(F.col("dataset") == n).select("row_id").distinct(), "row_id", "left_semi") for n, s in self.sources().items()}
+        votes = {r.dataset: r.column for r in report.amount_vote(members, verify.source_cells(picked)).collect()}
+        for n, d in self.catalog.datasets.items():
+            duplicates.append(duplicate_summary(d.rows).select(F.lit(n).alias("dataset"), "dup_kind", "n"))
+            own = verify.currency_column(self.sources()[n])
+            # amounts of several currencies have no sum
+            if n in votes and (own is None or d.rows.select(F.upper(F.trim(own))).distinct().limit(2).count() == 1):
+                values.append(report.dataset_value(d.rows, n, votes[n], members, status))
+            if d.date_columns:
+                dates.append(report.period(d.rows, d.date_columns))
+        ends = reduce(DataFrame.unionByName, dates).agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest")) if dates else None
         return {
+            "sources": [{"dataset": n, "rows": d.rows.count(), "columns": len(d.kinds)} for n, d in self.catalog.datasets.items()],
+            "period": ends,
+            "dataset_value": reduce(DataFrame.unionByName, values) if values else None,
+            "duplicates": reduce(DataFrame.unionByName, duplicates),
+            "counters": report.decision_counters(self.ledger.table("event")),
             "coverage": report.coverage_by_dataset(sources, members, status),
             "edges": report.coverage_by_edge(members, status),
             "decisions": report.decision_ledger(self.ledger.table("event")),

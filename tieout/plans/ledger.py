@@ -8,6 +8,7 @@ Parquet file in the ledger's folder.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 
@@ -129,7 +130,7 @@ class Ledger:
         rows = self.table("member").join(props.select("proposal_id"), "proposal_id", "left_semi")
         self.append("verification", check(props, rows).withColumn("seq", F.lit(self._next())))
 
-    def release(self, props: DataFrame, kind: str, actor: str, force: bool = False, fresh: bool = False) -> int:
+    def release(self, props: DataFrame, kind: str, actor: str, force: bool = False, fresh: bool = False, detail: str = "") -> int:
         """Accept those that pass verification now; the others get an event that says they didn't. The one way to accepted.
 
         ``fresh`` says that they were verified a moment ago. No row is accepted
@@ -145,7 +146,7 @@ class Ledger:
         bad = both.where("checked IS NULL OR checked <> 'pass'")
         self.events(bad, "verification_overridden" if force else "verification_failed", actor)
         if force:
-            self.events(both, kind, actor)
+            self.events(both, kind, actor, detail)
             return both.count()
         rest, released = both.where("checked = 'pass'").select("proposal_id", "edge"), 0
         while True:
@@ -156,7 +157,7 @@ class Ledger:
             behind = free.groupBy("edge", "dataset", "row_id").agg(F.min("proposal_id").alias("first")).join(free, ["edge", "dataset", "row_id"]).where("proposal_id <> first").select("proposal_id").distinct()
             behind = written(behind, "behind")
             ready = written(rest.join(late, "proposal_id", "left_anti").join(behind, "proposal_id", "left_anti"), "ready")
-            self.events(ready, kind, actor)
+            self.events(ready, kind, actor, detail)
             released += ready.count()
             if behind.isEmpty():
                 return released
@@ -170,18 +171,18 @@ class Ledger:
         ready = self.status().where((F.col("rule") == rule) & (F.col("status") == "pending") & F.col("confidence").isin("exact", "within_tolerance"))
         return self.release(written(ready, "ready"), "accepted", actor)
 
-    def set_status(self, ids: list[int], status: str, actor: str = "person", force: bool = False) -> dict[int, str]:
-        """A person's decisions on up to 200 proposals; accepting goes by verification unless forced. {id: status now}."""
+    def set_status(self, ids: list[int], status: str, actor: str = "person", force: bool = False, reason: str = "") -> dict[int, str]:
+        """A person's decisions on up to 200 proposals; accepting goes by verification unless forced. {id: status now}, 'unknown' for ids that aren't any proposal's."""
         if status not in ("accepted", "rejected", "pending", "review_later"):
             raise ValueError(f"no status {status}")
         if len(ids) > 200:
             raise ValueError("at most 200 at a time")
         picked = written(self.table("proposal").where(F.col("proposal_id").isin(*ids)), "picked")
         if status == "accepted":
-            self.release(picked, "accepted", actor, force)
+            self.release(picked, "accepted", actor, force, detail=json.dumps({"reason": reason}))
         else:
-            self.events(picked, status, actor)
-        return {r.proposal_id: r.status for r in self.status().where(F.col("proposal_id").isin(*ids)).select("proposal_id", "status").collect()}
+            self.events(picked, status, actor, json.dumps({"reason": reason}))
+        return dict.fromkeys(ids, "unknown") | {r.proposal_id: r.status for r in self.status().where(F.col("proposal_id").isin(*ids)).select("proposal_id", "status").collect()}
 
     def proposals(self, status: str | None = None, rule: str | None = None) -> DataFrame:
         """Proposals with their status, the newest first: by the event that proposed them, then by id."""

@@ -16,6 +16,9 @@ from tieout.sources.store import written
 RULE_EXACT, RULE_BATCH = "auto_exact__ledger__gateway", "auto_batch__bank__gateway"
 
 
+_BOTH: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 class World:
     """The three sources, their two rules, and statuses that follow from group keys."""
 
@@ -32,7 +35,13 @@ class World:
         return match.aggregate_members(("bank", keyed, "batch_id", "credit_amount"), ("gateway", self.gateway, "batch_id", "gross_amount"))
 
     def both(self) -> tuple[DataFrame, DataFrame]:
-        """(proposals with status, members) of both rules."""
+        """(proposals with status, members) of both rules, made once a session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _BOTH:
+            _BOTH[key] = self._both()
+        return _BOTH[key]
+
+    def _both(self) -> tuple[DataFrame, DataFrame]:
         props = members = None
         for rule, own in ((RULE_EXACT, self.exact_members()), (RULE_BATCH, self.batch_members())):
             p = match.proposals(own, rule)
@@ -424,10 +433,38 @@ def rule_counts(spark, d):
     return props.groupBy("rule").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"))
 
 
+@query("""SELECT o_orderkey AS proposal_id, json_extract_string('{"reason": "' || o_orderpriority || '", "by": "' || o_orderstatus || '"}', '$.reason') AS reason FROM orders""")
+def decision_reasons(spark, d):
+    detail = F.concat(F.lit('{"reason": "'), "o_orderpriority", F.lit('", "by": "'), "o_orderstatus", F.lit('"}'))
+    events = read(spark, d, "orders").select(F.col("o_orderkey").alias("proposal_id"), detail.alias("detail"))
+    return report.detail_field(events, "reason").select("proposal_id", "reason")
+
+
+@query("WITH {F} SELECT row_id, narration FROM bank WHERE narration LIKE '%7%'")
+def narration_like(spark, d):
+    return World(spark, d).bank.where(F.col("narration").like("%7%")).select("row_id", "narration")
+
+
+@query(
+    """WITH {M}, dup AS (SELECT row_id, first_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY order_ref, gross_amount, currency, batch_id) AS first_id FROM gateway) WHERE row_id <> first_id),
+m AS (SELECT m.*, d.first_id FROM members m LEFT JOIN dup d ON m.dataset = 'gateway' AND d.row_id = m.row_id WHERE rule = 'auto_exact__ledger__gateway')
+SELECT group_key, abs(sum(amount_minor) - sum(CASE WHEN first_id IS NOT NULL THEN amount_minor ELSE 0 END)) <= 0 AS explains_residual FROM m GROUP BY group_key HAVING count(first_id) > 0"""
+)
+def duplicate_explains(spark, d):
+    w = World(spark, d)
+    marks = dedup.near_marks(w.gateway).select(F.lit("gateway").alias("dataset"), "row_id", "dup_of")
+    own = w.exact_members()
+    note = match.duplicate_note(match.duplicate_members(match.collapsed(own), marks))
+    return match.explained(note, match.proposals(own, RULE_EXACT)).select("group_key", "explains_residual")
+
+
 # Verification and timing
 
 
-@query("WITH {M} SELECT dataset, count(*) AS n, count(*) AS resolved FROM members GROUP BY dataset")
+@query(
+    """WITH {M}, source AS (SELECT 'ledger' AS dataset, row_id FROM ledger UNION ALL SELECT 'gateway', row_id FROM gateway UNION ALL SELECT 'bank', row_id FROM bank)
+SELECT m.dataset, count(*) AS n, count(s.row_id) AS resolved FROM members m LEFT JOIN source s ON s.dataset = m.dataset AND s.row_id = m.row_id GROUP BY m.dataset"""
+)
 def verify_resolve(spark, d):
     w = World(spark, d)
     _, members = w.both()
