@@ -415,10 +415,10 @@ def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key")).alias("first")
     classes = base.where("n_shingles > 0").groupBy("node").agg(first, F.max("n_shingles").alias("n_shingles"))
 
-    def members(picked: DataFrame) -> DataFrame:
+    def members(picked: DataFrame, texts: DataFrame) -> DataFrame:
         """``picked`` (part, block, node, key, label, asks) with the texts of the rows of that key."""
         # keys grow with the corpus, so they are never broadcast, few as they may be
-        return docs.select("key", "text").join(picked.hint("merge"), "key").select("part", "block", "node", "label", "asks", "text")
+        return texts.select("key", "text").join(picked.hint("merge"), "key").select("part", "block", "node", "label", "asks", "text")
 
     met = stored(_met(_cells(docs, k, p, q)), "met")
     at = base.where("n_shingles > 0").groupBy("node").agg(F.first("point").alias("point"))
@@ -429,10 +429,12 @@ def jaccard_components(df: DataFrame, k: int = 5, p: int = 80, q: int = 100, doc
     spot = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = stored(_with_known(sized, wide, "part").select("part", "node", "key", "blocks", spot.alias("block")), "placed")
     alone = placed.select("part", "block", "node", "key", F.col("node").alias("label"), F.lit(True).alias("asks"))
-    links = stored(_solve(members(alone), k, p, q), "links")
+    links = stored(_solve(members(alone, docs), k, p, q), "links")
     large = placed.where("blocks > 1")
     if not large.isEmpty():
-        links = stored(links.unionByName(_across(large, links, met, at, members, k, p, q)), "links")
+        # the texts of large parts are picked out once, not in every round
+        texts = stored(docs.select("key", "text").join(large.select("key"), "key", "left_semi"), "large-texts")
+        links = stored(links.unionByName(_across(large, links, met, at, lambda picked: members(picked, texts), k, p, q)), "links")
     joined = connected_components(links, "jaccard").withColumnRenamed("component", "root")
     # a class without links is its own root
     classed = stored(classes.join(joined, "node", "left").select("node", "first", "root"), "classed")
