@@ -157,7 +157,7 @@ class Engine:
         sums = amounts.best_aggregate_amounts(amounts.aggregate_probes(one, one_key, one_amounts, many, many_key, many_amounts), one_amounts, many_amounts)
         classes = [r.column for r in amounts.partition_values(many, columns).select("column").distinct().collect() if r.column not in many_amounts]
         part = amounts.best_partitioned_amounts(amounts.partitioned_probes(one, one_key, one_amounts, many, many_key, many_amounts, sorted(classes)), one_amounts, many_amounts) if classes else None
-        if part and (sums is None or (part[0].n_exact, part[0].agreement) > (round(sums.agreement * sums.joined), sums.agreement)):
+        if part and (sums is None or (part[0].exact, part[0].agreement) > (round(sums.agreement * sums.joined), sums.agreement)):
             return part[0], part[1:]
         return sums, None
 
