@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("exception", "unmatched", "incomplete", "pending", "reconciled")
@@ -99,6 +99,6 @@ def leftovers(sources: dict[str, DataFrame], spine_name: str, members: DataFrame
 
 
 def ordered(states: DataFrame) -> DataFrame:
-    """Chains for a report: worst state first, then label, with their place."""
+    """Chains for a report: worst state first, then label."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("state"))
-    return states.withColumn("place", F.row_number().over(Window.orderBy(rank, "label")))
+    return states.orderBy(rank, "label")

@@ -69,10 +69,18 @@ def flow_order(datasets: list[str], edges: list[tuple[str, str]], degree: dict[s
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """(value,): the text at position n div 2 of the ordered ISO-shaped values; equal values are counted first."""
-    v = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").rlike("^[0-9]{4}-")).groupBy("v").agg(F.count("*").alias("c"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return v.withColumn("upto", F.sum("c").over(order)).crossJoin(v.agg(F.sum("c").alias("n"))).where(F.col("upto") > F.expr("n div 2")).agg(F.min("v").alias("value"))
+    """(value,): the text at position n div 2 of the ordered ISO-shaped values.
+
+    Values are counted by day first; windows run over the days and over the values
+    of the one day that holds the median, never over all rows.
+    """
+    v = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").rlike("^[0-9]{4}-")).groupBy("v").agg(F.count("*").alias("c")).withColumn("day", F.substring("v", 1, 10))
+    upto = lambda by: F.sum("c").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    days = v.groupBy("day").agg(F.sum("c").alias("c")).withColumn("upto", upto("day"))
+    middle = F.floor(F.max("upto").over(Window.partitionBy()) / 2)
+    first = days.withColumn("middle", middle).where(F.col("upto") > F.col("middle")).agg(F.min_by(F.struct("day", (F.col("upto") - F.col("c")).alias("before"), "middle"), "day").alias("f")).select("f.*")
+    inside = v.join(F.broadcast(first), "day").withColumn("upto", upto("v"))  # one row
+    return inside.where(F.col("before") + F.col("upto") > F.col("middle")).agg(F.min("v").alias("value"))
 
 
 def stage_order(datasets: list[str], edges: list[tuple[str, str]], medians: dict[str, str]) -> list[str]:

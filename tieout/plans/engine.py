@@ -299,7 +299,7 @@ class Engine:
         legs = written(chains.reached(chains.labelled_members(d.rows, chosen, label, members, status), members, status), "legs")
         steps = written(chains.hops(legs, members, status, stages), "steps")
         return {
-            "states": chains.chain_states(d.rows, label, legs, status),
+            "states": chains.ordered(chains.chain_states(d.rows, label, legs, status)),
             "hops": steps,
             "reasons": chains.break_reasons(steps, status),
             "holds": chains.hold_reasons(legs, status, self.ledger.verified()),
