@@ -91,6 +91,10 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bo
         yield fields, block, whole
 
 
+#: Shares over which the pages with one payload are dealt.
+SALTS = 16
+
+
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload with record_type and refers_to.
 
@@ -101,8 +105,10 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("sha", F.sha1("payload"))
-    first = own.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    both = own.join(first, "sha", "left")
+    first = own.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    # payloads that one page has need no look; the pages of a frequent one are dealt over SALTS shares
+    first = first.where("n > 1").select("sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    both = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["sha", "salt"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return both.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
