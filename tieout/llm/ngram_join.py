@@ -531,14 +531,17 @@ def keep_first(df: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFram
     one document: the one whose other columns hash lowest stays. Rows that share an
     id but not their text stay or go together. An empty table stays empty.
     """
-    found = stored(jaccard_components(df, k, p, q).select("key", "leads"), "led")
-    kept = found.where("leads").groupBy("key").agg(F.count("*").alias("copies"))
+    found = jaccard_components(df, k, p, q).where("leads").groupBy("key").agg(F.count("*").alias("copies"))
+    kept = stored(found, "kept")
     at = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     names = {c.lower() for c in df.columns}
     spare = next(c for c in (f"key{i}" for i in itertools.count()) if c not in names)
     keyed = df.withColumn(spare, at)
-    once = keyed.join(kept.where("copies = 1").select(F.col("key").alias(spare)), spare, "left_semi").drop(spare)
+    # keys grow with the corpus, so they are never broadcast, few as they may be
+    once = keyed.join(kept.where("copies = 1").select(F.col("key").alias(spare)).hint("merge"), spare, "left_semi").drop(spare)
     again = kept.where("copies > 1").select(F.col("key").alias(spare))
+    if again.isEmpty():
+        return once
     # maps can't be hashed, so each column counts by its text
     own = [F.col(f"`{c}`") for c in df.columns]
     rank = F.xxhash64(*[F.to_json(F.struct(c)) for c in own])
