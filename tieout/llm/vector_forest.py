@@ -427,7 +427,7 @@ def _placed_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     now, tree = int(leaf[a]), pickle.loads(data[0])
                     continue
                 node = piece.column("node").slice(a, b - a).to_numpy()
-                if now != leaf[a] or all(len(x) == 1 for x in tree.leaf):
+                if now != leaf[a] or sum(int((x >= 0).sum()) for x in tree.leaf) == 1:
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(leaf[a:b]), pa.array(np.ones(b - a, bool))], schema=schema)
                     continue
                 rows, found = tree.leaves(np.stack([np.frombuffer(v, "<f8") for v in data]))
