@@ -192,5 +192,10 @@ def encode_digests(df: DataFrame, text: str = "text", path: str | None = None) -
 
 
 def op2_byte_bpe(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``df``."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``df``.
+
+    Null and empty texts give 0 tokens and the digests of nothing; rows of equal
+    text are alike, repeated rows stay, null ids pass through. Of merges of equal
+    rank the leftmost comes first, as in the library. An empty table gives an empty result.
+    """
     return encode_digests(df.select("doc_id", "text"))

@@ -230,6 +230,8 @@ def _edited(ids, texts, nexts):
 def op9_fingerprints(df: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    A null text counts as empty. A single row is its own next.
+    A null text counts as empty. A single row is its own next. Rows that share an id
+    follow each other by their texts' hashes; null ids come first. An empty table
+    gives an empty result.
     """
     return with_next(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _OP9, _edited)

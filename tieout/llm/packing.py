@@ -147,5 +147,9 @@ def pack_texts(df: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
 
 
 def op5_best_fit_packing(df: DataFrame) -> DataFrame:
-    """doc_id, piece, n_tokens, bin_id, bin_length, bin_offset for every piece of every row."""
+    """doc_id, piece, n_tokens, bin_id, bin_length, bin_offset for every piece of every row.
+
+    Null and empty texts have one piece of 0 tokens without a bin; repeated rows
+    are packed each. An empty table gives an empty result.
+    """
     return pack_texts(df)

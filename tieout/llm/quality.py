@@ -205,7 +205,12 @@ def _apart(df: DataFrame, model: RuleEnsemble, keep: list[str], stats: dict[str,
 
 
 def op10_quality(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; learnt from labels whose crc32(doc_id) mod 3 is not 1."""
+    """doc_id, held_out, score, predicted for every row; learnt from labels whose crc32(doc_id) mod 3 is not 1.
+
+    Null and empty texts are scored as empty; rows of equal text score alike; an id
+    labelled twice counts as good if either label says so. Without labels every
+    score is 0.5. An empty table gives an empty result.
+    """
     model = train(df, labels)
     scored = score_texts(df.select("doc_id", "text"), model)
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -205,6 +205,10 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None, out
 
 
 def op1_token_counts(df: DataFrame, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row of ``df``."""
+    """doc_id, n_bytes, n_tokens, over_limit for every row of ``df``.
+
+    Null and empty texts have 0 of both; rows of equal text count alike, repeated
+    rows stay, null ids pass through. An empty table gives an empty result.
+    """
     thin = df.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return token_counts(thin).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

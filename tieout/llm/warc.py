@@ -188,7 +188,12 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok of every page, read back from archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok of every page, read back from archives.
+
+    A null html is an empty payload. Equal payloads are told by their SHA-1; rows
+    that share the smallest page_id and a payload are all responses. An empty
+    table gives an empty result.
+    """
     archives = stored(write_archives(pages), "warc")
     return read_archives(archives, payloads=False).drop("payload", "url")
 
