@@ -10,6 +10,7 @@ from tieout.llm.frames import read
 from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
 from tieout.llm.packing import op5_best_fit_packing
+from tieout.llm.pair_bpe import op13_pair_bpe
 from tieout.llm.quality import op10_quality
 from tieout.llm.token_count import op1_token_counts
 from tieout.llm.toxicity import op6_toxicity
@@ -57,6 +58,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_pair_bpe(read(spark, sf_dir, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +80,7 @@ def queries() -> dict:
         "op8_warc": _op8,
         "op9_fingerprints": _op9,
         "op10_quality": _op10,
+        "op13_pair_bpe": _op13,
         "pipeline": _pipeline,
     }
 
