@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tieout.llm.byte_bpe import op2_byte_bpe
 from tieout.llm.fingerprint import op9_fingerprints
 from tieout.llm.frames import read
+from tieout.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
 from tieout.llm.packing import op5_best_fit_packing
@@ -58,6 +59,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_pair_bpe(read(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op8_warc": _op8,
         "op9_fingerprints": _op9,
         "op10_quality": _op10,
+        "op11_hard_negatives": _op11,
         "op13_pair_bpe": _op13,
         "pipeline": _pipeline,
     }
@@ -105,4 +111,4 @@ FROM embeddings e JOIN component c ON c.id = e.vec_id LEFT JOIN counted ON count
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_vector_forest": OP3_SQL, "op8_warc": OP8_SQL}
+    return {"op3_vector_forest": OP3_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL}
