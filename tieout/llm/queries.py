@@ -12,6 +12,7 @@ from tieout.llm.language_id import op7_language_id
 from tieout.llm.ngram_join import op4_ngram_jaccard_join
 from tieout.llm.packing import op5_best_fit_packing
 from tieout.llm.pair_bpe import op13_pair_bpe
+from tieout.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from tieout.llm.quality import op10_quality
 from tieout.llm.token_count import op1_token_counts
 from tieout.llm.toxicity import op6_toxicity
@@ -63,6 +64,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_hard_negatives(read(spark, sf_dir, "embeddings"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_pair_bpe(read(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ def queries() -> dict:
         "op9_fingerprints": _op9,
         "op10_quality": _op10,
         "op11_hard_negatives": _op11,
+        "op12_prefix_trie": _op12,
         "op13_pair_bpe": _op13,
         "pipeline": _pipeline,
     }
@@ -111,4 +117,4 @@ FROM embeddings e JOIN component c ON c.id = e.vec_id LEFT JOIN counted ON count
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_vector_forest": OP3_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op3_vector_forest": OP3_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
