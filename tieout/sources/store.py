@@ -1,15 +1,21 @@
-"""Tables written once into the folder that all executors share."""
+"""Tables and small marks in folders that all executors share."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: str | None = None
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: The innermost ``temporary`` of this thread.
+_HERE = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,18 +36,82 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tieout-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
+    if (own := getattr(_HERE, "own", None)) is not None:
+        own.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables written inside are deleted on leaving; for steps whose result is no frame over them."""
+    outer, _HERE.own = getattr(_HERE, "own", None), []
+    try:
+        yield
+    finally:
+        for spark, path in _HERE.own:
+            _delete(spark, path)
+            _WRITTEN.remove((spark, path))
+        _HERE.own = outer
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``df``, as ``written`` gave it, reads; other frames over it become unreadable."""
+    files = {f.rsplit("/", 1)[0].split("://", 1)[-1].lstrip("/") for f in df.inputFiles()}
+    for spark, path in list(_WRITTEN):
+        if path.split("://", 1)[-1].lstrip("/") in files:
+            _delete(spark, path)
+            _WRITTEN.remove((spark, path))
+
+
 def drop_written() -> None:
     """Delete the tables; frames over them become unreadable."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
 
 atexit.register(drop_written)
+
+
+class Folder:
+    """A folder of any storage that Spark reaches: names, marks that only one writer can make, and deletion."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jpath = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, sub: str) -> list[str]:
+        """Names in a folder, in order; none where it isn't there."""
+        where = self._jpath(f"{self.path}/{sub}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+
+    def mark(self, sub: str, text: str = "") -> bool:
+        """Make a small file; False if it is there already. Of several writers one makes it, where the storage creates files atomically."""
+        try:
+            out = self._fs.create(self._jpath(f"{self.path}/{sub}"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def text(self, sub: str) -> str:
+        source = self._fs.open(self._jpath(f"{self.path}/{sub}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def delete(self, sub: str) -> None:
+        self._fs.delete(self._jpath(f"{self.path}/{sub}"), True)
