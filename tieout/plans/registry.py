@@ -80,14 +80,13 @@ _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str, name: str | None = None):
     """Register a query under its function's name, with its SQL; ``{F}`` and ``{M}`` stand for the sources and for rules on top."""
 
     def add(f):
         key = name or f.__name__
         _QUERIES[key] = f
-        if sql is not None:
-            _SQL[key] = sql.replace("{F}", fixtures.SQL).replace("{M}", MEMBERS_SQL)
+        _SQL[key] = sql.replace("{F}", fixtures.SQL).replace("{M}", MEMBERS_SQL)
         return f
 
     return add
@@ -823,10 +822,10 @@ def chain_break_labels(spark, d):
     return chains.break_reasons(steps, props).select("label")
 
 
-@query()
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def guarded_select_orders(spark, d):
     read(spark, d, "orders").createOrReplaceTempView("tieout_orders")
-    return guarded_select(spark, "SELECT o_orderstatus, count(*) AS n FROM tieout_orders GROUP BY o_orderstatus ORDER BY o_orderstatus", 50)
+    return guarded_select(spark, "SELECT o_orderstatus, count(*) AS n FROM tieout_orders GROUP BY o_orderstatus ORDER BY o_orderstatus", 50, ["tieout_orders"])
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) WHEN 1 THEN -CAST(round(o_totalprice * 100) AS BIGINT) WHEN 2 THEN NULL ELSE -(o_orderkey * 100) END AS minor_units FROM orders")
