@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.expr import minor
+from tieout.sources.store import written
 
 CONFIDENCE = ("exact", "within_tolerance", "high", "ambiguous", "unbalanced")
 OPEN_STATUSES = ("pending", "accepted", "review_later")
@@ -45,9 +46,9 @@ def aggregate_members(one: tuple[str, DataFrame, str, str | None], many: tuple[s
 
 
 def collapsed(members: DataFrame) -> DataFrame:
-    """One row for each (group, dataset, row); of repeats the one with the first role and smallest amount."""
-    first = F.min(F.struct("role", "amount_minor")).alias("f")
-    return members.groupBy("group_key", "dataset", "row_id").agg(first).select("group_key", "dataset", "row_id", "f.role", "f.amount_minor")
+    """One row for each (group, dataset, row), of each rule where rules are named; of repeats the one with the first role and smallest amount."""
+    keys = [*(["rule"] if "rule" in members.columns else []), "group_key", "dataset", "row_id"]
+    return members.groupBy(*keys).agg(F.min(F.struct("role", "amount_minor")).alias("f")).select(*keys, "f.role", "f.amount_minor")
 
 
 def contested_rows(members: DataFrame) -> DataFrame:
@@ -72,10 +73,14 @@ def proposals(members: DataFrame, rule: str, tolerance_minor: int = 0) -> DataFr
     A group needs two members; ids follow from rule, key and members, so running
     a rule again gives the same ids.
     """
-    rows = collapsed(members)
-    twice = F.count("*").over(Window.partitionBy("dataset", "row_id")) > 1
+    return _groups(collapsed(members).withColumn("rule", F.lit(rule)), tolerance_minor)
+
+
+def _groups(rows: DataFrame, tolerance_minor: int) -> DataFrame:
+    """``proposals`` of collapsed members of any number of rules."""
+    twice = F.count("*").over(Window.partitionBy("rule", "dataset", "row_id")) > 1
     marked = rows.withColumn("shared", twice)
-    groups = marked.groupBy("group_key").agg(
+    groups = marked.groupBy("rule", "group_key").agg(
         F.count("*").alias("member_count"),
         F.sum(F.coalesce("amount_minor", F.lit(0))).cast("bigint").alias("balance_minor"),
         (F.count("*") == F.count("amount_minor")).alias("has_amounts"),
@@ -88,8 +93,8 @@ def proposals(members: DataFrame, rule: str, tolerance_minor: int = 0) -> DataFr
     groups = groups.where("member_count >= 2")
     tol = F.lit(tolerance_minor).cast("bigint")
     return groups.select(
-        F.xxhash64(F.lit(rule), "group_key", "digest").alias("proposal_id"),
-        F.lit(rule).alias("rule"),
+        F.xxhash64("rule", "group_key", "digest").alias("proposal_id"),
+        "rule",
         "group_key",
         "edge",
         "member_count",
@@ -106,6 +111,18 @@ def members_of(props: DataFrame, members: DataFrame) -> DataFrame:
     return collapsed(members).join(props.select("proposal_id", "group_key"), "group_key").select("proposal_id", "group_key", "dataset", "row_id", "role", "amount_minor")
 
 
+def both_of(members: DataFrame, tolerance_minor: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(proposals, their members) of all rules at once; ``members`` have a ``rule``.
+
+    Rows are collapsed and stored once; the groups come from one pass over them
+    and the ids go back to them by one join.
+    """
+    rows = written(collapsed(members), "collapsed")
+    props = written(_groups(rows, tolerance_minor), "groups")
+    own = rows.join(props.select("proposal_id", "rule", "group_key"), ["rule", "group_key"])
+    return props, own.select("proposal_id", "group_key", "dataset", "row_id", "role", "amount_minor")
+
+
 def duplicate_members(members: DataFrame, marks: DataFrame) -> DataFrame:
     """Members with duplicate_of set where the row's first copy is in the same group; ``marks`` is (dataset, row_id, dup_of)."""
     flagged = members.join(marks, ["dataset", "row_id"], "left")
@@ -139,6 +156,15 @@ def eligible(props: DataFrame, trusted: list[str], held: DataFrame) -> DataFrame
     return props.where(ok).join(held, "proposal_id", "left_anti")
 
 
+def against(members: DataFrame, props: DataFrame, dataset: str, counterpart: str | None) -> DataFrame:
+    """``members`` of proposals whose edge links ``dataset`` with ``counterpart``; all of them without one."""
+    if counterpart is None:
+        return members
+    sides = F.split("edge", ",")
+    linking = props.where(F.array_contains(sides, dataset) & F.array_contains(sides, counterpart))
+    return members.join(linking.select("proposal_id"), "proposal_id", "left_semi")
+
+
 def unmatched(rows: DataFrame, dataset: str, members: DataFrame) -> DataFrame:
     """Rows of a source that no given member stands for."""
     return rows.join(members.where(F.col("dataset") == dataset).select("row_id").distinct(), "row_id", "left_anti")

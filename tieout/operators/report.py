@@ -25,6 +25,13 @@ def coverage_by_edge(members: DataFrame, status: DataFrame) -> DataFrame:
     return rows.select("edge", "dataset", "row_id").distinct().groupBy("edge", "dataset").agg(F.count("*").alias("matched"))
 
 
+def coverage_sides(sources: dict[str, DataFrame], members: DataFrame, status: DataFrame) -> DataFrame:
+    """(edge, dataset, n_rows, matched, unmatched): of each side of an edge with accepted proposals, the rows that these hold and the rest."""
+    rows = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("dataset"), "n_rows") for n, df in sources.items()])
+    both = coverage_by_edge(members, status).join(rows, "dataset")
+    return both.select("edge", "dataset", "n_rows", "matched", (F.col("n_rows") - F.col("matched")).alias("unmatched"))
+
+
 def coverage_totals(by_dataset: DataFrame) -> DataFrame:
     return by_dataset.agg(F.sum("n_rows").alias("n_rows"), F.sum("matched").alias("matched"), F.sum("unmatched").alias("unmatched"))
 

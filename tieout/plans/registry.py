@@ -16,9 +16,6 @@ from tieout.sources.store import written
 RULE_EXACT, RULE_BATCH = "auto_exact__ledger__gateway", "auto_batch__bank__gateway"
 
 
-_BOTH: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
-
-
 class World:
     """The three sources, their two rules, and statuses that follow from group keys."""
 
@@ -35,22 +32,12 @@ class World:
         return match.aggregate_members(("bank", keyed, "batch_id", "credit_amount"), ("gateway", self.gateway, "batch_id", "gross_amount"))
 
     def both(self) -> tuple[DataFrame, DataFrame]:
-        """(proposals with status, members) of both rules, made once a session and folder."""
-        key = (self.spark.sparkContext.applicationId, self.dir)
-        if key not in _BOTH:
-            _BOTH[key] = self._both()
-        return _BOTH[key]
-
-    def _both(self) -> tuple[DataFrame, DataFrame]:
-        props = members = None
-        for rule, own in ((RULE_EXACT, self.exact_members()), (RULE_BATCH, self.batch_members())):
-            p = match.proposals(own, rule)
-            m = match.members_of(p, own)
-            props, members = (p, m) if props is None else (props.unionByName(p), members.unionByName(m))
+        """(proposals with status, members) of both rules."""
+        rules = self.exact_members().withColumn("rule", F.lit(RULE_EXACT)).unionByName(self.batch_members().withColumn("rule", F.lit(RULE_BATCH)))
+        props, members = match.both_of(rules)
         number = F.regexp_extract("group_key", "([0-9]+)$", 1).cast("bigint")
         status = F.when(number % 101 == 3, "rejected").when(number % 101 == 4, "review_later").when(F.col("confidence") == "exact", "accepted").otherwise("pending")
-        # read several times by what follows, so written once
-        return written(props.withColumn("status", status), "proposals"), written(members, "members")
+        return props.withColumn("status", status), members
 
 
 MEMBERS_SQL = (
@@ -414,6 +401,18 @@ def unattached_rows(spark, d):
     return match.unmatched(w.ledger, "ledger", held).select("row_id")
 
 
+@query(
+    """WITH {M}, held AS (SELECT row_id FROM members JOIN status USING (rule, group_key) WHERE dataset = 'gateway' AND status = 'accepted' AND list_contains(string_split(edge, ','), 'bank'))
+SELECT row_id, txn_id FROM gateway WHERE row_id NOT IN (SELECT row_id FROM held)"""
+)
+def unmatched_counterpart(spark, d):
+    w = World(spark, d)
+    props, members = w.both()
+    accepted = props.where("status = 'accepted'")
+    held = match.against(members.join(accepted.select("proposal_id"), "proposal_id", "left_semi"), accepted, "gateway", "bank")
+    return match.unmatched(w.gateway, "gateway", held).select("row_id", "txn_id")
+
+
 @query(
     """WITH {M}, dup AS (SELECT row_id, first_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY order_ref, gross_amount, currency, batch_id) AS first_id FROM gateway) WHERE row_id <> first_id),
 m AS (SELECT m.*, d.first_id FROM members m LEFT JOIN dup d ON m.dataset = 'gateway' AND d.row_id = m.row_id WHERE rule = 'auto_exact__ledger__gateway')
@@ -686,6 +685,18 @@ def coverage_edge(spark, d):
     return report.coverage_by_edge(members, props)
 
 
+@query(
+    """WITH {M}, t AS (SELECT 'ledger' AS dataset, count(*) AS n_rows FROM ledger UNION ALL SELECT 'gateway', count(*) FROM gateway UNION ALL SELECT 'bank', count(*) FROM bank),
+sides AS (SELECT DISTINCT edge, unnest(string_split(edge, ',')) AS dataset FROM status WHERE status = 'accepted'),
+a AS (SELECT edge, dataset, count(DISTINCT row_id) AS matched FROM members JOIN status USING (rule, group_key) WHERE status = 'accepted' GROUP BY edge, dataset)
+SELECT edge, dataset, n_rows, coalesce(matched, 0) AS matched, n_rows - coalesce(matched, 0) AS unmatched FROM sides JOIN t USING (dataset) LEFT JOIN a USING (edge, dataset)"""
+)
+def coverage_sides(spark, d):
+    w = World(spark, d)
+    props, members = w.both()
+    return report.coverage_sides(w.sources, members, props)
+
+
 @query(
     """WITH {M}, c AS (SELECT 'ledger' AS dataset, row_id, currency FROM ledger UNION ALL SELECT 'gateway', row_id, currency FROM gateway UNION ALL SELECT 'bank', row_id, currency FROM bank),
 g AS (SELECT rule, group_key, sum(CASE WHEN amount_minor > 0 THEN amount_minor ELSE 0 END) AS gross, arg_min(currency, (dataset, row_id)) AS currency FROM members JOIN c USING (dataset, row_id) GROUP BY rule, group_key)
