@@ -9,6 +9,7 @@ decides.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,19 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.llm.frames import free_name, map_arrow, remainder, sampled
+from tieout.llm.frames import free_name, map_arrow, remainder, sampled, stored
 
 #: Characters of an n-gram; words are padded by one blank.
 GRAM = 4
-#: Slots of the table (a power of two) and slots an n-gram has.
-SLOT_BITS = 20
+#: Slots of a table for each n-gram in it, before the number becomes a power of two, and slots an n-gram has.
+ROOM = 6
 HASHES = 2
 #: Languages a mask has bits for; more languages take more masks.
 MASK = 64
 #: Training rows at most (an about exact bound, chosen by a hash of the id).
 TRAIN_ROWS = 30_000
-#: An n-gram enters a language's filter if it makes up this share of all of the language's, so no filter holds more than 1 / MIN_SHARE.
-MIN_SHARE = 2e-5
+#: An n-gram that is so much rarer in a language than in another counts as quoted from there and doesn't enter.
+QUOTED = 0.02
 UNKNOWN = "und"
 
 
@@ -69,9 +70,18 @@ def grams(text: str | None) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def slots(names: np.ndarray) -> list[np.ndarray]:
-    low = np.uint64((1 << SLOT_BITS) - 1)
-    return [((names >> np.uint64(SLOT_BITS * i)) & low).astype(np.int64) for i in range(HASHES)]
+def slot_bits(n_grams: int) -> int:
+    """Bits of a slot's number in a table of so many n-grams."""
+    return max(10, math.ceil(math.log2(max(1, n_grams) * ROOM)))
+
+
+def slots(names: np.ndarray, bits: int) -> list[np.ndarray]:
+    low = np.uint64((1 << bits) - 1)
+    return [((names >> np.uint64(bits * i)) & low).astype(np.int64) for i in range(HASHES)]
+
+
+def mask_kind(languages: int) -> type:
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if languages <= np.iinfo(t).bits)
 
 
 @dataclass
@@ -80,25 +90,34 @@ class LanguageFilters:
     masks: list[np.ndarray]
     false_rate: np.ndarray
 
+    @classmethod
+    def over(cls, languages: list[str], tables: list[np.ndarray]) -> LanguageFilters:
+        """Filters over finished tables, one for each MASK languages."""
+        filled = []
+        for start, masks in zip(range(0, len(languages), MASK), tables):
+            filled += [np.count_nonzero(masks & masks.dtype.type(1 << b)) / len(masks) for b in range(min(MASK, len(languages) - start))]
+        return cls(languages, tables, np.array(filled) ** HASHES)
+
     @classmethod
     def of(cls, languages: list[str], members: list[np.ndarray]) -> LanguageFilters:
-        tables, filled = [], []
+        """Filters of n-grams at hand."""
+        bits = slot_bits(len(np.unique(np.concatenate(members))) if members else 0)
+        tables = []
         for start in range(0, len(languages), MASK):
             own = members[start : start + MASK]
-            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(own) <= np.iinfo(t).bits)
-            masks = np.zeros(1 << SLOT_BITS, kind)
+            kind = mask_kind(len(own))
+            masks = np.zeros(1 << bits, kind)
             for bit, names in enumerate(own):
-                for at in slots(names):
+                for at in slots(names, bits):
                     masks[np.unique(at)] |= kind(1 << bit)
             tables.append(masks)
-            filled += [np.count_nonzero(masks & kind(1 << b)) / len(masks) for b in range(len(own))]
-        return cls(languages, tables, np.array(filled) ** HASHES)
+        return cls.over(languages, tables)
 
     def containing(self, names: np.ndarray) -> list[np.ndarray]:
         """For each n-gram the mask of the languages that contain it, table by table."""
-        first, *rest = slots(names)
         out = []
         for masks in self.masks:
+            first, *rest = slots(names, len(masks).bit_length() - 1)
             found = masks[first]
             for at in rest:
                 found &= masks[at]
@@ -129,9 +148,11 @@ class LanguageFilters:
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_ROWS) -> LanguageFilters:
     """Filters from the rows of ``df`` with a language; at most about ``bound`` of them, chosen by a hash of the id.
 
-    n-grams are counted in the workers and summed by a shuffle; what reaches the
-    driver is bounded by languages over MIN_SHARE. No rows give filters that call
-    every text unknown.
+    All n-grams of these rows enter, however rare, but those that fail the test of
+    QUOTED: documents quote other languages. n-grams are counted in the workers and
+    summed by a shuffle; what reaches the driver is the table, ROOM masks for each
+    distinct n-gram of the bounded rows. No rows give filters that call every text
+    unknown.
     """
     rows = sampled(df.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), bound, "id")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -148,14 +169,26 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
         return work
 
-    counted = map_arrow(rows, make, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang"))
-    kept = counted.withColumn("share", F.col("n") / total).where(F.col("share") >= MIN_SHARE)
-    members: dict[str, list[int]] = {}
-    for r in kept.select("lang", "gram").collect():
-        members.setdefault(r.lang, []).append(r.gram)
-    languages = sorted(members)
-    return LanguageFilters.of(languages, [np.array(members[x], np.int64).view(np.uint64) for x in languages])
+    counts = stored(map_arrow(rows, make, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return LanguageFilters.over([], [])
+    share = F.col("n") / F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")]
+    best = F.max("share").over(Window.partitionBy("gram"))
+    found = counts.withColumn("share", share).withColumn("best", best).where(F.col("share") >= QUOTED * F.col("best")).select("lang", "gram")
+    found = stored(found, "entering")
+    bits = slot_bits(found.select("gram").distinct().count())
+    tables = []
+    for start in range(0, len(languages), MASK):
+        own = languages[start : start + MASK]
+        bit = F.create_map(*[F.lit(x) for i, tag in enumerate(own) for x in (tag, i)])[F.col("lang")]
+        at = F.explode(F.array(*[F.shiftrightunsigned("gram", bits * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(HASHES)]))
+        filled = found.where(F.col("lang").isin(own)).select(at.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+        masks = np.zeros(1 << bits, mask_kind(len(own)))
+        masks[filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64).astype(masks.dtype)
+        tables.append(masks)
+    return LanguageFilters.over(languages, tables)
 
 
 def identify(df: DataFrame, model: LanguageFilters, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -165,9 +198,9 @@ def identify(df: DataFrame, model: LanguageFilters, text: str = "text", lang: st
     first language in alphabetical order. Rows and other columns stay; columns
     named like an output are replaced.
     """
-    rest = [f for f in df.schema.fields if f.name not in (lang, score)]
+    rest = [f for f in df.schema.fields if f.name.lower() not in (lang.lower(), score.lower())]
     schema = T.StructType([*rest, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a table that the training rows bound
 
     def make():
         filters = shared.value
