@@ -31,8 +31,8 @@ TRAIN_ROWS = 30_000
 STEMS = (6, 5, 4)
 #: Documents that the Dirichlet prior counts as; a feature's part is its share of all documents.
 PRIOR = 10.0
-#: A feature scores if its log-odds are this large and so many standard deviations from 0, and it is in so many toxic documents.
-ODDS, Z, LEAST = 2.0, 2.5, 3
+#: A feature scores if its log-odds are this large and so many standard deviations from 0.
+ODDS, Z = 2.0, 2.5
 #: Chance of a share of toxic documents like a feature's must be below the number of features tested to minus this power.
 #: Copies of documents make chance finds likelier than independent documents would, hence more than 1.
 #: The second holds for stems, which stand for words never seen.
@@ -183,15 +183,34 @@ def fit_curve(rows: Iterable[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[1]), float(w[0])
 
 
+def testable(sizes: dict[int, int], base: float) -> tuple[int, int]:
+    """(fewest documents a feature must be in, features in as many): Tarone's rule.
+
+    ``sizes`` counts features by their documents, ``base`` is the toxic share. A
+    feature in c documents has the least chance, base ** c, where all are toxic; c is
+    the smallest number for which that passes when all features in c or more
+    documents are tested. Those in fewer can't pass, whatever their labels.
+    """
+    left = sum(sizes.values())
+    for c in range(1, max(sizes, default=0) + 2):
+        if -c * math.log(base) >= STRICT * (math.log(left + 1) + 1) if base < 1 else False:
+            return c, left
+        left -= sizes.get(c, 0)
+    return max(sizes, default=0) + 1, 0
+
+
 def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel:
     """A model from ``rows`` (id, text, toxic: 0 or 1); about ``bound`` of them at most, chosen by a hash of the id.
 
     Document counts of words and stems are made in the workers and summed by a
-    shuffle. Only features in LEAST toxic documents, and there more often than in
-    all, reach the driver, so the size of the training rows bounds them.
+    shuffle. A feature in so few documents that not even toxic ones alone could pass
+    the test counts as none that was tested (``testable``). Only the others, where
+    they are more often in toxic documents than in all, reach the driver, so the
+    size of the training rows bounds them.
     Rows with a null label are left out. Without toxic rows every score is low.
     """
-    rows = sampled(rows.where(F.col("toxic").isNotNull()), bound, "id")
+    # read three times below: written once, so the corpus is scanned once
+    rows = sampled(stored(rows.where(F.col("toxic").isNotNull()).select("id", "text", "toxic"), "training"), bound, "id")
     counted = T.StructType([T.StructField("feature", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bad", T.LongType())])
 
     def count():
@@ -210,14 +229,16 @@ def train(rows: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel:
         return work
 
     sums = map_arrow(rows.select("id", "text", "toxic"), count, counted).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # one row for all documents, and features seen often enough to score; most features are seen once
-    sums = stored(sums.where((F.col("feature") == "") | (F.col("bad") >= LEAST)), "features")
+    sums = stored(sums, "features")
     whole = sums.where("feature = ''").first()
     if whole is None or whole.bad == 0:
         return ToxicityModel({}, 1.0, 1.0, 0.0, -4.0)
     n, bad = float(whole.n), float(whole.bad)
-    good, tested = n - bad, sums.count() - 1
-    table = sums.where((F.col("feature") != "") & (F.col("bad") * n > F.col("n") * bad)).orderBy("feature").toPandas()
+    good = n - bad
+    # at most one row for each number of documents
+    sizes = {r.n: r.features for r in sums.where("feature <> ''").groupBy("n").agg(F.count("*").alias("features")).collect()}
+    least, tested = testable(sizes, bad / n)
+    table = sums.where((F.col("feature") != "") & (F.col("n") >= least) & (F.col("bad") * n > F.col("n") * bad)).orderBy("feature").toPandas()
     prior = PRIOR * (table["n"].to_numpy() + 1) / (n + 2)
     y1, y0 = table["bad"].to_numpy(float), (table["n"] - table["bad"]).to_numpy(float)
     odds = lambda y, size: np.log((y + prior) / np.maximum(size + PRIOR - y - prior, 1e-9))
@@ -289,7 +310,7 @@ def score_texts(df: DataFrame, model: ToxicityModel, text: str = "text", score:
     Null, empty and wordless texts get the score of a text without findings.
     Rows and other columns stay; a column named ``score`` is replaced.
     """
-    rest = [f for f in df.schema.fields if f.name != score]
+    rest = [f for f in df.schema.fields if f.name.lower() != score.lower()]
     schema = T.StructType([*rest, T.StructField(score, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_ROWS
 
