@@ -93,6 +93,8 @@ def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bo
 
 #: Shares over which the pages with one payload are dealt.
 SALTS = 16
+#: Words of 64 bits that say which payloads may occur twice.
+WORDS = 1 << 16
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -102,15 +104,26 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     smallest page_id is the response. A null html is an empty payload; repeated
     rows of the smallest page_id are all responses; rows with a null page_id are
     revisits where another id has the payload and responses otherwise.
+
+    Digests of repeated payloads set bits of a table of one size at any scale. A
+    page whose bit isn't set is a response and stays where it is; only the others,
+    repeated ones and those that meet a bit by chance, move to their digest's first.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("sha", F.sha1("payload"))
     first = own.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    # payloads that one page has need no look; the pages of a frequent one are dealt over SALTS shares
-    first = first.where("n > 1").select("sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["sha", "salt"], "left")
+    first = stored(first.where("n > 1").select("sha", "first_id"), "repeated")
+    bit = F.pmod(F.xxhash64("sha"), F.lit(WORDS * 64))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+    words = first.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("bits"))  # WORDS rows at most
+    seen = own.withColumn("word", F.floor(bit / 64)).join(F.broadcast(words), "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False)))
+    apart = seen.where("NOT maybe").select("page_id", "url", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
+    # the pages of a frequent payload are dealt over SALTS shares
+    shares = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = seen.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(shares, ["sha", "salt"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return both.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
+    both = both.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
+    return apart.unionByName(both)
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
