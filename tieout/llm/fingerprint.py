@@ -154,11 +154,13 @@ def with_next(df: DataFrame, schema: T.StructType, work) -> DataFrame:
     if not n:
         return df.sparkSession.createDataFrame([], schema)
     parts = math.ceil(RANGES * math.sqrt(n))
-    cuts = sorted(set(df.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     ranked = df.withColumn("k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("rank", F.xxhash64("text"))
+    # rows without an id lie below all ids, by their texts' hashes, so they take ranges of their own
+    ranked = ranked.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-(2.0**65)) + F.col("rank").cast("double")))
+    cuts = sorted(set(ranked.approxQuantile("at", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     if cuts:
         # a binary search; ids that one double stands for stay in one range
-        ranked = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range").transform(ranked.withColumn("at", F.col("k").cast("double")))
+        ranked = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range").transform(ranked)
     else:
         ranked = ranked.withColumn("range", F.lit(0))
     ranked = ranked.withColumn("range", F.col("range").cast("int"))
