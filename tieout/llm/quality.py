@@ -191,11 +191,14 @@ def train(df: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bou
 def score_texts(df: DataFrame, model: RuleEnsemble, text: str = "text", score: str = "score") -> DataFrame:
     """``df`` with ``score`` (0 to 1, higher: better quality likelier) of each whole text; null and empty texts are scored as empty.
 
-    Other columns stay, a column named ``score`` is replaced.
+    Other columns stay, a column named ``score``, whatever its case, is replaced.
     """
     stats = statistics(F.col(text))
-    keep = [c for c in df.columns if c != score]
-    return df.select(*keep, F.struct(*(c.alias(n) for n, c in stats.items())).alias("__stats")).select(*keep, "__stats.*").select(*keep, model.score().alias(score)) if not set(stats) & set(keep) else _apart(df, model, keep, stats, score)
+    keep = [c for c in df.columns if c.lower() != score.lower()]
+    if {c.lower() for c in keep} & {"__stats", *(n.lower() for n in stats)}:
+        return _apart(df, model, keep, stats, score)
+    whole = df.select(*keep, F.struct(*(c.alias(n) for n, c in stats.items())).alias("__stats"))
+    return whole.select(*keep, "__stats.*").select(*keep, model.score().alias(score))
 
 
 def _apart(df: DataFrame, model: RuleEnsemble, keep: list[str], stats: dict[str, Column], score: str) -> DataFrame:
