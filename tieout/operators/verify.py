@@ -29,13 +29,15 @@ CODES = (
 )
 
 
+def cells_of(df: DataFrame) -> Column:
+    """A row's money-like cells in column order, ids included as the lenient reading takes them."""
+    own = [F.struct(F.lit(c).alias("column"), money_minor(F.col(c)).alias("minor"), F.col(c).cast("string").try_cast("bigint").alias("whole")) for c in source_columns(df)]
+    return F.filter(F.array(*own), lambda x: x["minor"].isNotNull())
+
+
 def source_cells(sources: dict[str, DataFrame]) -> DataFrame:
-    """(dataset, row_id, cells): each row's money-like cells in column order, ids included as the lenient reading takes them."""
-    parts = []
-    for name, df in sources.items():
-        own = [F.struct(F.lit(c).alias("column"), money_minor(F.col(c)).alias("minor"), F.col(c).cast("string").try_cast("bigint").alias("whole")) for c in source_columns(df)]
-        parts.append(df.select(F.lit(name).alias("dataset"), "row_id", F.filter(F.array(*own), lambda x: x["minor"].isNotNull()).alias("cells")))
-    return reduce(DataFrame.unionByName, parts)
+    """(dataset, row_id, cells): the money-like cells of each row."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("dataset"), "row_id", cells_of(df).alias("cells")) for name, df in sources.items()])
 
 
 def resolve(members: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
@@ -44,24 +46,28 @@ def resolve(members: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     return members.join(ids, ["dataset", "row_id"], "left").fillna(False, ["resolved"])
 
 
-def traced(members: DataFrame, cells: DataFrame) -> DataFrame:
-    """Members with ``traced_by``: how the row's own cells give the amount ('cell', 'minor', 'difference', 'sum') or null. Zero is never traced."""
-    a = F.abs("amount_minor")
-    both = members.join(cells, ["dataset", "row_id"], "left")
-    c = F.coalesce("cells", F.array().cast("array<struct<column:string,minor:bigint,whole:bigint>>"))
+def trace_of(amount: Column, cells: Column) -> Column:
+    """How cells give an amount ('cell', 'minor', 'difference', 'sum') or null. Zero is never traced."""
+    a = F.abs(amount)
+    c = F.coalesce(cells, F.array().cast("array<struct<column:string,minor:bigint,whole:bigint>>"))
     few = F.size(c) <= MAX_PAIR_COLUMNS
 
     def pairs(fit) -> Column:
         return F.exists(c, lambda x: F.exists(c, lambda y: (x["column"] != y["column"]) & fit(x["minor"], y["minor"])))
 
-    how = (
-        F.when(F.col("amount_minor").isNull() | (a == 0), F.lit(None))
+    return (
+        F.when(amount.isNull() | (a == 0), F.lit(None))
         .when(F.exists(c, lambda x: F.abs(x["minor"]) == a), "cell")
         .when(F.exists(c, lambda x: F.abs(x["whole"]) == a), "minor")
         .when(few & pairs(lambda x, y: F.abs(x - y) == a), "difference")
         .when(few & pairs(lambda x, y: F.abs(x + y) == a), "sum")
     )
-    return both.select(*members.columns, how.alias("traced_by"))
+
+
+def traced(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """Members with ``traced_by``: how the row's own cells give the amount, as of ``trace_of``."""
+    both = members.join(cells, ["dataset", "row_id"], "left")
+    return both.select(*members.columns, trace_of(F.col("amount_minor"), F.col("cells")).alias("traced_by"))
 
 
 def currency_column(df: DataFrame) -> str | None:
@@ -107,6 +113,12 @@ def population_columns(props: DataFrame, sources: dict[str, DataFrame]) -> DataF
     return hit.groupBy("rule", "dataset").agg(F.max_by("column", F.struct("n", -F.col("ordinal"))).alias("column"))
 
 
+def _visible(sources: dict[str, DataFrame], columns: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule, dataset, group_key, n_visible): the rows that carry a key in a rule's population column."""
+    parts = [sources[n].select(F.lit(rule).alias("rule"), F.lit(n).alias("dataset"), F.trim(F.col(c).cast("string")).alias("group_key")) for rule, n, c in columns]
+    return reduce(DataFrame.unionByName, parts).groupBy("rule", "dataset", "group_key").agg(F.count("*").alias("n_visible"))
+
+
 def residual_evidence(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame], columns: list[tuple[str, str, str]]) -> DataFrame:
     """(proposal_id, n_taken, n_visible, n_left) over the datasets that a group has members in.
 
@@ -114,10 +126,9 @@ def residual_evidence(props: DataFrame, members: DataFrame, sources: dict[str, D
     carry the group's key there, left those of a dataset beyond what the group
     took of it. Groups whose key no such column carries are absent.
     """
-    parts = [sources[n].select(F.lit(rule).alias("rule"), F.lit(n).alias("dataset"), F.trim(F.col(c).cast("string")).alias("group_key")) for rule, n, c in columns]
-    if not parts:
+    if not columns:
         return props.where(F.lit(False)).select("proposal_id", *[F.lit(0).cast("bigint").alias(c) for c in ("n_taken", "n_visible", "n_left")])
-    visible = reduce(DataFrame.unionByName, parts).groupBy("rule", "dataset", "group_key").agg(F.count("*").alias("n_visible"))
+    visible = _visible(sources, columns)
     taken = members.groupBy("proposal_id", "dataset").agg(F.count("*").alias("n_taken")).join(props.select("proposal_id", "rule", "group_key"), "proposal_id")
     both = taken.join(visible, ["rule", "dataset", "group_key"])
     left = F.sum(F.greatest(F.col("n_visible") - F.col("n_taken"), F.lit(0).cast("bigint")))
@@ -131,6 +142,53 @@ def duplicated(members: DataFrame, marks: DataFrame) -> DataFrame:
     return own.join(first, ["proposal_id", "dataset", "dup_of"], "left_semi").groupBy("proposal_id").agg(F.count("*").alias("n_duplicates"))
 
 
+def _facts(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame], currency: dict[str, str], population: list[tuple[str, str, str]], status: DataFrame | None, recorded: DataFrame | None, marks: DataFrame | None) -> DataFrame:
+    """What is known of each proposal, from one union of narrow rows that is added up by proposal and dataset, then by proposal.
+
+    Each row says one thing: a member as recorded, a member's source row as it is
+    now, a clash with an accepted claim, a copy beside its first, or how many rows
+    carry the group's key. Each source is joined once, its money cells are read
+    only where a member points, and a large group is added up where its rows are.
+    """
+    rows = [members.select("proposal_id", "dataset", F.lit(1).alias("n"), "amount_minor")]
+    for name, df in sources.items():
+        # the source's columns keep their names, so the member's step aside
+        own = members.where(F.col("dataset") == name).select(F.col("proposal_id").alias("__p"), F.col("amount_minor").alias("__a"), "row_id")
+        now = own.join(df.select("row_id", *source_columns(df)), "row_id")
+        code = F.upper(F.trim(currency[name])) if currency.get(name) else F.lit("")
+        rows.append(now.select(F.col("__p").alias("proposal_id"), F.lit(name).alias("dataset"), F.lit(1).alias("resolved"), trace_of(F.col("__a"), cells_of(df)).isNotNull().cast("int").alias("traced"), F.when(code != "", code).alias("currency")))
+    if status is not None:
+        accepted = status.where("status = 'accepted'").select("proposal_id", "edge")
+        held = (members if recorded is None else recorded).join(accepted, "proposal_id").groupBy("edge", "dataset", "row_id").agg(F.count("*").alias("claims"), F.min("proposal_id").alias("by"))
+        own = members.join(props.select("proposal_id", "edge"), "proposal_id").select("proposal_id", "edge", "dataset", "row_id")
+        rows.append(own.join(held, ["edge", "dataset", "row_id"]).where("claims > 1 OR by <> proposal_id").select("proposal_id", "dataset", F.lit(1).alias("clash")))
+    if marks is not None:
+        rows.append(duplicated(members, marks).select("proposal_id", F.lit("").alias("dataset"), F.col("n_duplicates").alias("copies")))
+    if population:
+        rows.append(_visible(sources, population).join(props.select("proposal_id", "rule", "group_key"), ["rule", "group_key"]).select("proposal_id", "dataset", F.col("n_visible").alias("visible")))
+    kinds = {"n": "int", "amount_minor": "bigint", "resolved": "int", "traced": "int", "currency": "string", "clash": "int", "copies": "bigint", "visible": "bigint"}
+    whole = [r.select("proposal_id", "dataset", *[(F.col(c) if c in r.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]) for r in rows]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sides = reduce(DataFrame.unionByName, whole).groupBy("proposal_id", "dataset").agg(
+        total("n"), F.count("amount_minor").alias("n_amounts"), F.sum("amount_minor").alias("balance"), total("resolved"), total("traced"), F.count("currency").alias("n_currency"), F.min("currency").alias("low"), F.max("currency").alias("high"), total("clash"), total("copies"), F.max("visible").alias("visible")
+    )
+    has = F.col("n") > 0
+    return sides.groupBy("proposal_id").agg(
+        (F.sum("n") == F.sum("resolved")).alias("resolved"),
+        F.sum("n").alias("n"),
+        F.count_if(has).alias("n_datasets"),
+        F.array_join(F.array_sort(F.collect_set(F.when(has, F.col("dataset")))), ",").alias("edge_now"),
+        F.sum("n_amounts").alias("n_amounts"),
+        F.sum("traced").alias("n_traced"),
+        F.sum("balance").cast("bigint").alias("balance_now"),
+        F.sum("n_currency").alias("n_with_currency"),
+        (F.min("low") == F.max("high")).alias("one_currency"),
+        F.sum("clash").alias("n_clashes"),
+        F.sum("copies").alias("n_duplicates"),
+        F.sum(F.when(has, F.greatest(F.col("visible") - F.col("n"), F.lit(0)))).alias("n_left"),
+    )
+
+
 def _invariant(code: str, passed: Column) -> Column:
     return F.struct(F.lit(code).alias("code"), passed.cast("boolean").alias("passed"))
 
@@ -149,27 +207,14 @@ def verify(
     """(proposal_id, status, checked, failed, invariants) of every proposal.
 
     An invariant passes, fails or doesn't apply (null); a proposal fails if any
-    of its invariants does. All members are resolved and traced in one pass, over
-    the source rows that are members. ``population`` is (rule, dataset, column);
-    ``recorded`` has the members of the proposals of ``status``; ``marks`` are
-    duplicate marks, which are reported and never fail.
+    of its invariants does. ``population`` is (rule, dataset, column); ``recorded``
+    has the members of the proposals of ``status``; ``marks`` are duplicate marks,
+    which are reported and never fail.
     """
     members = written(members, "verifying")
-    picked = {n: df.join(members.where(F.col("dataset") == n).select("row_id").distinct(), "row_id", "left_semi") for n, df in sources.items()}
-    rows = traced(resolve(members, picked), source_cells(picked))
-    facts = rows.groupBy("proposal_id").agg(
-        F.bool_and("resolved").alias("resolved"),
-        F.count("*").alias("n"),
-        F.count_distinct("dataset").alias("n_datasets"),
-        F.array_join(F.array_sort(F.collect_set("dataset")), ",").alias("edge_now"),
-        F.count("amount_minor").alias("n_amounts"),
-        F.count("traced_by").alias("n_traced"),
-        F.sum("amount_minor").cast("bigint").alias("balance_now"),
-    )
-    joined = props.join(facts, "proposal_id", "left").join(currencies(members, sources, currency), "proposal_id", "left").join(residual_evidence(props, members, sources, population), "proposal_id", "left")
+    facts = _facts(props, members, sources, currency, population, status, recorded, marks)
+    joined = props.join(facts, "proposal_id", "left")
     joined = joined.join(timed.select("rule", "group_key", "late"), ["rule", "group_key"], "left") if timed is not None else joined.withColumn("late", F.lit(None).cast("boolean"))
-    joined = joined.join(clashes(props, members, status, recorded), "proposal_id", "left") if status is not None else joined.withColumn("n_clashes", F.lit(None).cast("bigint"))
-    joined = joined.join(duplicated(members, marks), "proposal_id", "left") if marks is not None else joined.withColumn("n_duplicates", F.lit(None).cast("bigint"))
     amounts = F.col("n_amounts") > 0
     whole = F.col("has_amounts") & amounts
     claims = F.col("confidence").isin("exact", "within_tolerance")
@@ -183,7 +228,7 @@ def verify(
         _invariant("balance_recomputed", F.when(whole & claims & (F.col("n_traced") == F.col("n_amounts")), within)),
         _invariant("balance_matches_record", F.when(whole, F.col("balance_now") == F.col("balance_minor"))),
         _invariant("single_claim_per_edge", F.coalesce(F.col("n_clashes"), F.lit(0)) == 0),
-        _invariant("currency_uniform", F.when(F.col("n_with_currency") >= 2, F.col("n_currencies") == 1)),
+        _invariant("currency_uniform", F.when(F.col("n_with_currency") >= 2, F.col("one_currency"))),
         _invariant("timing_consistent", ~F.col("late")),
         _invariant("no_residual_evidence", F.coalesce(F.col("n_left"), F.lit(0)) == 0),
         _invariant("confidence_consistent", F.when(whole & F.col("confidence").isin("exact", "within_tolerance", "unbalanced"), derived == F.col("confidence"))),

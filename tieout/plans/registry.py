@@ -530,7 +530,10 @@ def verify_residual_evidence(spark, d):
 
 def _instants(spark, d):
     w = World(spark, d)
-    props, members = w.both()
+    return _spans_of(w, *w.both())
+
+
+def _spans_of(w, props, members):
     when = w.gateway.select(F.lit("gateway").alias("dataset"), "row_id", F.col("captured_s").alias("instant_s")).unionByName(w.bank.select(F.lit("bank").alias("dataset"), "row_id", F.col("value_s").alias("instant_s")))
     own = members.join(props.where(F.col("rule") == RULE_BATCH).select("proposal_id", "rule"), "proposal_id")
     return own.join(when, ["dataset", "row_id"]).select("rule", "group_key", "instant_s")
@@ -579,11 +582,80 @@ v AS (SELECT group_key, count(DISTINCT currency) > 1 AS mixed FROM members JOIN
 
 
 @query(f"WITH {_VERIFIED_SQL} SELECT group_key, CASE WHEN mixed THEN 'fail' ELSE 'pass' END AS status, CASE WHEN mixed THEN 'currency_uniform' ELSE '' END AS failed FROM v")
-def verify_all(spark, d):
+def verify_exact(spark, d):
     props, found = _verified(spark, d)
     return found.join(props, "proposal_id").select("group_key", "status", F.array_join("failed", ",").alias("failed"))
 
 
+_PLANTED_SQL = SPANS_SQL + """, late AS (SELECT rule, group_key, span_s > coalesce(CAST(below AS DOUBLE), greatest(q3 + 1.5 * (q3 - q1), median + 43200)) AS late FROM spans JOIN q USING (rule) LEFT JOIN gaps USING (rule) WHERE q.n >= 8),
+tm AS (SELECT m.rule, m.group_key, dataset, m.row_id + CASE WHEN n % 211 = 5 AND dataset = 'gateway' THEN 1000000000 ELSE 0 END AS row_id, amount_minor + CASE WHEN n % 223 = 7 AND dataset = 'ledger' THEN 1234567 ELSE 0 END AS amount_minor
+  FROM members m JOIN status s ON s.rule = m.rule AND s.group_key = m.group_key WHERE NOT (m.rule = 'auto_exact__ledger__gateway' AND dataset = 'gateway' AND m.row_id % 2 = 0 AND n % 2 = 0)),
+tp AS (SELECT rule, group_key, edge, member_count + CASE WHEN n % 227 = 9 THEN 1 ELSE 0 END AS member_count, balance_minor + CASE WHEN n % 229 = 11 THEN 7 ELSE 0 END AS balance_minor,
+  CASE WHEN n % 233 <> 13 THEN confidence WHEN confidence = 'exact' THEN 'unbalanced' ELSE 'exact' END AS confidence FROM status),
+cell AS (SELECT 'ledger' AS dataset, row_id, unnest([-100 * CAST(substr(order_ref, 5) AS BIGINT), CAST(amount * 100 AS BIGINT), 100 * posted_s]) AS m, unnest([1, 2, 3]) AS i FROM ledger
+  UNION ALL SELECT 'gateway', row_id, unnest([-100 * CAST(substr(txn_id, 5) AS BIGINT), -100 * CAST(substr(order_ref, 5) AS BIGINT), CAST(gross_amount * 100 AS BIGINT), -100 * CAST(substr(batch_id, 7) AS BIGINT), 100 * captured_s]), unnest([1, 2, 3, 4, 5]) FROM gateway
+  UNION ALL SELECT 'bank', row_id, unnest([CAST(credit_amount * 100 AS BIGINT), 100 * value_s]), unnest([1, 2]) FROM bank),
+sayable AS (SELECT dataset, row_id, abs(m) AS v FROM cell UNION SELECT 'ledger', row_id, posted_s FROM ledger UNION SELECT 'gateway', row_id, captured_s FROM gateway UNION SELECT 'bank', row_id, value_s FROM bank
+  UNION SELECT a.dataset, a.row_id, unnest([abs(a.m - b.m), abs(a.m + b.m)]) FROM cell a JOIN cell b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.i <> b.i),
+src AS (SELECT 'ledger' AS dataset, row_id, currency FROM ledger UNION ALL SELECT 'gateway', row_id, currency FROM gateway UNION ALL SELECT 'bank', row_id, currency FROM bank),
+claim AS (SELECT edge, dataset, row_id, rule || group_key AS by FROM members JOIN status USING (rule, group_key) WHERE status = 'accepted'
+  UNION ALL SELECT edge, dataset, row_id, 'another' FROM members JOIN status USING (rule, group_key) WHERE rule = 'auto_exact__ledger__gateway' AND n % 239 = 3),
+clash AS (SELECT DISTINCT tm.rule, tm.group_key, true AS clashes FROM tm JOIN tp USING (rule, group_key) JOIN claim c ON c.edge = tp.edge AND c.dataset = tm.dataset AND c.row_id = tm.row_id AND c.by <> tm.rule || tm.group_key),
+vis AS (SELECT 'auto_exact__ledger__gateway' AS rule, 'ledger' AS dataset, order_ref AS group_key, count(*) AS n FROM ledger GROUP BY order_ref UNION ALL SELECT 'auto_exact__ledger__gateway', 'gateway', order_ref, count(*) FROM gateway GROUP BY order_ref
+  UNION ALL SELECT 'auto_batch__bank__gateway', 'gateway', batch_id, count(*) FROM gateway GROUP BY batch_id),
+rest AS (SELECT rule, group_key, sum(greatest(vis.n - t.n, 0)) AS n_left FROM (SELECT rule, group_key, dataset, count(*) AS n FROM tm GROUP BY ALL) t JOIN vis USING (rule, group_key, dataset) GROUP BY rule, group_key),
+dup AS (SELECT row_id, first_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY order_ref, gross_amount, currency, batch_id) AS first_id FROM gateway) WHERE row_id <> first_id),
+copied AS (SELECT DISTINCT a.rule, a.group_key, true AS copies FROM tm a JOIN dup ON a.dataset = 'gateway' AND a.row_id = dup.row_id JOIN tm b ON b.rule = a.rule AND b.group_key = a.group_key AND b.dataset = 'gateway' AND b.row_id = dup.first_id),
+now AS (SELECT tm.rule, tm.group_key, bool_and(s.row_id IS NOT NULL) AS resolved, count(*) AS n, count(DISTINCT tm.dataset) AS n_datasets, string_agg(DISTINCT tm.dataset, ',' ORDER BY tm.dataset) AS edge_now, count(amount_minor) AS n_amounts,
+  count(*) FILTER (s.row_id IS NOT NULL AND amount_minor <> 0 AND y.v IS NOT NULL) AS n_traced, sum(amount_minor) AS bal, count(currency) AS n_cur, count(DISTINCT currency) AS n_curs
+  FROM tm LEFT JOIN src s ON s.dataset = tm.dataset AND s.row_id = tm.row_id LEFT JOIN sayable y ON y.dataset = tm.dataset AND y.row_id = tm.row_id AND y.v = abs(amount_minor) GROUP BY tm.rule, tm.group_key),
+judged AS (SELECT tp.rule, tp.group_key, coalesce(copies, false) AS copies, list_filter([
+  CASE WHEN NOT resolved THEN 'members_resolve' END, CASE WHEN n_datasets < 2 THEN 'spans_two_datasets' END, CASE WHEN n <> member_count OR edge_now <> edge THEN 'member_record_consistent' END,
+  CASE WHEN n_traced <> n_amounts THEN 'amounts_traceable' END, CASE WHEN confidence = 'exact' AND n_traced = n_amounts AND bal <> 0 THEN 'balance_recomputed' END, CASE WHEN bal <> balance_minor THEN 'balance_matches_record' END,
+  CASE WHEN clashes THEN 'single_claim_per_edge' END, CASE WHEN n_cur >= 2 AND n_curs <> 1 THEN 'currency_uniform' END, CASE WHEN late THEN 'timing_consistent' END, CASE WHEN n_left > 0 THEN 'no_residual_evidence' END,
+  CASE WHEN CASE WHEN bal = 0 THEN 'exact' ELSE 'unbalanced' END <> confidence THEN 'confidence_consistent' END], lambda x: x IS NOT NULL) AS failed
+  FROM tp JOIN now USING (rule, group_key) LEFT JOIN clash USING (rule, group_key) LEFT JOIN late USING (rule, group_key) LEFT JOIN rest USING (rule, group_key) LEFT JOIN copied USING (rule, group_key))"""
+
+
+def _planted(spark, d):
+    """Both rules' groups with something wrong in some of them, judged with claims, spans and marks."""
+    w = World(spark, d)
+    props, members = w.both()
+    props, members = written(props.withColumn("number", F.regexp_extract("group_key", "([0-9]+)$", 1).cast("bigint")), "props"), written(members, "members")
+    k, at = F.col("number"), members.join(props.select("proposal_id", "rule", "number", "edge"), "proposal_id")
+    gate = F.col("dataset") == "gateway"
+    changed = at.where(~((F.col("rule") == RULE_EXACT) & gate & (F.col("row_id") % 2 == 0) & (k % 2 == 0))).select(
+        "proposal_id", "group_key", "dataset", (F.col("row_id") + F.when((k % 211 == 5) & gate, 1_000_000_000).otherwise(0)).alias("row_id"), "role",
+        (F.col("amount_minor") + F.when((k % 223 == 7) & (F.col("dataset") == "ledger"), 1234567).otherwise(0)).alias("amount_minor"),
+    )
+    told = props.withColumns({
+        "member_count": F.col("member_count") + F.when(k % 227 == 9, 1).otherwise(0),
+        "balance_minor": F.col("balance_minor") + F.when(k % 229 == 11, 7).otherwise(0),
+        "confidence": F.when(k % 233 != 13, F.col("confidence")).when(F.col("confidence") == "exact", "unbalanced").otherwise("exact"),
+    }).drop("status", "number")
+    another = (F.col("rule") == RULE_EXACT) & (k % 239 == 3)
+    second = F.xxhash64("proposal_id", F.lit("another")).alias("proposal_id")
+    status = props.select("proposal_id", "edge", "status").unionByName(props.where(another).select(second, "edge", F.lit("accepted").alias("status")))
+    recorded = members.unionByName(at.where(another).select(second, *members.columns[1:]))
+    marks = dedup.near_marks(w.gateway).select(F.lit("gateway").alias("dataset"), "row_id", "dup_of")
+    timed = timing.timing(timing.group_spans(_spans_of(w, props, members)))
+    pop = [(RULE_EXACT, "ledger", "order_ref"), (RULE_EXACT, "gateway", "order_ref"), (RULE_BATCH, "gateway", "batch_id")]
+    return told, verify.verify(told, changed, w.sources, dict.fromkeys(w.sources, "currency"), pop, timed, status, recorded, marks)
+
+
+@query(f"WITH {_PLANTED_SQL} SELECT rule, group_key, CASE WHEN len(failed) > 0 THEN 'fail' ELSE 'pass' END AS status, array_to_string(failed, ',') AS failed, copies FROM judged")
+def verify_all(spark, d):
+    props, found = _planted(spark, d)
+    copies = F.exists("invariants", lambda x: x["code"] == "duplicate_rows_excluded")
+    return found.join(props, "proposal_id").select("rule", "group_key", "status", F.array_join("failed", ",").alias("failed"), copies.alias("copies"))
+
+
+@query(f"WITH {_PLANTED_SQL} SELECT code, count(*) AS n FROM (SELECT unnest(failed) AS code FROM judged) GROUP BY code")
+def verify_failures(spark, d):
+    _, found = _planted(spark, d)
+    return found.select(F.explode("failed").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_VERIFIED_SQL} SELECT 'currency_uniform' AS cause, count(*) FILTER (mixed) AS n FROM v HAVING count(*) FILTER (mixed) > 0 UNION ALL SELECT confidence, count(*) FROM proposals WHERE rule = 'auto_exact__ledger__gateway' AND confidence <> 'exact' GROUP BY confidence UNION ALL SELECT 'unmatched_rows', (SELECT count(*) FROM ledger WHERE order_ref NOT IN (SELECT order_ref FROM gateway))")
 def exceptions_by_cause(spark, d):
     w = World(spark, d)
