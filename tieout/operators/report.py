@@ -110,18 +110,44 @@ def status_summary(status: DataFrame) -> DataFrame:
     return g.withColumn("needs_review", F.col("status").isin("pending", "review_later"))
 
 
+#: Neighbouring row ids, or digests, that one digest stands for.
+PIECE = 4096
+#: Lines that a leaf of the checksum's tree has, about.
+LEAF = 256
+
+
 def decision_lines(status: DataFrame, members: DataFrame) -> DataFrame:
-    """(rule, group_key, line_hash): one digest a proposal, of rule, key, confidence, status and its sorted members."""
-    own = members.groupBy("proposal_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "dataset", F.col("row_id").cast("string")))), ",").alias("m"))
+    """(rule, group_key, line_hash): one digest a proposal, of rule, key, confidence, status and its members.
+
+    Members go by pieces: a digest of the ids of each stretch of PIECE row ids of a
+    source, and one of each PIECE such digests, so no list grows with a group.
+    """
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("row_id")), lambda x: x.cast("string")), ",")
+    pieces = members.groupBy("proposal_id", "dataset", F.expr(f"row_id div {PIECE}").alias("piece")).agg(F.sha2(ids, 256).alias("h"))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "h"))), lambda x: x["h"]), ",")
+    stretches = pieces.groupBy("proposal_id", "dataset", F.expr(f"piece div {PIECE}").alias("stretch")).agg(F.sha2(inner, 256).alias("h"))
+    own = stretches.groupBy("proposal_id").agg(joined(F.concat_ws(":", "dataset", F.lpad(F.col("stretch").cast("string"), 12, "0"), "h")).alias("m"))
     line = F.concat_ws("|", "rule", "group_key", "confidence", "status", "m")
     return status.join(own, "proposal_id").select("rule", "group_key", F.sha2(line, 256).alias("line_hash"))
 
 
-def checksum(lines: DataFrame, buckets: int = 256) -> DataFrame:
-    """(checksum,): a digest over digests, ordered by rule and key within hash buckets, so that no task holds all lines."""
-    bucket = F.substring("line_hash", 1, 2)
-    parts = lines.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule", "group_key", "line_hash"))), lambda x: x["line_hash"]), "\n"), 256).alias("h"))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256), 1, 24).alias("checksum"))
+def checksum(lines: DataFrame) -> DataFrame:
+    """(checksum,): the root of a tree of digests over ranges of the lines' hashes, the same at any layout.
+
+    Leaves are the ranges of one prefix of hexadecimal digits, as long as leaves
+    have about LEAF lines; a node above has its sixteen ranges' digests at most.
+    """
+    n = lines.count()
+    digits = 0
+    while n > LEAF * 16**digits:
+        digits += 1
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    level = lines.groupBy(F.substring("line_hash", 1, digits).alias("range")).agg(joined("line_hash").alias("h"))
+    for size in range(digits - 1, -1, -1):
+        level = level.groupBy(F.substring("range", 1, size).alias("range")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+    # one row, or none where there are no lines
+    return level.agg(F.substring(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)), 1, 24).alias("checksum"))
 
 
 def period(df: DataFrame, columns: list[str]) -> DataFrame:

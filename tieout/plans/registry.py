@@ -808,8 +808,16 @@ def status_summary(spark, d):
     return report.status_summary(World(spark, d).both()[0])
 
 
-_LINES_SQL = """{M}, own AS (SELECT rule, group_key, string_agg(dataset || ':' || CAST(row_id AS VARCHAR), ',' ORDER BY dataset || ':' || CAST(row_id AS VARCHAR)) AS m FROM members GROUP BY rule, group_key),
+_LINES_SQL = """{M}, piece AS (SELECT rule, group_key, dataset, row_id // 4096 AS p, sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id)) AS h FROM members GROUP BY ALL),
+stretch AS (SELECT rule, group_key, dataset, p // 4096 AS s, sha256(string_agg(h, ',' ORDER BY p)) AS h FROM piece GROUP BY ALL),
+own AS (SELECT rule, group_key, string_agg(dataset || ':' || lpad(CAST(s AS VARCHAR), 12, '0') || ':' || h, ',' ORDER BY dataset, s) AS m FROM stretch GROUP BY rule, group_key),
 lines AS (SELECT rule, group_key, sha256(rule || '|' || group_key || '|' || confidence || '|' || status || '|' || m) AS line_hash FROM status JOIN own USING (rule, group_key))"""
+#: A tree of up to six levels, of which those count that the number of lines asks for.
+_TREE_SQL = """WITH {L}, size AS (SELECT CAST(greatest(0, ceil(log2(count(*) / 256) / 4)) AS INTEGER) AS digits FROM lines),
+l6 AS (SELECT substr(line_hash, 1, digits) AS r, sha256(string_agg(line_hash, chr(10) ORDER BY line_hash)) AS h FROM lines, size GROUP BY ALL)""".replace("{L}", _LINES_SQL) + "".join(
+    f", l{i} AS (SELECT substr(r, 1, {i}) AS q, CASE WHEN max(length(r)) <= {i} THEN any_value(h) ELSE sha256(string_agg(h, chr(10) ORDER BY r)) END AS h FROM l{i + 1} GROUP BY q)".replace("AS q", "AS r").replace("GROUP BY q", f"GROUP BY substr(r, 1, {i})")
+    for i in range(5, -1, -1)
+)
 
 
 @query(f"WITH {_LINES_SQL} SELECT * FROM lines")
@@ -818,7 +826,7 @@ def decision_lines(spark, d):
     return report.decision_lines(props, members)
 
 
-@query(f"WITH {_LINES_SQL}, parts AS (SELECT substr(line_hash, 1, 2) AS b, sha256(string_agg(line_hash, chr(10) ORDER BY rule, group_key, line_hash)) AS h FROM lines GROUP BY b) SELECT substr(sha256(string_agg(h, chr(10) ORDER BY b)), 1, 24) AS checksum FROM parts")
+@query(f"{_TREE_SQL} SELECT substr(h, 1, 24) AS checksum FROM l0")
 def decisions_checksum(spark, d):
     props, members = World(spark, d).both()
     return report.checksum(report.decision_lines(props, members))
