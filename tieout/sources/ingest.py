@@ -18,12 +18,11 @@ from pyspark.sql import types as T
 
 from tieout.functions.expr import number
 
+# Fixed values of the reading rules: bytes and rows looked at, encodings, delimiters, and the patterns of types.
 SNIFF_BYTES = 64 << 10
 SAMPLE_ROWS = 2000
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
-
-# Fixed patterns of the type rules.
 INTEGER = r"^[+-]?\d+$"
 LEADING_ZERO = r"^[+-]?0\d+"
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -147,11 +146,24 @@ def _head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
+def fields_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may go on in the next line: some line has an odd number of quotes.
+
+    A field that is open at a line's end leaves its opening quote without a
+    partner there; quotes inside fields are doubled. A stray quote counts as well,
+    which only means that the file is read as one piece.
+    """
+    v = F.col("value")
+    odd = (F.octet_length(v) - F.octet_length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(path).where(odd).limit(1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[ColumnSpec]]:
     """(rows with row_id, column specs) of a CSV file.
 
     Short rows are padded with nulls; cells beyond the header are dropped, as are
-    blank lines. Raises IngestError for an empty file or one without a header.
+    blank lines. A file whose fields all end on their lines is read in as many
+    tasks as it has splits; row ids are the same either way. Raises IngestError for an empty file or one without a header.
     """
     head = _head(spark, path)
     if not head.strip():
@@ -164,7 +176,7 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[ColumnSpec
         raise IngestError(f"{path}: there is no header")
     names = sanitised([h.strip() for h in headers])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, sep=delimiter, encoding=_SPARK_NAMES[encoding], multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, sep=delimiter, encoding=_SPARK_NAMES[encoding], multiLine=fields_span_lines(spark, path), quote='"', escape='"', mode="PERMISSIVE")
     rows = numbered(raw)
     kinds = infer_kinds(rows.where(F.col("row_id") <= SAMPLE_ROWS), names)
     specs = [ColumnSpec(i, h, n, kinds[n]) for i, (h, n) in enumerate(zip(headers, names))]
