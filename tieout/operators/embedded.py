@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,31 +34,103 @@ def literal_overlap(carrier: DataFrame, text: str, keys: DataFrame, key: str) ->
 ANCHOR_CHARS = 16
 #: Characters of a text that are cut at a time; reaching a place in a string takes time in proportion to the place.
 STRETCH = 256
+#: Words of 64 bits at most that say which anchors there are; beyond what they can tell apart, more places go to the join.
+MOST_WORDS = 1 << 20
+
+_FOUND = "text_id int, row_id bigint, key_id int, n_keys bigint, found_key string"
+
+
+def contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_id, row_id, key_id, n_keys, found_key): how many distinct keys of each kind a text holds, and the key where it is one.
+
+    ``texts`` is (text_id, row_id, t) of any number of columns, ``keys`` (key_id, k),
+    each numbered by column; all pairs of them are one job. Every key ends in an
+    anchor of its column's length, that of the shortest key or ANCHOR_CHARS. Texts
+    are cut into substrings of these lengths where they lie. A table of bits of one
+    size, broadcast, tells which of them can be an anchor, and only those move, with
+    as many characters before them as the longest key has; they meet the keys in an
+    equi-join and are compared in full. Blank keys match nothing; texts without a
+    key are left out.
+    """
+    spark = texts.sparkSession
+    k = keys.select("key_id", F.trim(F.col("k").cast("string")).alias("k")).where("k <> ''").distinct()
+    facts = k.groupBy("key_id").agg(F.min(F.length("k")).alias("shortest"), F.max(F.length("k")).alias("longest"), F.count("*").alias("n")).collect()  # a row a column
+    if not facts:
+        return spark.createDataFrame([], _FOUND)
+    width = {f.key_id: min(f.shortest, ANCHOR_CHARS) for f in facts}
+    widths, longest = sorted(set(width.values())), max(f.longest for f in facts)
+    by_key = F.create_map(*[F.lit(x) for pair in width.items() for x in pair])
+    k = k.withColumn("w", by_key[F.col("key_id")]).withColumn("anchor", F.expr("right(k, w)"))
+    n_words = 64
+    while n_words < MOST_WORDS and n_words * 16 < sum(f.n for f in facts):
+        n_words *= 2
+    bit = F.pmod(F.xxhash64("w", "anchor"), F.lit(n_words * 64))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+    words = k.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("bits"))  # MOST_WORDS rows at most
+    # pieces of a text with what may stand before them
+    piece = max(STRETCH, longest)
+    starts = F.sequence(F.lit(0), F.expr(f"(length(t) - {widths[0]}) div {piece}").cast("int"))
+    back = longest - 1
+    cut = F.transform(starts, lambda c: F.struct(F.least(c * piece, F.lit(back)).alias("before"), F.substring("t", F.greatest(c * piece - back, F.lit(0)) + 1, F.least(c * piece, F.lit(back)) + piece + widths[-1] - 1).alias("s")))
+    rows = texts.where(F.length("t") >= widths[0]).select("text_id", F.col("row_id").cast("bigint").alias("row_id"), F.explode(cut).alias("x")).select("text_id", "row_id", "x.*")
+
+    def places(w: int):
+        """Every substring of w characters that starts in the piece."""
+        last = F.least(F.lit(piece), F.length("s") - F.col("before") - (w - 1))
+        cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(w).alias("w"), (F.col("before") + i).alias("at"), F.substring("s", F.col("before") + i, F.lit(w)).alias("anchor")))
+        return F.when(last >= 1, cut)
+
+    empty = F.array().cast("array<struct<w:int,at:int,anchor:string>>")
+    every = rows.select("text_id", "row_id", "s", F.explode(F.concat(*[F.coalesce(places(w), empty) for w in widths])).alias("p")).select("text_id", "row_id", "s", "p.*")
+    may = every.withColumn("word", F.floor(bit / 64)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0)
+    # the characters up to the anchor's end
+    sent = may.select("text_id", "row_id", "w", "anchor", F.substring("s", F.greatest(F.col("at") + F.col("w") - longest, F.lit(1)), F.least(F.lit(longest), F.col("at") + F.col("w") - 1)).alias("upto"))
+    full = sent.join(k, ["w", "anchor"]).where((F.length("upto") >= F.length("k")) & F.col("upto").endswith(F.col("k")))
+    return full.groupBy("text_id", "row_id", "key_id").agg(F.count_distinct("k").alias("n_keys"), F.when(F.count_distinct("k") == 1, F.min("k")).alias("found_key"))
 
 
 def contained_keys(carrier: DataFrame, text: str, keys: DataFrame, key: str, row_id: str = "row_id") -> DataFrame:
-    """(row_id, n_keys, found_key): how many distinct keys each carrier row's text holds, and the key where it is one.
+    """(row_id, n_keys, found_key) of one text column against one key column, as of ``contained``."""
+    texts = carrier.select(F.lit(0).alias("text_id"), F.col(row_id).alias("row_id"), F.col(text).cast("string").alias("t"))
+    return contained(texts, keys.select(F.lit(0).alias("key_id"), F.col(key).alias("k"))).select("row_id", "n_keys", "found_key")
+
+
+def search(sources: dict[str, DataFrame], texts: dict[str, list[str]], keys: dict[str, list[str]]) -> DataFrame:
+    """(carrier, text, key_dataset, key, n_rows, resolved, ambiguous, coverage) of every text column that holds keys of another source; one job whatever the columns.
 
-    Every key ends in an anchor of one length, that of the shortest key or
-    ANCHOR_CHARS. Texts are cut into their substrings of that length, which meet
-    the anchors in an equi-join; what meets is then compared in full at its place.
-    No pair of row and key is formed beyond that, and texts are not copied along.
-    Blank keys match nothing; rows without a key are left out.
+    Key columns too short to be told from chance are left out (``usable_key``).
     """
-    k = keys.select(F.trim(F.col(key).cast("string")).alias("k")).where("k <> ''").distinct()
-    shortest = k.agg(F.min(F.length("k"))).first()[0]
-    if shortest is None:
-        return carrier.select(F.col(row_id).alias("row_id"), F.lit(0).cast("long").alias("n_keys"), F.lit(None).cast("string").alias("found_key")).limit(0)
-    w = min(shortest, ANCHOR_CHARS)
-    t = F.col(text)
-    rows = carrier.where(F.length(t) >= w).select(F.col(row_id).alias("row_id"), t.alias("t"))
-    whole = F.sequence(F.lit(0), F.expr(f"(length(t) - {w}) div {STRETCH}").cast("int"))
-    part = rows.select("row_id", F.posexplode(F.transform(whole, lambda c: F.substring("t", c * STRETCH + 1, F.lit(STRETCH + w - 1)))).alias("c", "s"))
-    inner = F.transform(F.sequence(F.lit(1), F.length("s") - (w - 1)), lambda i: F.substring("s", i, F.lit(w)))
-    cut = part.select("row_id", "c", F.posexplode(inner).alias("at", "anchor"))
-    met = cut.join(k.withColumn("anchor", F.right("k", F.lit(w))), "anchor").select("row_id", "k", (F.col("c") * STRETCH + F.col("at") + 1 + w - F.length("k")).alias("start")).where("start >= 1")
-    full = met.join(rows, "row_id").where(F.substring("t", F.col("start"), F.length("k")) == F.col("k"))
-    return full.groupBy("row_id").agg(F.count_distinct("k").alias("n_keys"), F.when(F.count_distinct("k") == 1, F.min("k")).alias("found_key"))
+    spark = next(iter(sources.values())).sparkSession
+    schema = "carrier string, text string, key_dataset string, key string, n_rows bigint, resolved bigint, ambiguous bigint, coverage double"
+    text_ids = [(d, c) for d, cs in texts.items() for c in cs]
+    key_ids = [(d, c) for d, cs in keys.items() for c in cs]
+    if not text_ids or not key_ids:
+        return spark.createDataFrame([], schema)
+
+    def labelled(ids: list[tuple[str, str]], label: str, value: str) -> DataFrame:
+        parts = []
+        for d in dict.fromkeys(d for d, _ in ids):
+            cells = F.explode(F.array(*[F.struct(F.lit(i).alias(label), F.col(c).cast("string").alias(value)) for i, (own, c) in enumerate(ids) if own == d]))
+            parts.append(sources[d].select("row_id", cells.alias("x")).select("row_id", "x.*"))
+        return reduce(DataFrame.unionByName, parts)
+
+    all_keys = labelled(key_ids, "key_id", "k").select("key_id", F.trim("k").alias("k")).where("k <> ''").distinct()
+    digits = F.bool_and(F.col("k").rlike("^[0-9]*$"))
+    long = F.min(F.length("k")) >= F.when(digits, MIN_NUMERIC_KEY_CHARS).otherwise(MIN_KEY_CHARS)
+    good = {r.key_id for r in all_keys.groupBy("key_id").agg(long.alias("long")).where("long").collect()}  # a row a column
+    if not good:
+        return spark.createDataFrame([], schema)
+    found = contained(labelled(text_ids, "text_id", "t"), all_keys.where(F.col("key_id").isin(*good)))
+    names = lambda ids, label, d, c: spark.createDataFrame([(i, *x) for i, x in enumerate(ids)], f"{label} int, {d} string, {c} string")
+    counts = found.groupBy("text_id", "key_id").agg(F.count_if(F.col("n_keys") == 1).alias("resolved"), F.count_if(F.col("n_keys") > 1).alias("ambiguous"))
+    sizes = reduce(DataFrame.unionByName, [sources[d].agg(F.count("*").alias("n_rows")).select(F.lit(d).alias("carrier"), "n_rows") for d in texts if texts[d]])
+    out = counts.join(names(text_ids, "text_id", "carrier", "text"), "text_id").join(names(key_ids, "key_id", "key_dataset", "key"), "key_id").where("carrier <> key_dataset").join(sizes, "carrier")
+    return out.select("carrier", "text", "key_dataset", "key", "n_rows", "resolved", "ambiguous", F.round(F.try_divide("resolved", "n_rows"), 6).alias("coverage"))
+
+
+def worth(found: DataFrame) -> DataFrame:
+    """The rows of ``search`` that are candidates: enough rows, and half of them resolved."""
+    return found.where((F.col("n_rows") >= MIN_CARRIER_ROWS) & (F.col("resolved") > 0) & (F.col("resolved") / F.col("n_rows") >= MIN_CONTAINMENT))
 
 
 def containment(carrier: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:

@@ -22,6 +22,7 @@ class Engine:
         self.ledger = Ledger(spark, path, self.checks)
         self.spine_declared: str | None = None
         self.views: dict[str, DataFrame] = {}
+        self._index: tuple | None = None
 
     # catalog and queries
 
@@ -74,35 +75,49 @@ class Engine:
 
     def pairs(self) -> tuple[DataFrame, DataFrame]:
         """(values of all columns, usable pairs of columns)."""
-        sets = self.catalog.datasets
-        values = written(discover.column_values(self.visible(), {n: list(d.kinds) for n, d in sets.items()}), "values")
-        return values, written(discover.usable_pairs(discover.overlap_matrix(values, None), {n: d.text_columns for n, d in sets.items()}), "pairs")
+        values, overlap = self.overlap()
+        return values, discover.usable_pairs(overlap, {n: d.text_columns for n, d in self.catalog.datasets.items()})
+
+    def overlap(self) -> tuple[DataFrame, DataFrame]:
+        """(values of all columns, overlap of all pairs of columns), built once for what the catalog holds and which rows count."""
+        sets, rows = self.catalog.datasets, self.visible()
+        state = [(n, id(rows[n]), tuple(d.kinds), d.exclude_duplicates) for n, d in sets.items()]
+        if self._index is None or self._index[0] != state:
+            values = written(discover.column_values(rows, {n: list(d.kinds) for n, d in sets.items()}), "values")
+            # the frames are held so that their identities stay theirs
+            self._index = (state, rows, values, written(discover.overlap_matrix(values, None), "overlap"))
+        return self._index[2], self._index[3]
 
     def candidates(self) -> list[dict]:
         """The strongest key of each pair of sources, keys inside text included; a choice among columns."""
         sets = self.catalog.datasets
-        values, pairs = self.pairs()
-        found = [r.asDict() for r in discover.strongest_keys(pairs).collect()]
+        values, overlap = self.overlap()
+        found = [r.asDict() for r in discover.strongest_keys(self.pairs()[1]).collect()]
         linked = {frozenset((r["left_dataset"], r["right_dataset"])) for r in found}
-        ids = {(r.dataset, r.column) for r in discover.identifier_columns(values).collect()}
-        for carrier, c in sets.items():
-            for other, o in sets.items():
-                if carrier == other or frozenset((carrier, other)) in linked:
+        ids: dict[str, list[str]] = {}
+        for r in discover.identifier_columns(values).orderBy("dataset", "column").collect():
+            ids.setdefault(r.dataset, []).append(r.column)
+        rows = self.visible()
+        if all(frozenset((a, b)) in linked for a in sets for b in sets if a != b):
+            return found
+        hits = embedded.worth(embedded.search(rows, {n: d.text_columns for n, d in sets.items()}, {n: [c for c in d.kinds if c in ids.get(n, [])] for n, d in sets.items()})).collect()
+        # a text column that equals the key in a quarter of its values is an ordinary join
+        plain = {(r[f"{a}_dataset"], r[f"{a}_column"], r[f"{b}_dataset"], r[f"{b}_column"]): r[f"{a}_coverage"] for r in overlap.collect() for a, b in (("left", "right"), ("right", "left"))}
+        order = {(n, c): i for n, d in sets.items() for i, c in enumerate(d.kinds)}
+        best: dict[tuple[str, str], dict] = {}
+        for hit in sorted((h.asDict() for h in hits), key=lambda h: (order[h["carrier"], h["text"]], order[h["key_dataset"], h["key"]])):
+            pair = (hit["carrier"], hit["key_dataset"])
+            if plain.get((hit["carrier"], hit["text"], hit["key_dataset"], hit["key"]), 0) < embedded.ALREADY_JOINED and hit["coverage"] > best.get(pair, {"coverage": -1})["coverage"]:
+                best[pair] = hit
+        for carrier in sets:
+            for other in sets:
+                hit = best.get((carrier, other))
+                if hit is None or frozenset((carrier, other)) in linked:
                     continue
-                best = None
-                for text in c.text_columns:
-                    for key in o.text_columns:
-                        if (other, key) not in ids:
-                            continue
-                        hit = embedded.find(self.visible()[carrier], text, self.visible()[other], key)
-                        if hit and (best is None or hit["coverage"] > best["coverage"]):
-                            best = hit
-                if best:
-                    view = embedded.publish(self.visible()[carrier], best["embedded_in"], self.visible()[other], best["key"])
-                    self.views[carrier] = written(view, f"{carrier}-keys")
-                    name = view.columns[-1]
-                    found.append({"left_dataset": carrier, "left_column": name, "right_dataset": other, "right_column": best["key"], "shared": best["resolved"], "left_coverage": best["coverage"], "right_coverage": best["coverage"], "jaccard": best["coverage"], "embedded_in": best["embedded_in"]})
-                    linked.add(frozenset((carrier, other)))
+                view = embedded.publish(self.visible()[carrier], hit["text"], rows[other], hit["key"])
+                self.views[carrier] = written(view, f"{carrier}-keys")
+                found.append({"left_dataset": carrier, "left_column": view.columns[-1], "right_dataset": other, "right_column": hit["key"], "shared": hit["resolved"], "left_coverage": hit["coverage"], "right_coverage": hit["coverage"], "jaccard": hit["coverage"], "embedded_in": hit["text"]})
+                linked.add(frozenset((carrier, other)))
         return found
 
     def _amounts_of(self, name: str) -> list[str]:
@@ -307,10 +322,8 @@ class Engine:
         }
 
     def trace_record(self, value: str, max_hops: int = 2) -> DataFrame:
-        sets = self.catalog.datasets
-        values = discover.column_values(self.visible(), {n: list(d.kinds) for n, d in sets.items()})
         picked: dict[str, list[str]] = {}
-        for r in discover.identifier_columns(values).collect():
+        for r in discover.identifier_columns(self.overlap()[0]).collect():
             picked.setdefault(r.dataset, []).append(r.column)
         rows = {n: df for n, df in self.visible().items() if n in picked}
         return discover.trace(profile.long_values(rows, picked), value, max_hops)

@@ -334,11 +334,29 @@ def literal_overlap(spark, d):
     return embedded.literal_overlap(bank(spark, d), "narration", gateway(spark, d), "batch_id")
 
 
-@query("WITH {M}, n AS (SELECT count(*) AS n FROM bank) SELECT n AS n_rows, (SELECT count(*) FROM found) AS resolved, CAST(0 AS BIGINT) AS ambiguous, round((SELECT count(*) FROM found) / n, 6) AS coverage FROM n")
+@query(
+    """WITH {F}, held AS (SELECT b.row_id, count(DISTINCT k.batch_id) AS n_keys FROM bank b JOIN (SELECT DISTINCT batch_id FROM gateway) k ON contains(b.narration, k.batch_id) GROUP BY b.row_id)
+SELECT (SELECT count(*) FROM bank) AS n_rows, count(*) FILTER (n_keys = 1) AS resolved, count(*) FILTER (n_keys > 1) AS ambiguous, round(count(*) FILTER (n_keys = 1) / (SELECT count(*) FROM bank), 6) AS coverage FROM held"""
+)
 def embedded_measure(spark, d):
     return embedded.containment(bank(spark, d), "narration", gateway(spark, d), "batch_id")
 
 
+@query(
+    """WITH {F}, t AS (SELECT 'bank' AS carrier, 'narration' AS text, row_id, narration AS v FROM bank UNION ALL SELECT 'orders', 'o_comment', o_orderkey, concat('for ', CAST(200000 + o_orderkey // 10 AS VARCHAR), ' and ORD-', CAST(1000000 + o_orderkey AS VARCHAR), ' or ORD-', CAST(1000001 + o_orderkey - o_orderkey % 3 AS VARCHAR)) FROM orders),
+k AS (SELECT DISTINCT 'gateway' AS key_dataset, 'batch_id' AS key, batch_id AS v FROM gateway UNION SELECT 'gateway', 'order_ref', order_ref FROM gateway UNION SELECT 'ledger', 'order_ref', order_ref FROM ledger),
+cut AS (SELECT carrier, text, row_id, unnest(regexp_extract_all(v, '(BATCH-[0-9]{6}|ORD-[0-9]{7})')) AS v FROM t),
+held AS (SELECT carrier, text, row_id, key_dataset, key, count(DISTINCT v) AS n FROM cut JOIN k USING (v) GROUP BY ALL), n AS (SELECT carrier, count(*) AS n_rows FROM t GROUP BY carrier)
+SELECT carrier, text, key_dataset, key, n_rows, count(*) FILTER (n = 1) AS resolved, count(*) FILTER (n > 1) AS ambiguous, round(count(*) FILTER (n = 1) / any_value(n_rows), 6) AS coverage FROM held JOIN n USING (carrier) GROUP BY carrier, text, key_dataset, key, n_rows"""
+)
+def embedded_search(spark, d):
+    w = World(spark, d)
+    k = F.col("o_orderkey")
+    words = F.concat(F.lit("for "), (F.lit(200000) + F.expr("o_orderkey div 10")).cast("string"), F.lit(" and ORD-"), (F.lit(1000000) + k).cast("string"), F.lit(" or ORD-"), (F.lit(1000001) + k - k % 3).cast("string"))
+    sources = w.sources | {"orders": read(spark, d, "orders").select(k.alias("row_id"), words.alias("o_comment"))}
+    return embedded.search(sources, {"bank": ["narration"], "orders": ["o_comment"]}, {"gateway": ["batch_id", "order_ref", "currency"], "ledger": ["order_ref"]})
+
+
 # Matching
 
 
