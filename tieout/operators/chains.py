@@ -69,6 +69,13 @@ def hops(legs: DataFrame, members: DataFrame, status: DataFrame, stages: list[st
     return every.join(first, ["label", "step"], "left").select("label", "step", "from_stage", "to_stage", "proposal_id", state.alias("hop_state"))
 
 
+def hop_duplicates(steps: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, step, duplicate_in): the sources, by name, of which a step's proposal has more than one row."""
+    many = members.groupBy("proposal_id", "dataset").agg(F.count("*").alias("n")).where("n > 1")
+    named = many.groupBy("proposal_id").agg(F.array_join(F.array_sort(F.collect_set("dataset")), ",").alias("duplicate_in"))  # as many as there are stages
+    return steps.where("proposal_id IS NOT NULL").select("label", "step", "proposal_id").join(named, "proposal_id").select("label", "step", "duplicate_in")
+
+
 def break_reasons(steps: DataFrame, props: DataFrame) -> DataFrame:
     """(label, reason): the gravest thing on a chain's steps: a difference, an ambiguity, a gap, in this order."""
     rows = steps.join(props.select("proposal_id", "balance_minor"), "proposal_id", "left")

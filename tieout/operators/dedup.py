@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.operators.profile import source_columns
@@ -23,15 +23,37 @@ def exact_marks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return named.join(first, ["h1", "h2"]).where("row_id <> dup_of").select("row_id", "dup_of")
 
 
+#: Standard error of estimated distinct counts, and how many of it an estimate is trusted within.
+RSD, SURE = 0.02, 6
+
+
 def identity_columns(df: DataFrame, columns: list[str] | None = None) -> tuple[list[str], dict[str, int], int]:
-    """The columns that tie for most distinct values, all distinct counts, and the row count. A driver decision over column counts."""
+    """The columns that tie for most distinct values, distinct counts, and the row count. A driver decision over column counts.
+
+    All columns are estimated in one pass. Exact are the counts of those that the
+    estimates leave open: which may be the largest, or near a share that decides.
+    """
     columns = columns or source_columns(df)
-    row = df.agg(F.count("*").alias("__n"), *[F.count_distinct(F.col(c)).alias(c) for c in columns]).first()
-    counts = {c: row[c] for c in columns}
+    row = df.agg(F.count("*").alias("__n"), *[F.approx_count_distinct(F.col(c), RSD).alias(c) for c in columns]).first()
+    n, counts = row["__n"], {c: row[c] for c in columns}
     most = max(counts.values(), default=0)
-    if not row["__n"] or most / row["__n"] < IDENTITY_FLOOR:
-        return [], counts, row["__n"]
-    return [c for c in columns if counts[c] == most], counts, row["__n"]
+    if not n or not most:
+        return [], counts, n
+    off = RSD * SURE
+    leading = [c for c in columns if counts[c] * (1 + off) >= most * (1 - off)]
+    near = lambda c, share: abs(counts[c] / n - share) <= 2 * off * share
+    open_ = leading if len(leading) > 1 or near(leading[0], IDENTITY_FLOOR) else []
+    open_ = [c for c in columns if c in open_ or near(c, REFERENCE_RATIO)]
+    if open_:
+        # hashes of the columns in question only, as long rows with their numbers
+        names = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"))) for i, c in enumerate(open_)])
+        exact = df.select(F.explode(names).alias("x")).where("x IS NOT NULL").select("x.*").distinct().groupBy("i").agg(F.count("*").alias("k"))
+        counts |= {open_[r.i]: r.k for r in exact.collect()}
+    leading = [c for c in leading if c in open_] or leading
+    most = max(counts[c] for c in leading)
+    if most / n < IDENTITY_FLOOR:
+        return [], counts, n
+    return [c for c in leading if counts[c] == most], counts, n
 
 
 def near_marks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -69,3 +91,9 @@ def without_duplicates(df: DataFrame, exclude: bool = True) -> DataFrame:
 def duplicate_summary(marked: DataFrame) -> DataFrame:
     """(dup_kind, n) of a marked dataset."""
     return marked.where("dup_kind IS NOT NULL").groupBy("dup_kind").agg(F.count("*").alias("n"))
+
+
+def duplicate_examples(marked: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
+    """(dup_kind, row_id, dup_of, columns): the first ``k`` copies of each kind by row id, for a report."""
+    rank = F.row_number().over(Window.partitionBy("dup_kind").orderBy("row_id"))
+    return marked.where("dup_kind IS NOT NULL").withColumn("__rank", rank).where(F.col("__rank") <= k).select("dup_kind", "row_id", "dup_of", *columns)

@@ -60,11 +60,11 @@ def overlap_matrix(values: DataFrame, k: int | None = 40) -> DataFrame:
     return out.orderBy(*order) if k is None else out.orderBy(*order).limit(k)
 
 
-def usable_pairs(pairs: DataFrame, text_columns: dict[str, list[str]]) -> DataFrame:
-    """Candidates between two text columns of which one is covered by half or more."""
+def usable_pairs(pairs: DataFrame, text_columns: dict[str, list[str]], min_coverage: float = USABLE_COVERAGE) -> DataFrame:
+    """Candidates between two text columns of which one is covered by ``min_coverage`` or more."""
     text = {f"{d}.{c}" for d, cs in text_columns.items() for c in cs}
     both = [F.concat_ws(".", f"{s}_dataset", f"{s}_column").isin(*text) for s in ("left", "right")]
-    return pairs.where(both[0] & both[1] & (F.greatest("left_coverage", "right_coverage") >= USABLE_COVERAGE))
+    return pairs.where(both[0] & both[1] & (F.greatest("left_coverage", "right_coverage") >= min_coverage))
 
 
 def strongest_keys(pairs: DataFrame) -> DataFrame:

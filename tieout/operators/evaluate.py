@@ -44,6 +44,18 @@ def scores(rows: DataFrame) -> DataFrame:
     return t.select("n", *[F.round(c, 6).alias(n) for n, c in (("accuracy", F.try_divide("right", "n")), ("precision", precision), ("recall", recall), ("f1", f1), ("false_auto_rate", F.try_divide("wrong_autos", "autos")))])
 
 
+def member_exact(wanted: DataFrame, found: DataFrame, verdict: DataFrame) -> DataFrame:
+    """(checked, exact): keys called MATCHED with values to check, and those whose group has all of them.
+
+    ``wanted`` and ``found`` are (key, value), ``verdict`` (key, predicted). A right
+    answer with the wrong rows is luck.
+    """
+    asked = wanted.join(verdict.where("predicted = 'MATCHED'").select("key"), "key", "left_semi").distinct()
+    hit = asked.join(found.select("key", "value").distinct().withColumn("hit", F.lit(1)), ["key", "value"], "left")
+    by_key = hit.groupBy("key").agg((F.count("*") == F.count("hit")).alias("whole"))
+    return by_key.agg(F.count("*").alias("checked"), F.count_if("whole").alias("exact"))
+
+
 def unlabelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """(n_labelled, n_unlabelled, consistent): a fixture may leave a tenth of its keys without a label."""
     rest = keys.join(labels, "key", "left_anti").agg(F.count("*").alias("n_unlabelled"))

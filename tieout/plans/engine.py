@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from tieout.functions.expr import instant_micros, slug
 from tieout.operators.dedup import duplicate_summary
 from tieout.operators import amounts, chains, discover, embedded, match, profile, report, spine, timing, verify
 from tieout.plans.ledger import Ledger
-from tieout.plans.sqlgate import run_select
+from tieout.plans.sqlgate import analysed, run_select
 from tieout.sources.catalog import Catalog
 from tieout.sources.store import written
 
@@ -34,7 +35,11 @@ class Engine:
         return self.catalog.describe(name) | {"profile": profile.profile(d.rows, list(d.kinds))}
 
     def query_data(self, sql: str, rows: int = 10) -> dict:
-        return run_select(self.spark, sql, rows)
+        return run_select(self.spark, sql, rows, tables=self.tables())
+
+    def tables(self) -> list[str]:
+        """The views that SQL may read: the sources, and what was made of them."""
+        return [*self.catalog.datasets, *[f"v_{n}_norm" for n in self.views]]
 
     def drop_dataset(self, name: str) -> None:
         """Delete a source with its views and all proposals that hold a row of it."""
@@ -73,10 +78,10 @@ class Engine:
                 done.append(f"v_{n}_norm")
         return done
 
-    def pairs(self) -> tuple[DataFrame, DataFrame]:
+    def pairs(self, min_coverage: float = discover.USABLE_COVERAGE) -> tuple[DataFrame, DataFrame]:
         """(values of all columns, usable pairs of columns)."""
         values, overlap = self.overlap()
-        return values, discover.usable_pairs(overlap, {n: d.text_columns for n, d in self.catalog.datasets.items()})
+        return values, discover.usable_pairs(overlap, {n: d.text_columns for n, d in self.catalog.datasets.items()}, min_coverage)
 
     def overlap(self) -> tuple[DataFrame, DataFrame]:
         """(values of all columns, overlap of all pairs of columns), built once for what the catalog holds and which rows count."""
@@ -88,11 +93,11 @@ class Engine:
             self._index = (state, rows, values, written(discover.overlap_matrix(values, None), "overlap"))
         return self._index[2], self._index[3]
 
-    def candidates(self) -> list[dict]:
+    def candidates(self, min_coverage: float = discover.USABLE_COVERAGE) -> list[dict]:
         """The strongest key of each pair of sources, keys inside text included; a choice among columns."""
         sets = self.catalog.datasets
         values, overlap = self.overlap()
-        found = [r.asDict() for r in discover.strongest_keys(self.pairs()[1]).collect()]
+        found = [r.asDict() for r in discover.strongest_keys(self.pairs(min_coverage)[1]).collect()]
         linked = {frozenset((r["left_dataset"], r["right_dataset"])) for r in found}
         ids: dict[str, list[str]] = {}
         for r in discover.identifier_columns(values).orderBy("dataset", "column").collect():
@@ -116,7 +121,7 @@ class Engine:
                     continue
                 view = embedded.publish(self.visible()[carrier], hit["text"], rows[other], hit["key"])
                 self.views[carrier] = written(view, f"{carrier}-keys")
-                found.append({"left_dataset": carrier, "left_column": view.columns[-1], "right_dataset": other, "right_column": hit["key"], "shared": hit["resolved"], "left_coverage": hit["coverage"], "right_coverage": hit["coverage"], "jaccard": hit["coverage"], "embedded_in": hit["text"]})
+                found.append({"left_dataset": carrier, "left_column": view.columns[-1], "right_dataset": other, "right_column": hit["key"], "shared": hit["resolved"], "left_coverage": hit["coverage"], "right_coverage": hit["coverage"], "jaccard": hit["coverage"], "embedded_in": hit["text"], "ambiguous": hit["ambiguous"], "of_rows": hit["n_rows"]})
                 linked.add(frozenset((carrier, other)))
         return found
 
@@ -127,10 +132,16 @@ class Engine:
             texts = [r.column for r in amounts.numeric_text_ratios(d.rows, d.text_columns).where("usable").collect()]
         return [*d.number_columns, *[c for c in d.text_columns if c in texts], *(["signed_amount"] if "signed_amount" in self.views.get(name, d.rows).columns else [])]
 
-    def run_auto(self) -> dict:
-        """One rule for each pair of sources that a shape and an amount speak for; the others are declined with a reason."""
+    def run_auto(self, min_coverage: float = discover.USABLE_COVERAGE) -> dict:
+        """One rule for each pair of sources that a shape and an amount speak for; the others are declined with a reason.
+
+        ``min_coverage`` is the share of a key's values that the other side must
+        have. The result names the keys found inside text, and what to do next.
+        """
         views, results, declined = self.normalise(), [], []
-        for c in self.candidates():
+        found = self.candidates(min_coverage)
+        inside = [{"found": f"{c['right_dataset']}.{c['right_column']} inside {c['left_dataset']}.{c['embedded_in']}", "published_as": f"{c['left_dataset']}.{c['left_column']}", "resolved": c["shared"], "ambiguous_rows_dropped": c["ambiguous"], "of_rows": c["of_rows"]} for c in found if "embedded_in" in c]
+        for c in found:
             ln, lk, rn, rk = (c[k] for k in ("left_dataset", "left_column", "right_dataset", "right_column"))
             rows = self.visible()
             left, right = rows[ln], rows[rn]
@@ -161,8 +172,10 @@ class Engine:
                 rule, members = f"auto_part__{pair}__{slug(column)}_{slug(value)}", match.row_level_members(*sides, where=F.col(column).cast("string") == value)
             else:
                 rule, members = f"auto_exact__{pair}", match.row_level_members(*sides)
-            results.append(self.ledger.propose(rule, members, spec, best.tolerance_minor if best else 0, check=self.checks))
-        return {"rules_run": len(results), "groups_proposed": sum(r["proposed"] for r in results), "results": results, "normalised_views": views, "declined": declined, "coverage": self.coverage()}
+            done = self.ledger.propose(rule, members, spec, best.tolerance_minor if best else 0, check=self.checks)
+            results.append(done | {"join": f"{ln}.{lk} = {rn}.{rk}", "shape": shape, "strategy": best.strategy if best else "row", "amounts": (a, b) if best else None, "tolerance_minor": best.tolerance_minor if best else 0})
+        then = "look at what was declined first, then at the unmatched rows" if declined else "look at the unmatched rows of the coverage"
+        return {"rules_run": len(results), "groups_proposed": sum(r["proposed"] for r in results), "results": results, "normalised_views": views, "embedded_keys": inside, "declined": declined, "coverage": self.coverage(), "next": then}
 
     @staticmethod
     def _one_to_many(one: DataFrame, one_key: str, one_amounts: list[str], many: DataFrame, many_key: str, many_amounts: list[str], columns: list[str]) -> tuple[amounts.Amounts | None, tuple[str, str] | None]:
@@ -176,14 +189,11 @@ class Engine:
             return part[0], part[1:]
         return sums, None
 
-    def run_rule(self, rule: str, members: DataFrame | str, tolerance_minor: int = 0, author: str = "agent", spec: str | None = None) -> dict:
-        """A rule of one's own: SQL text, or a DataFrame, that gives (group_key, dataset, row_id[, role, amount_minor])."""
+    def run_rule(self, rule: str, members: DataFrame | str, tolerance_minor: int = 0, author: str = "agent", spec: str | None = None, tier: int | None = None, description: str = "") -> dict:
+        """A rule of one's own: SQL text, or a DataFrame, that gives (group_key, dataset, row_id[, role, amount_minor]). Tier and description stay with the event that proposes each group."""
         text = members if isinstance(members, str) else spec or rule
         if isinstance(members, str):
-            from tieout.plans.sqlgate import check
-
-            check(self.spark, members)
-            members = self.spark.sql(members)
+            members = analysed(self.spark, members, self.tables())
         if missing := {"group_key", "dataset", "row_id"} - set(members.columns):
             raise ValueError(f"the rule's result lacks {sorted(missing)}")
         for c, t in (("role", "string"), ("amount_minor", "bigint")):
@@ -193,17 +203,18 @@ class Engine:
         if unknown:
             raise ValueError(f"no source is called {unknown[0].dataset}")
         shaped = members.select(F.col("group_key").cast("string"), "dataset", F.col("row_id").cast("bigint"), "role", F.col("amount_minor").cast("bigint"))
-        return self.ledger.propose(rule, written(shaped, "rule"), text, tolerance_minor, author, self.checks)
+        note = json.dumps({k: v for k, v in (("tier", tier), ("description", description)) if v})
+        return self.ledger.propose(rule, written(shaped, "rule"), text, tolerance_minor, author, self.checks, note)
 
     def run_reconciliation(self, request: dict) -> dict:
-        known = {"mode", "rule", "sql", "description", "tolerance_minor", "tier", "spine"}
+        known = {"mode", "rule", "sql", "description", "tolerance_minor", "tier", "spine", "min_coverage"}
         if extra := set(request) - known:
             raise ValueError(f"unknown keys {sorted(extra)}; known are {sorted(known)}")
         if "spine" in request:
             self.spine_declared = request["spine"]
         if request.get("mode", "auto") == "auto":
-            return self.run_auto()
-        return self.run_rule(request["rule"], request["sql"], request.get("tolerance_minor", 0))
+            return self.run_auto(request.get("min_coverage", discover.USABLE_COVERAGE))
+        return self.run_rule(request["rule"], request["sql"], request.get("tolerance_minor", 0), tier=request.get("tier"), description=request.get("description", ""))
 
     # verification
 
@@ -213,13 +224,17 @@ class Engine:
         currency = {n: verify.currency_column(s) for n, s in sources.items()}
         plain = {n: self.views.get(n, s) for n, s in sources.items()}
         pop = [tuple(r) for r in verify.population_columns(props, {n: s.drop("dup_of", "dup_kind") for n, s in plain.items()}).collect()]
-        marks = reduce(DataFrame.unionByName, [d.rows.select(F.lit(n).alias("dataset"), "row_id", "dup_of") for n, d in self.catalog.datasets.items()])
+        marks = self.marks()
         # what is usual for a rule follows from all its groups, not from those that are asked about
         peers = self.ledger.table("proposal").join(props.select("rule").distinct(), "rule", "left_semi")
         recorded = self.ledger.table("member")
         spans = timing.group_spans(self.instants(peers, recorded))
         return verify.verify(props, members, plain, {n: c for n, c in currency.items() if c}, pop, timing.timing(spans), self.ledger.status(), recorded, marks)
 
+    def marks(self) -> DataFrame:
+        """(dataset, row_id, dup_of) of every source."""
+        return reduce(DataFrame.unionByName, [d.rows.select(F.lit(n).alias("dataset"), "row_id", "dup_of") for n, d in self.catalog.datasets.items()])
+
     def instants(self, props: DataFrame, members: DataFrame) -> DataFrame:
         """(rule, group_key, instant_s) of every ISO-shaped cell of every member row."""
         parts = []
@@ -232,10 +247,15 @@ class Engine:
         own = members.join(props.select("proposal_id", "rule"), "proposal_id")
         return own.join(reduce(DataFrame.unionByName, parts), ["dataset", "row_id"]).select("rule", "group_key", F.explode("instants").alias("instant_s"))
 
-    def sweep(self) -> DataFrame:
-        """Verify every proposal again; (status, n)."""
-        self.ledger.verify(self.checks)
-        return self.ledger.verified().groupBy("status").agg(F.count("*").alias("n"))
+    def sweep(self, status: str | None = None) -> dict:
+        """Verify proposals again, those of one status if named: {scope, verified, passed, failed, failures}, the last a DataFrame (proposal_id, rule, group_key, failed)."""
+        asked = self.ledger.status()
+        asked = asked if status is None else asked.where(F.col("status") == status)
+        self.ledger.verify(self.checks, asked.drop("status"))
+        last = self.ledger.verified().select("proposal_id", "failed", F.col("status").alias("checked"))
+        seen = asked.select("proposal_id", "rule", "group_key").join(last, "proposal_id")
+        n = seen.agg(F.count("*").alias("n"), F.count_if(F.col("checked") == "pass").alias("passed")).first()
+        return {"scope": status or "all", "verified": n.n, "passed": n.passed, "failed": n.n - n.passed, "failures": seen.where("checked <> 'pass'").select("proposal_id", "rule", "group_key", "failed")}
 
     # what came of it
 
@@ -261,7 +281,7 @@ class Engine:
 
     def proposal(self, proposal_id: int) -> dict[str, DataFrame]:
         """A proposal with its members, events, last verification and, source by source, the rows it stands for."""
-        found = self.ledger.detail(proposal_id)
+        found = self.ledger.detail(proposal_id, self.marks())
         own = found["members"]
         rows = {n: d.rows.join(own.where(F.col("dataset") == n).select("row_id"), "row_id", "left_semi") for n, d in self.catalog.datasets.items()}
         return found | {f"rows:{n}": r for n, r in rows.items()}
@@ -345,18 +365,22 @@ class Engine:
             c = verify.currency_column(s)
             own = s.select(F.lit(n).alias("dataset"), "row_id", (F.col(c) if c else F.lit(None).cast("string")).alias("currency"))
             currency = own if currency is None else currency.unionByName(own)
-        limits = ["exact duplicates count unless a source's policy leaves them out"] if any(not d.exclude_duplicates for d in self.catalog.datasets.values()) else []
+        limits = []
         duplicates, values, dates = [], [], []
         picked = {n: s.join(members.where(F.col("dataset") == n).select("row_id").distinct(), "row_id", "left_semi") for n, s in self.sources().items()}
         votes = {r.dataset: r.column for r in report.amount_vote(members, verify.source_cells(picked)).collect()}
         for n, d in self.catalog.datasets.items():
-            duplicates.append(duplicate_summary(d.rows).select(F.lit(n).alias("dataset"), "dup_kind", "n"))
+            marked = duplicate_summary(d.rows).select(F.lit(n).alias("dataset"), "dup_kind", "n", F.lit(not d.exclude_duplicates).alias("counted"))
+            duplicates.append(marked)
+            limits += [f"{n}: {r.n} {r.dup_kind} copies {'count as rows of their own' if r.counted else 'are left out'}" for r in marked.orderBy("dup_kind").collect()]
             own = verify.currency_column(self.sources()[n])
             # amounts of several currencies have no sum
             if n in votes and (own is None or d.rows.select(F.upper(F.trim(own))).distinct().limit(2).count() == 1):
                 values.append(report.dataset_value(d.rows, n, votes[n], members, status))
             if d.date_columns:
                 dates.append(report.period(d.rows, d.date_columns))
+        if rest:
+            limits.append(f"{rest} rows are in no proposal")
         ends = reduce(DataFrame.unionByName, dates).agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest")) if dates else None
         return {
             "sources": [{"dataset": n, "rows": d.rows.count(), "columns": len(d.kinds)} for n, d in self.catalog.datasets.items()],
@@ -367,6 +391,7 @@ class Engine:
             "coverage": report.coverage_by_dataset(sources, members, status),
             "edges": report.coverage_by_edge(members, status),
             "decisions": report.decision_ledger(self.ledger.table("event")),
+            "sides": report.coverage_sides(sources, members, status),
             "summary": report.status_summary(status),
             "exceptions": report.exceptions_by_cause(self.ledger.verified(), status, rest),
             "value": report.value_by_currency(members, status, currency),

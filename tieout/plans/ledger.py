@@ -201,7 +201,7 @@ class Ledger:
 
     # proposing and releasing
 
-    def propose(self, rule: str, members: DataFrame, spec: str, tolerance_minor: int = 0, author: str = "system", check=None) -> dict:
+    def propose(self, rule: str, members: DataFrame, spec: str, tolerance_minor: int = 0, author: str = "system", check=None, note: str = "") -> dict:
         """Propose a rule's groups, verify all of them, and release those that may be without a person.
 
         Groups that exist, whose members were rejected together before, or that
@@ -222,7 +222,7 @@ class Ledger:
                 new = written(props.join(skipped, "proposal_id", "left_anti"), "new")
                 kept = own.join(new.select("proposal_id"), "proposal_id", "left_semi")
                 held = written(match.held_back(new, kept, match.claimed(status, before, "rejected")), "held")
-                self._write(lambda n: {"proposal": new, "member": kept, "event": self._event(new, n, "proposed", author)}, since)
+                self._write(lambda n: {"proposal": new, "member": kept, "event": self._event(new, n, "proposed", author, note)}, since)
                 return skipped, new, held
 
             skipped, new, held = self._again(attempt)

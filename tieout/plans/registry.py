@@ -316,6 +316,14 @@ def dup_policy_filter(spark, d):
     return dedup.without_duplicates(dedup.mark_duplicates(gateway(spark, d))).agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH {F}, dup AS (SELECT row_id, first_id, order_ref FROM (SELECT row_id, order_ref, min(row_id) OVER (PARTITION BY order_ref, gross_amount, currency, batch_id) AS first_id FROM gateway) WHERE row_id <> first_id)
+SELECT 'near' AS dup_kind, row_id, first_id AS dup_of, order_ref FROM dup ORDER BY row_id LIMIT 3"""
+)
+def dup_examples(spark, d):
+    return dedup.duplicate_examples(dedup.mark_duplicates(gateway(spark, d)), ["order_ref"])
+
+
 # Embedded keys
 
 
@@ -748,6 +756,16 @@ def chain_hops(spark, d):
     return chains.hops(legs, members, props, ["ledger", "gateway", "bank"]).drop("proposal_id")
 
 
+@query(
+    f"""WITH {CHAIN_SQL}, many AS (SELECT DISTINCT rule, group_key, dataset FROM (SELECT rule, group_key, dataset FROM members GROUP BY ALL HAVING count(*) > 1)),
+named AS (SELECT rule, group_key, string_agg(dataset, ',' ORDER BY dataset) AS duplicate_in FROM many GROUP BY rule, group_key)
+SELECT label, CASE rule WHEN 'auto_exact__ledger__gateway' THEN 0 ELSE 1 END AS step, duplicate_in FROM legs1 JOIN open USING (rule, group_key) JOIN named USING (rule, group_key)"""
+)
+def chain_hop_duplicates(spark, d):
+    _, props, members, legs = _chains(spark, d)
+    return chains.hop_duplicates(chains.hops(legs, members, props, ["ledger", "gateway", "bank"]), members)
+
+
 @query("WITH {M}, held AS (SELECT dataset, row_id FROM members JOIN status USING (rule, group_key) WHERE status <> 'rejected') SELECT 'gateway' AS dataset, row_id FROM gateway WHERE row_id NOT IN (SELECT row_id FROM held WHERE dataset = 'gateway') UNION ALL SELECT 'bank', row_id FROM bank WHERE row_id NOT IN (SELECT row_id FROM held WHERE dataset = 'bank')")
 def leftovers(spark, d):
     w = World(spark, d)
@@ -872,6 +890,24 @@ def confusion_matrix(spark, d):
     return evaluate.confusion(labels.join(evaluate.verdicts(labels.select("key"), props), "key"))
 
 
+@query(
+    """WITH {M}, p AS (SELECT group_key FROM status WHERE rule = 'auto_exact__ledger__gateway' AND confidence = 'exact'),
+wanted AS (SELECT order_ref AS key, 'ledger:' || CAST(row_id AS VARCHAR) AS value FROM ledger UNION SELECT order_ref, 'gateway:' || CAST(2 * row_id - 1 + CASE WHEN row_id % 100 = 0 THEN 1 ELSE 0 END AS VARCHAR) FROM ledger),
+hit AS (SELECT w.key, bool_and(m.row_id IS NOT NULL) AS whole FROM wanted w JOIN p ON p.group_key = w.key LEFT JOIN members m ON m.rule = 'auto_exact__ledger__gateway' AND m.group_key = w.key AND m.dataset || ':' || CAST(m.row_id AS VARCHAR) = w.value GROUP BY w.key)
+SELECT count(*) AS checked, count(*) FILTER (whole) AS exact FROM hit"""
+)
+def evaluation_member_exact(spark, d):
+    """Rows that labels ask for, every hundredth with a wrong capture among them."""
+    w = World(spark, d)
+    props, members = w.both()
+    of = lambda name, c: F.concat(F.lit(f"{name}:"), c.cast("string")).alias("value")
+    key = F.col("order_ref").alias("key")
+    wanted = w.ledger.select(key, of("ledger", F.col("row_id"))).unionByName(w.ledger.select(key, of("gateway", 2 * F.col("row_id") - 1 + F.when(F.col("row_id") % 100 == 0, 1).otherwise(0))))
+    own = props.where(F.col("rule") == RULE_EXACT)
+    found = members.join(own.select("proposal_id"), "proposal_id", "left_semi").select(F.col("group_key").alias("key"), F.concat_ws(":", "dataset", F.col("row_id").cast("string")).alias("value"))
+    return evaluate.member_exact(wanted, found, evaluate.verdicts(w.ledger.select(key), own))
+
+
 @query("SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, CAST(sum(user_id % 97) AS BIGINT) AS cost_micros, CAST(sum(event_id % 1000) AS BIGINT) AS latency_ms FROM events GROUP BY event_type")
 def run_metrics_by_model(spark, d):
     e = read(spark, d, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("tokens"), (F.col("user_id") % 97).alias("cost_micros"), (F.col("event_id") % 1000).alias("latency_ms"))

@@ -9,9 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.functions.expr import slug
 from tieout.operators.dedup import duplicate_summary, mark_duplicates, without_duplicates
 from tieout.sources.ingest import IngestError, from_dataframe, page, read_csv
-from tieout.sources.store import written
+from tieout.sources.store import Folder, discard, written
 
 _NUMBERS = ("bigint", "int", "smallint", "double", "float")
 
@@ -75,6 +76,20 @@ class Catalog:
                 failed[name] = str(e)
         return failed
 
+    def add_folder(self, path: str) -> dict[str, str]:
+        """Register every CSV file of a folder under its file's name; {name: error} as of ``add_files``."""
+        names = [n for n in Folder(self.spark, path).names("") if n.lower().endswith(".csv")]
+        return self.add_files({slug(n[:-4]): f"{path.rstrip('/')}/{n}" for n in names})
+
+    def scan(self) -> list[str]:
+        """Look for duplicates in the sources where nobody did; their names."""
+        done = self.unmarked()
+        for n in done:
+            d = self.datasets[n]
+            d.rows = written(mark_duplicates(d.rows, list(d.kinds)), n)
+            d.rows.createOrReplaceTempView(n)
+        return done
+
     def set_policy(self, name: str, exclude_duplicates: bool) -> None:
         self.datasets[name].exclude_duplicates = exclude_duplicates
 
@@ -90,8 +105,10 @@ class Catalog:
         return page(self.datasets[name].rows, after, limit)
 
     def drop(self, name: str) -> None:
-        self.datasets.pop(name)
+        """Forget a source; its files go, so frames over its rows become unreadable."""
+        d = self.datasets.pop(name)
         self.spark.catalog.dropTempView(name)
+        discard(d.rows)
 
     def reset(self) -> None:
         for name in list(self.datasets):
