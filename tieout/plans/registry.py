@@ -103,6 +103,15 @@ def profile_text_signature(spark, d):
     return profile.pattern(read(spark, d, "part"), "p_name")
 
 
+@query(
+    """WITH s AS (SELECT DISTINCT p_name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(substr(p_name, 1, 40), '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), 'a{3,}', 'aaa', 'g'), 'A{3,}', 'AAA', 'g'), '9{3,}', '999', 'g') AS signature FROM part WHERE p_name IS NOT NULL)
+SELECT signature, round(count(*) / (SELECT count(*) FROM s), 6) AS coverage FROM s GROUP BY signature ORDER BY count(*) DESC, signature LIMIT 1"""
+)
+def profile_dominant_pattern(spark, d):
+    return profile.dominant_pattern(read(spark, d, "part"), "p_name")
+
+
 @query(
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM (
   SELECT 'event_type' AS "column", event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type
@@ -502,7 +511,18 @@ def verify_span(spark, d):
     return g.join(props, "proposal_id").select("rule", "group_key", "spans")
 
 
-@query("WITH {M} SELECT dataset, count(*) AS n, count(*) FILTER (amount_minor <> 0) AS n_traced FROM members GROUP BY dataset")
+#: What a row's cells can say: each money-like cell, whole numbers as they stand, and sums and differences of two.
+CELLS_SQL = """cell AS (SELECT 'ledger' AS dataset, row_id, unnest([-100 * CAST(substr(order_ref, 5) AS BIGINT), CAST(amount * 100 AS BIGINT), 100 * posted_s]) AS m, unnest([1, 2, 3]) AS i FROM ledger
+  UNION ALL SELECT 'gateway', row_id, unnest([-100 * CAST(substr(txn_id, 5) AS BIGINT), -100 * CAST(substr(order_ref, 5) AS BIGINT), CAST(gross_amount * 100 AS BIGINT), -100 * CAST(substr(batch_id, 7) AS BIGINT), 100 * captured_s]), unnest([1, 2, 3, 4, 5]) FROM gateway
+  UNION ALL SELECT 'bank', row_id, unnest([CAST(credit_amount * 100 AS BIGINT), 100 * value_s]), unnest([1, 2]) FROM bank),
+sayable AS (SELECT dataset, row_id, abs(m) AS v FROM cell UNION SELECT 'ledger', row_id, posted_s FROM ledger UNION SELECT 'gateway', row_id, captured_s FROM gateway UNION SELECT 'bank', row_id, value_s FROM bank
+  UNION SELECT a.dataset, a.row_id, unnest([abs(a.m - b.m), abs(a.m + b.m)]) FROM cell a JOIN cell b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.i <> b.i)"""
+
+
+@query(
+    f"""WITH {{M}}, {CELLS_SQL}
+SELECT m.dataset, count(*) AS n, count(y.v) FILTER (amount_minor <> 0) AS n_traced FROM members m LEFT JOIN sayable y ON y.dataset = m.dataset AND y.row_id = m.row_id AND y.v = abs(amount_minor) GROUP BY m.dataset"""
+)
 def verify_amount_trace(spark, d):
     w = World(spark, d)
     _, members = w.both()
@@ -618,11 +638,7 @@ tm AS (SELECT m.rule, m.group_key, dataset, m.row_id + CASE WHEN n % 211 = 5 AND
   FROM members m JOIN status s ON s.rule = m.rule AND s.group_key = m.group_key WHERE NOT (m.rule = 'auto_exact__ledger__gateway' AND dataset = 'gateway' AND m.row_id % 2 = 0 AND n % 2 = 0)),
 tp AS (SELECT rule, group_key, edge, member_count + CASE WHEN n % 227 = 9 THEN 1 ELSE 0 END AS member_count, balance_minor + CASE WHEN n % 229 = 11 THEN 7 ELSE 0 END AS balance_minor,
   CASE WHEN n % 233 <> 13 THEN confidence WHEN confidence = 'exact' THEN 'unbalanced' ELSE 'exact' END AS confidence FROM status),
-cell AS (SELECT 'ledger' AS dataset, row_id, unnest([-100 * CAST(substr(order_ref, 5) AS BIGINT), CAST(amount * 100 AS BIGINT), 100 * posted_s]) AS m, unnest([1, 2, 3]) AS i FROM ledger
-  UNION ALL SELECT 'gateway', row_id, unnest([-100 * CAST(substr(txn_id, 5) AS BIGINT), -100 * CAST(substr(order_ref, 5) AS BIGINT), CAST(gross_amount * 100 AS BIGINT), -100 * CAST(substr(batch_id, 7) AS BIGINT), 100 * captured_s]), unnest([1, 2, 3, 4, 5]) FROM gateway
-  UNION ALL SELECT 'bank', row_id, unnest([CAST(credit_amount * 100 AS BIGINT), 100 * value_s]), unnest([1, 2]) FROM bank),
-sayable AS (SELECT dataset, row_id, abs(m) AS v FROM cell UNION SELECT 'ledger', row_id, posted_s FROM ledger UNION SELECT 'gateway', row_id, captured_s FROM gateway UNION SELECT 'bank', row_id, value_s FROM bank
-  UNION SELECT a.dataset, a.row_id, unnest([abs(a.m - b.m), abs(a.m + b.m)]) FROM cell a JOIN cell b ON a.dataset = b.dataset AND a.row_id = b.row_id AND a.i <> b.i),
+""" + CELLS_SQL + """,
 src AS (SELECT 'ledger' AS dataset, row_id, currency FROM ledger UNION ALL SELECT 'gateway', row_id, currency FROM gateway UNION ALL SELECT 'bank', row_id, currency FROM bank),
 claim AS (SELECT edge, dataset, row_id, rule || group_key AS by FROM members JOIN status USING (rule, group_key) WHERE status = 'accepted'
   UNION ALL SELECT edge, dataset, row_id, 'another' FROM members JOIN status USING (rule, group_key) WHERE rule = 'auto_exact__ledger__gateway' AND n % 239 = 3),
@@ -967,6 +983,19 @@ def chain_break_labels(spark, d):
     return chains.break_reasons(steps, props).select("label")
 
 
+@query(
+    f"""WITH {CHAIN_SQL}, steps AS (SELECT DISTINCT label, 0 AS step, 'ledger' AS from_stage, 'gateway' AS to_stage, 'auto_exact__ledger__gateway' AS rule FROM legs1
+  UNION ALL SELECT DISTINCT label, 1, 'gateway', 'bank', 'auto_batch__bank__gateway' FROM legs1),
+told AS (SELECT s.label, s.step, CASE WHEN confidence IS NULL THEN 30 WHEN confidence = 'unbalanced' THEN 10 END AS grave,
+    CASE WHEN confidence IS NULL THEN concat('nothing from ', from_stage, ' to ', to_stage) ELSE concat('differ by ', CAST(abs(balance_minor) AS VARCHAR), ' minor between ', from_stage, ' and ', to_stage) END AS reason
+  FROM steps s LEFT JOIN (legs1 JOIN open USING (rule, group_key)) x ON x.label = s.label AND x.rule = s.rule)
+SELECT label, arg_min(reason, grave + step) AS reason FROM told WHERE grave IS NOT NULL GROUP BY label"""
+)
+def chain_break_reasons(spark, d):
+    _, props, members, legs = _chains(spark, d)
+    return chains.break_reasons(chains.hops(legs, members, props, ["ledger", "gateway", "bank"]), props)
+
+
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def guarded_select_orders(spark, d):
     read(spark, d, "orders").createOrReplaceTempView("tieout_orders")
