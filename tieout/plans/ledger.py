@@ -86,6 +86,8 @@ class Ledger:
             if time.monotonic() > end:
                 for n in open_:
                     self.folder.mark(f"closed/{n:012d}", "{}")
+                if time.monotonic() > end + PATIENCE_S + 60:
+                    raise TimeoutError(f"what became of batches {sorted(open_)} can't be read")
             time.sleep(0.2)
 
     def _take(self, since: int | None) -> int:

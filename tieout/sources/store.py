@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import threading
 import uuid
@@ -92,10 +93,13 @@ class Folder:
     def names(self, sub: str) -> list[str]:
         """Names in a folder, in order; none where it isn't there."""
         where = self._jpath(f"{self.path}/{sub}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        found = [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        return sorted(n for n in found if not n.startswith("."))
 
     def mark(self, sub: str, text: str = "") -> bool:
-        """Make a small file; False if it is there already. Of several writers one makes it, where the storage creates files atomically."""
+        """Make a small file; False if it is there already. Of several writers one makes it, where the storage creates files atomically; on a local disk it appears with its text at once."""
+        if self._fs.getScheme() == "file":
+            return self._linked(self._fs.makeQualified(self._jpath(f"{self.path}/{sub}")).toUri().getPath(), text)
         try:
             out = self._fs.create(self._jpath(f"{self.path}/{sub}"), False)
         except Py4JJavaError as e:
@@ -106,10 +110,30 @@ class Folder:
         out.close()
         return True
 
+    @staticmethod
+    def _linked(path: str, text: str) -> bool:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        handle, made = tempfile.mkstemp(prefix=".", dir=os.path.dirname(path))
+        try:
+            with os.fdopen(handle, "w", encoding="utf-8") as out:
+                out.write(text)
+            os.link(made, path)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(made)
+
     def text(self, sub: str) -> str:
-        source = self._fs.open(self._jpath(f"{self.path}/{sub}"))
+        """What a small file says; nothing while it is being written."""
+        try:
+            source = self._fs.open(self._jpath(f"{self.path}/{sub}"))
+        except Py4JJavaError:
+            return ""
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        except Py4JJavaError:
+            return ""
         finally:
             source.close()
 
