@@ -32,23 +32,40 @@ def number(text: Column) -> Column:
     return F.regexp_replace(F.trim(text.cast("string")), ",", "").try_cast("double")
 
 
+def money_characters(text: Column) -> Column:
+    """The digits, separators, signs and brackets of a string."""
+    return F.regexp_replace(text.cast("string"), r"[^0-9.,+\-()]", "")
+
+
+def minor_of_characters(kept: Column, also: Column | None = None) -> Column:
+    """Exact minor units from ``money_characters``, or null; ``also`` is a condition on top. Cheapest where ``kept`` is a plain column."""
+    inside = kept.startswith("(") & kept.endswith(")")
+    bare = F.translate(kept, "(),", "")
+    ok = bare.rlike(r"^[+-]?\d+(\.\d+)?$")
+    whole = hundredths(bare)
+    return F.when(ok if also is None else ok & also, F.when(inside, -F.abs(whole)).otherwise(whole))
+
+
+def hundredths(value: Column) -> Column:
+    """A number, or the text of one, in whole hundredths, half away from zero; null beyond 64 bits."""
+    return F.round((value.try_cast("decimal(38,10)") * 100).try_cast("decimal(38,6)"), 0).try_cast("bigint")
+
+
 def money_minor(text: Column, strict: bool = False) -> Column:
     """Exact minor units of a money string, or null.
 
     Every character but digits, separators, signs and brackets is dropped, a
     value in brackets is negative. The lenient form thus reads digits out of
     identifiers as well; ``strict`` takes only strings that are money as they stand.
+    A value beyond 64 bits is null.
     """
-    raw = F.trim(text.cast("string"))
-    kept = F.regexp_replace(raw, r"[^0-9.,+\-()]", "")
-    inside = kept.startswith("(") & kept.endswith(")")
-    bare = F.regexp_replace(kept, "[(),]", "")
-    ok = bare.rlike(r"^[+-]?\d+(\.\d+)?$")
-    if strict:
-        ok = ok & raw.rlike(r"^\(?\s*[^\w\s]?\s*[+-]?[\d,]+(\.\d+)?\s*\)?$")
-    exact = (bare.try_cast("decimal(38,10)") * 100).try_cast("decimal(38,6)")
-    whole = F.round(exact, 0).cast("bigint")
-    return F.when(ok, F.when(inside, -F.abs(whole)).otherwise(whole))
+    plain = F.trim(text.cast("string")).rlike(r"^\(?\s*[^\w\s]?\s*[+-]?[\d,]+(\.\d+)?\s*\)?$") if strict else None
+    return minor_of_characters(money_characters(text), plain)
+
+
+def exact_number(kind: str) -> bool:
+    """Whether a type's name is that of whole or decimal numbers."""
+    return kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint")
 
 
 def signature(text: Column, length: int = 40) -> Column:

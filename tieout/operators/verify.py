@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tieout.functions.expr import money_minor
+from tieout.functions.expr import exact_number, hundredths, minor_of_characters, money_characters
 from tieout.operators.profile import source_columns
 from tieout.sources.store import written
 
@@ -29,15 +29,24 @@ CODES = (
 )
 
 
-def cells_of(df: DataFrame) -> Column:
-    """A row's money-like cells in column order, ids included as the lenient reading takes them."""
-    own = [F.struct(F.lit(c).alias("column"), money_minor(F.col(c)).alias("minor"), F.col(c).cast("string").try_cast("bigint").alias("whole")) for c in source_columns(df)]
-    return F.filter(F.array(*own), lambda x: x["minor"].isNotNull())
+def with_cells(df: DataFrame, columns: list[str], name: str = "cells") -> DataFrame:
+    """``df`` with the cells of ``columns`` in order: column, money value or null, whole number or null.
+
+    Ids are included, as the lenient reading takes them. What a text's money
+    characters are is a column of its own first, so it is found once a cell;
+    whole and decimal numbers are scaled as they are. A value beyond 64 bits is null.
+    """
+    kinds = dict(df.dtypes)
+    texts = {c: f"__kept{i}" for i, c in enumerate(columns) if not exact_number(kinds[c])}
+    read = df.select("*", *[money_characters(F.col(c)).alias(k) for c, k in texts.items()])
+    value = lambda c: minor_of_characters(F.col(texts[c])) if c in texts else hundredths(F.col(c))
+    own = [F.struct(F.lit(c).alias("column"), value(c).alias("minor"), F.col(c).cast("string").try_cast("bigint").alias("whole")) for c in columns]
+    return read.select(*df.columns, F.array(*own).alias(name))
 
 
 def source_cells(sources: dict[str, DataFrame]) -> DataFrame:
-    """(dataset, row_id, cells): the money-like cells of each row."""
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("dataset"), "row_id", cells_of(df).alias("cells")) for name, df in sources.items()])
+    """(dataset, row_id, cells): the cells of each row."""
+    return reduce(DataFrame.unionByName, [with_cells(df, source_columns(df)).select(F.lit(name).alias("dataset"), "row_id", "cells") for name, df in sources.items()])
 
 
 def resolve(members: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
@@ -47,10 +56,13 @@ def resolve(members: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def trace_of(amount: Column, cells: Column) -> Column:
-    """How cells give an amount ('cell', 'minor', 'difference', 'sum') or null. Zero is never traced."""
+    """How cells give an amount ('cell', 'minor', 'difference', 'sum') or null. Zero is never traced, and cells without a money value tell nothing.
+
+    ``cells`` should be a plain column: lambdas make an expression anew for each pair.
+    """
     a = F.abs(amount)
     c = F.coalesce(cells, F.array().cast("array<struct<column:string,minor:bigint,whole:bigint>>"))
-    few = F.size(c) <= MAX_PAIR_COLUMNS
+    few = F.size(F.filter(c, lambda x: x["minor"].isNotNull())) <= MAX_PAIR_COLUMNS
 
     def pairs(fit) -> Column:
         return F.exists(c, lambda x: F.exists(c, lambda y: (x["column"] != y["column"]) & fit(x["minor"], y["minor"])))
@@ -58,9 +70,9 @@ def trace_of(amount: Column, cells: Column) -> Column:
     return (
         F.when(amount.isNull() | (a == 0), F.lit(None))
         .when(F.exists(c, lambda x: F.abs(x["minor"]) == a), "cell")
-        .when(F.exists(c, lambda x: F.abs(x["whole"]) == a), "minor")
-        .when(few & pairs(lambda x, y: F.abs(x - y) == a), "difference")
-        .when(few & pairs(lambda x, y: F.abs(x + y) == a), "sum")
+        .when(F.exists(c, lambda x: x["minor"].isNotNull() & (F.abs(x["whole"]) == a)), "minor")
+        .when(few & pairs(lambda x, y: F.abs(F.try_subtract(x, y)) == a), "difference")
+        .when(few & pairs(lambda x, y: F.abs(F.try_add(x, y)) == a), "sum")
     )
 
 
@@ -156,7 +168,8 @@ def _facts(props: DataFrame, members: DataFrame, sources: dict[str, DataFrame],
         own = members.where(F.col("dataset") == name).select(F.col("proposal_id").alias("__p"), F.col("amount_minor").alias("__a"), "row_id")
         now = own.join(df.select("row_id", *source_columns(df)), "row_id")
         code = F.upper(F.trim(currency[name])) if currency.get(name) else F.lit("")
-        rows.append(now.select(F.col("__p").alias("proposal_id"), F.lit(name).alias("dataset"), F.lit(1).alias("resolved"), trace_of(F.col("__a"), cells_of(df)).isNotNull().cast("int").alias("traced"), F.when(code != "", code).alias("currency")))
+        now = with_cells(now.withColumn("__code", F.when(code != "", code)), source_columns(df), "__cells")
+        rows.append(now.select(F.col("__p").alias("proposal_id"), F.lit(name).alias("dataset"), F.lit(1).alias("resolved"), trace_of(F.col("__a"), F.col("__cells")).isNotNull().cast("int").alias("traced"), F.col("__code").alias("currency")))
     if status is not None:
         accepted = status.where("status = 'accepted'").select("proposal_id", "edge")
         held = (members if recorded is None else recorded).join(accepted, "proposal_id").groupBy("edge", "dataset", "row_id").agg(F.count("*").alias("claims"), F.min("proposal_id").alias("by"))
