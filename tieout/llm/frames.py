@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import tempfile
 import uuid
@@ -66,7 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OWN: str | None = None
-_STORED: list[tuple[SparkSession, str]] = []
+_STORED: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,17 +75,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tieout-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED.append((spark, path, out))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, which nothing reads any more."""
+    for i, (spark, path, own) in enumerate(_STORED):
+        if own is df:
+            _delete(spark, path)
+            del _STORED[i]
+            return
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, each query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def drop_stored() -> None:
     """Delete what ``stored`` wrote; results that were not consumed yet become unreadable."""
     while _STORED:
-        spark, path = _STORED.pop()
+        spark, path, _ = _STORED.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
