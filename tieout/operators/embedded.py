@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.operators.profile import text_key_stats
@@ -30,62 +31,100 @@ def literal_overlap(carrier: DataFrame, text: str, keys: DataFrame, key: str) ->
     return values.join(k.withColumn("hit", F.lit(1)), "v", "left").agg(F.count("hit").alias("shared"), F.count("*").alias("total"))
 
 
-#: Characters at a key's end that stand for it in the first match.
+#: Fewest characters of an anchor where a key has more.
 ANCHOR_CHARS = 16
-#: Characters of a text that are cut at a time; reaching a place in a string takes time in proportion to the place.
+#: Most characters of an anchor.
+WIDE_CHARS = 64
+#: Characters of a text that are cut at a time, at least; reaching a place in a string takes time in proportion to the place.
 STRETCH = 256
-#: Words of 64 bits at most that say which anchors there are; beyond what they can tell apart, more places go to the join.
+#: Words of 64 bits at most that say which anchors and ends there are; beyond what they can tell apart, more places go to the join.
 MOST_WORDS = 1 << 20
 
 _FOUND = "text_id int, row_id bigint, key_id int, n_keys bigint, found_key string"
 
 
+def as_bytes(column: str) -> Column:
+    """A string with a character for each of its bytes."""
+    return F.decode(F.col(column).cast("binary"), "ISO-8859-1")
+
+
+def grid(shortest: int, n_keys: int) -> tuple[int, int]:
+    """(step, width): anchors of so many characters are looked up at every step-th place of a text.
+
+    The last ``shortest`` characters of a key hold an anchor wherever the grid lies. A longer
+    step means fewer places, but as many anchors a key and as many ends to try where one is met
+    by chance, so that the bits needed grow with its square (``contained``).
+    """
+    step = max(1, min((shortest + 1) // 2, shortest - ANCHOR_CHARS + 1, math.isqrt(MOST_WORDS * 16 // n_keys)))
+    return step, min(shortest - step + 1, WIDE_CHARS)
+
+
 def contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(text_id, row_id, key_id, n_keys, found_key): how many distinct keys of each kind a text holds, and the key where it is one.
 
     ``texts`` is (text_id, row_id, t) of any number of columns, ``keys`` (key_id, k),
-    each numbered by column; all pairs of them are one job. Every key ends in an
-    anchor of its column's length, that of the shortest key or ANCHOR_CHARS. Texts
-    are cut into substrings of these lengths where they lie. A table of bits of one
-    size, broadcast, tells which of them can be an anchor, and only those move, with
-    as many characters before them as the longest key has; they meet the keys in an
-    equi-join and are compared in full. Blank keys match nothing; texts without a
-    key are left out.
+    each numbered by column; all pairs of them are one job. A key's end is its last
+    characters, as many as the shortest key of its column has. Texts are cut into
+    anchors where they lie, at the places of a ``grid``; every end holds one of them.
+    A table of bits of one size, broadcast, tells which substrings can be an anchor,
+    and which of the ends around those can be a key's. Only those move, with as many
+    characters before them as the longest key has; they meet the keys in an equi-join
+    and are compared in full. Blank keys match nothing; texts without a key are left out.
     """
     spark = texts.sparkSession
     k = keys.select("key_id", F.trim(F.col("k").cast("string")).alias("k")).where("k <> ''").distinct()
-    facts = k.groupBy("key_id").agg(F.min(F.length("k")).alias("shortest"), F.max(F.length("k")).alias("longest"), F.count("*").alias("n")).collect()  # a row a column
+    facts = k.groupBy("key_id").agg(F.min(F.octet_length("k")).alias("shortest"), F.max(F.octet_length("k")).alias("longest"), F.count("*").alias("n")).collect()  # a row a column
     if not facts:
         return spark.createDataFrame([], _FOUND)
-    width = {f.key_id: min(f.shortest, ANCHOR_CHARS) for f in facts}
-    widths, longest = sorted(set(width.values())), max(f.longest for f in facts)
-    by_key = F.create_map(*[F.lit(x) for pair in width.items() for x in pair])
-    k = k.withColumn("w", by_key[F.col("key_id")]).withColumn("anchor", F.expr("right(k, w)"))
+    grids = {n: grid(n, sum(f.n for f in facts)) for n in {f.shortest for f in facts}}
+    longest = max(f.longest for f in facts)
+
+    def by(column: str, values: dict[int, int]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(column)]
+
+    k = k.withColumn("n", by("key_id", {f.key_id: f.shortest for f in facts})).withColumn("b", as_bytes("k")).withColumn("end", F.expr("right(b, n)"))
+    step, width = by("n", {n: s for n, (s, _) in grids.items()}), by("n", {n: w for n, (_, w) in grids.items()})
+
     n_words = 64
-    while n_words < MOST_WORDS and n_words * 16 < sum(f.n for f in facts):
+    while n_words < MOST_WORDS and n_words * 16 < sum(f.n * grids[f.shortest][0] ** 2 for f in facts):
         n_words *= 2
-    bit = F.pmod(F.xxhash64("w", "anchor"), F.lit(n_words * 64))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
-    words = k.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("bits"))  # MOST_WORDS rows at most
-    # pieces of a text with what may stand before them
-    piece = max(STRETCH, longest)
-    starts = F.sequence(F.lit(0), F.expr(f"(length(t) - {widths[0]}) div {piece}").cast("int"))
-    back = longest - 1
-    cut = F.transform(starts, lambda c: F.struct(F.least(c * piece, F.lit(back)).alias("before"), F.substring("t", F.greatest(c * piece - back, F.lit(0)) + 1, F.least(c * piece, F.lit(back)) + piece + widths[-1] - 1).alias("s")))
-    rows = texts.where(F.length("t") >= widths[0]).select("text_id", F.col("row_id").cast("bigint").alias("row_id"), F.explode(cut).alias("x")).select("text_id", "row_id", "x.*")
-
-    def places(w: int):
-        """Every substring of w characters that starts in the piece."""
-        last = F.least(F.lit(piece), F.length("s") - F.col("before") - (w - 1))
-        cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(w).alias("w"), (F.col("before") + i).alias("at"), F.substring("s", F.col("before") + i, F.lit(w)).alias("anchor")))
-        return F.when(last >= 1, cut)
-
-    empty = F.array().cast("array<struct<w:int,at:int,anchor:string>>")
-    every = rows.select("text_id", "row_id", "s", F.explode(F.concat(*[F.coalesce(places(w), empty) for w in widths])).alias("p")).select("text_id", "row_id", "s", "p.*")
-    may = every.withColumn("word", F.floor(bit / 64)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0)
-    # the characters up to the anchor's end
-    sent = may.select("text_id", "row_id", "w", "anchor", F.substring("s", F.greatest(F.col("at") + F.col("w") - longest, F.lit(1)), F.least(F.lit(longest), F.col("at") + F.col("w") - 1)).alias("upto"))
-    full = sent.join(k, ["w", "anchor"]).where((F.length("upto") >= F.length("k")) & F.col("upto").endswith(F.col("k")))
+
+    def word(value: str) -> Column:
+        return F.shiftright(F.xxhash64("n", value).bitwiseAND(F.lit(n_words * 64 - 1)), 6).alias("word")
+
+    def one(value: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64("n", value).bitwiseAND(F.lit(63)).cast("int"))
+
+    ends = k.select("n", "end", step.alias("step"), width.alias("w"))
+    anchors = F.transform(F.sequence(F.lit(0), F.col("step") - 1), lambda e: F.substring("end", F.col("n") - F.col("w") - e + 1, F.col("w")))
+    marks = ends.select("n", F.explode(F.concat(F.array("end"), anchors)).alias("mark"))
+    words = F.broadcast(marks.groupBy(word("mark")).agg(F.bit_or(one("mark")).alias("bits")))  # MOST_WORDS rows at most
+
+    def marked(rows: DataFrame, value: str) -> DataFrame:
+        return rows.withColumn("word", word(value)).join(words, "word").where(F.col("bits").bitwiseAND(one(value)) != 0).drop("word", "bits")
+
+    # pieces of a text, each with the one before it and what may stand behind it
+    piece, ahead = max(STRETCH, longest), max(grids) - 1
+    pieces = F.regexp_extract_all(as_bytes("t"), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    beside = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
+    cut = F.transform("pieces", lambda x, i: F.struct(beside(i - 1).alias("head"), F.concat(x, F.substring(beside(i + 1), 1, ahead)).alias("body")))
+    rows = texts.where(F.octet_length("t") >= min(grids)).select("text_id", F.col("row_id").cast("bigint").alias("row_id"), pieces.alias("pieces"))
+    rows = rows.select("text_id", "row_id", F.explode(cut).alias("x")).select("text_id", "row_id", "x.*")
+
+    def places(n: int) -> Column:
+        """The anchors of the grid that start in the piece, for ends of n bytes."""
+        step, w = grids[n]
+        return F.regexp_extract_all(F.substring("body", 1, piece + w - 1), F.lit(f"(?s)(?=(.{{{w}}})).{{1,{step}}}"), F.lit(1))
+
+    each = rows.select("text_id", "row_id", "head", "body", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), places(n).alias("anchors")) for n in sorted(grids)])).alias("x")).select("text_id", "row_id", "head", "body", "x.*")
+    every = each.select("text_id", "row_id", "head", "body", "n", F.posexplode("anchors").alias("i", "anchor"))
+    held = marked(every, "anchor").select("text_id", "row_id", F.concat_ws("", "head", "body").alias("s"), "n", (F.length("head") + F.col("i") * step + width).alias("at"), F.col("anchor").alias("end"))
+    if any(w < n for n, (_, w) in grids.items()):  # the ends that may hold the anchor
+        tried = held.select("text_id", "row_id", "s", "n", F.explode(F.sequence(F.col("at"), F.col("at") + step - 1)).alias("at")).where((F.col("at") >= F.col("n")) & (F.col("at") <= F.length("s")))
+        held = marked(tried.withColumn("end", F.expr("substring(s, at - n + 1, n)")), "end")
+    # the characters up to the end
+    sent = held.select("text_id", "row_id", "n", "end", F.substring("s", F.greatest(F.col("at") - longest + 1, F.lit(1)), F.least(F.lit(longest), F.col("at"))).alias("upto"))
+    full = sent.join(k, ["n", "end"]).where(F.col("upto").endswith(F.col("b")))
     return full.groupBy("text_id", "row_id", "key_id").agg(F.count_distinct("k").alias("n_keys"), F.when(F.count_distinct("k") == 1, F.min("k")).alias("found_key"))
 
 
