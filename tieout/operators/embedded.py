@@ -35,7 +35,7 @@ def literal_overlap(carrier: DataFrame, text: str, keys: DataFrame, key: str) ->
 ANCHOR_CHARS = 16
 #: Most characters of an anchor.
 WIDE_CHARS = 64
-#: Characters of a text that are cut at a time, at least; reaching a place in a string takes time in proportion to the place.
+#: Bytes of a text that are cut at a time, at least; what is looked at carries such a piece and the one before it.
 STRETCH = 256
 #: Words of 64 bits at most that say which anchors and ends there are; beyond what they can tell apart, more places go to the join.
 MOST_WORDS = 1 << 20
